@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairmill.llm import license_scan, quality_rules
+from pairmill.llm import bpe_codec, license_scan, mixing, quality_rules, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,3 +66,27 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
 }
 SQL = {"op1_quality_rules": _sql_op1(), "op2_license_scan": _sql_op2()}
+
+
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_table(spark, sf_dir, "documents"))
+
+
+def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.encode_documents(_table(spark, sf_dir, "documents"), bpe_codec.public_codec()).drop("ids")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), token_counts.public_unigram())
+
+
+QUERIES |= {
+    "op3_simhash_dedup": op3_simhash_dedup,
+    "op7_source_mixing": op7_source_mixing,
+    "op9_bpe_codec": op9_bpe_codec,
+    "op10_token_counts": op10_token_counts,
+}
