@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairmill.llm import bpe_codec, license_scan, mixing, quality_rules, simhash, token_counts
+from pairmill.llm import bpe_codec, embedding_dedup, language_id, license_scan, mixing, ngram_lm, quality_rules, simhash, token_counts, token_files
+from pairmill.session import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,3 +91,31 @@ QUERIES |= {
     "op9_bpe_codec": op9_bpe_codec,
     "op10_token_counts": op10_token_counts,
 }
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-files")
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), token_files.TokenizerFile.public(), path)
+    return token_files.read_documents(spark, path)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.learn(docs))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return ngram_lm.score_documents(docs, ngram_lm.train(docs))
+
+
+QUERIES |= {
+    "op4_token_files": op4_token_files,
+    "op5_language_id": op5_language_id,
+    "op6_embedding_dedup": op6_embedding_dedup,
+    "op8_ngram_scores": op8_ngram_scores,
+}
