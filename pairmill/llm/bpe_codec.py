@@ -29,11 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairmill.llm.units import UnitEncoder
+from pairmill.llm.units import UnitEncoder, slices
 
 CHUNK, OVERLAP = 20_000, 400
-#: Characters of text encoded at once in a task.
-AT_ONCE = 2_000_000
 
 
 class Codec:
@@ -76,27 +74,15 @@ def public_codec(name: str = "byte_bpe_multi_50k.tiktoken") -> Codec:
     return Codec.from_file(public_tokenizers.path(name), public_tokenizers.PATTERN)
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start, chars = 0, 0
-    for i, t in enumerate(texts):
-        chars += len(t)
-        if chars >= AT_ONCE:
-            yield start, i + 1
-            start, chars = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _encode_pieces(codec: Codec):
     """Replaces the last column, a piece of text, by its ids and their decoded bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
-            for i, j in _slices(texts):
-                ids = codec.encode(texts[i:j])
-                part = b.slice(i, j - i)
-                own = {f.name: part.column(k) for k, f in enumerate(b.schema) if k < b.num_columns - 1}
+            last = b.num_columns - 1
+            for part in slices(b, last):
+                ids = codec.encode([t or "" for t in part.column(last).to_pylist()])
+                own = {f.name: part.column(k) for k, f in enumerate(b.schema) if k < last}
                 yield pa.record_batch(own | {"ids": pa.array(ids, pa.binary()), "raw": pa.array([codec.decode(x) for x in ids], pa.binary())})
 
     return run

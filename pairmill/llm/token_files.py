@@ -27,11 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairmill.llm.units import UnitEncoder
+from pairmill.llm.units import UnitEncoder, slices
 
 END_ID = 0
 ROW_GROUP, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 500
-AT_ONCE = 2_000_000
 
 
 class TokenizerFile:
@@ -67,21 +66,14 @@ def _encode(tokenizer: TokenizerFile):
         end = np.array([END_ID], dtype="<u4").tobytes()
         offset = 0
         for b in batches:
-            texts = [t or "" for t in b.column(2).to_pylist()]
-            start, chars = 0, 0
-            for i, t in enumerate(texts):
-                chars += len(t)
-                if chars < AT_ONCE and i + 1 < len(texts):
-                    continue
-                ids = [x + end for x in tokenizer.encode(texts[start : i + 1])]
+            for own in slices(b, 2):
+                ids = [x + end for x in tokenizer.encode([t or "" for t in own.column(2).to_pylist()])]
                 n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 ends = np.cumsum(n)
                 flat = np.frombuffer(b"".join(ids), dtype="<i4")
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
-                own = b.slice(start, i + 1 - start)
                 yield pa.record_batch({"block": own.column(0), "doc_id": own.column(1), "block_start": ends - n + offset, "n_tokens": n, "tokens": tokens})
                 offset += int(ends[-1])
-                start, chars = i + 1, 0
 
     return run
 

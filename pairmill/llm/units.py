@@ -12,15 +12,31 @@ classes may differ from ours) go to the library whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _UNIT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 # White space outside ASCII, and the controls that some classes count as such.
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 
+#: Bytes of text turned into Python strings and encoded at once.
+AT_ONCE = 600_000
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about AT_ONCE bytes of text each (or one longer text)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    part = np.cumsum(sizes) // AT_ONCE
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for i, j in zip(edges, edges[1:]):
+        if j > i:
+            yield batch.slice(i, j - i)
+
+
 class UnitEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
@@ -28,7 +44,7 @@ class UnitEncoder:
     """
 
     #: Most units kept, and the longest that are.
-    KEEP, KEEP_CHARS = 600_000, 48
+    KEEP, KEEP_CHARS = 200_000, 32
 
     def __init__(self, encode_many: Callable[[list[str]], list[list[int]]]):
         self._encode_many = encode_many
