@@ -74,7 +74,7 @@ def test_token_files_round_trip(spark, tmp_path):
     some = token_files.read_tokens(spark, path, [37]).collect()
     assert some[0]["tokens"][-1] == 0
     plan = token_files.read_tokens(spark, path, [37])._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [EqualTo(doc_id,37)]" in plan or "In(doc_id" in plan
+    assert "EqualTo(doc_id,37)]" in plan.split("PushedFilters:")[1]
     assert "tokens" not in token_files.read_starts(spark, path)._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1][:60].replace("n_tokens", "")
 
 
