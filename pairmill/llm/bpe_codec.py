@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairmill.llm.units import UnitEncoder, slices
+from pairmill.llm.units import UnitEncoder, bounded_batches, slices
 
 CHUNK, OVERLAP = 20_000, 400
 
@@ -107,6 +107,15 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _encode_whole(codec: Codec):
+    """Encodes, decodes and digests texts of one piece each in the same worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _digest(_encode_pieces(codec)(batches))
+
+    return run
+
+
 def _boundaries(pattern: str, chunk: int, overlap: int):
     """For each chunk: places in its first and in its last `overlap` characters (counted
     from the next chunk's start) where its scan has a boundary that can be stitched."""
@@ -162,15 +171,15 @@ def _pieces_of_long(long: DataFrame, pattern: str, chunk: int, overlap: int) ->
 def encode_documents(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256), one row per input row; ids are
     little-endian unsigned 32-bit integers."""
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    plain = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = dict(plain.dtypes)["doc_id"]
     out = f"doc_id {kind}, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
     is_long = F.length("text") > chunk
-    short = plain.filter(~is_long).mapInArrow(_encode_pieces(codec), f"doc_id {kind}, ids binary, raw binary")
+    short = plain.filter(~is_long).mapInArrow(_encode_whole(codec), out)
     # rows are told apart by their place in the input, which a reread of the same files repeats
     long = plain.withColumn("row", F.monotonically_increasing_id()).filter(is_long)
     pieces = _pieces_of_long(long, codec.pattern, chunk, overlap)
     done = pieces.mapInArrow(_encode_pieces(codec), f"row long, doc_id {kind}, piece_no long, ids binary, raw binary")
     parts = F.sort_array(F.collect_list(F.struct("piece_no", "ids", "raw")))
     joined = done.groupBy("row", "doc_id").agg(parts.alias("p")).select("doc_id", F.transform("p", lambda x: x["ids"]).alias("ids"), F.transform("p", lambda x: x["raw"]).alias("raw"))
-    return short.mapInArrow(_digest, out).unionByName(joined.mapInArrow(_digest, out))
+    return short.unionByName(joined.mapInArrow(_digest, out))

@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairmill.llm.units import bounded_batches
+
 ROWS_PER_LANG, CHARS_PER_ROW = 48, 600
 #: Most symbols kept apart; rarer letters share one symbol that no language knows.
 ALPHABET = 250
 PIECE = 256
-#: Pieces parsed in step.
-IN_STEP = 16_384
+#: Pieces parsed in step; characters of short texts classified together.
+IN_STEP, AT_ONCE = 16_384, 1_500_000
 UND = "und"
 _SPACE, _PAD = 0, 1
 _RARE = 2
@@ -137,8 +139,15 @@ class CrossParser:
         return (count + (state != start)).T
 
     def classify(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text; the score is the winner's lead over the second,
-        as a share of the second's bits (1 where there is one language only)."""
+        """Language and score of each text, in parts of about AT_ONCE characters; the score is
+        the winner's lead over the second, as a share of the second's bits (1 where there is
+        one language only)."""
+        part = np.cumsum([len(t or "") for t in texts]) // AT_ONCE
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        done = [self._classify(texts[i:j]) for i, j in zip(edges, edges[1:])]
+        return [x for langs, _ in done for x in langs], np.concatenate([s for _, s in done])
+
+    def _classify(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         lut = self._own()[0]
         coded = [_fold((t or ""), lut) for t in texts]
         letter = np.array([bool((c > _PAD).any()) for c in coded])
@@ -206,7 +215,7 @@ def _predict(model: CrossParser):
 def identify(docs: DataFrame, model: CrossParser, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score), one row per input row."""
     held = F.coalesce(folds(F.col(id_col)) == 1, F.lit(False))
-    rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_predict(model), f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
 
 
@@ -217,5 +226,7 @@ def keep_identified(docs: DataFrame, model: CrossParser, text_col: str = "text",
     def predicted(texts: pd.Series) -> pd.Series:
         return pd.Series(model.classify(list(texts))[0], dtype=object)
 
-    named = docs.withColumn("__lang_pred", predicted(F.col(text_col))).filter(F.col("__lang_pred") != UND)
+    # run once a row: a deterministic function would be worked out for the filter and again for the label
+    predicted = predicted.asNondeterministic()
+    named = bounded_batches(docs).withColumn("__lang_pred", predicted(F.col(text_col))).filter(F.col("__lang_pred") != UND)
     return named.withColumn(lang_col, F.coalesce(F.col(lang_col), "__lang_pred")).drop("__lang_pred")

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from pairmill.llm.units import bounded_batches
 from pairmill.operators.components import connected_components
 from pairmill.session import cut
 
@@ -131,7 +132,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def _fingerprinted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return cut(docs.select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col)).alias("fp")))
+    return cut(bounded_batches(docs).select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col)).alias("fp")))
 
 
 def _components(marked: DataFrame) -> DataFrame:

@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairmill.llm.units import bounded_batches
+
 SPACE_MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Distinct words kept per worker, and the longest that are.
@@ -129,5 +131,5 @@ def _count(model: Unigram):
 
 def token_counts(docs: DataFrame, model: Unigram, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens), one row per input row."""
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    plain = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return plain.mapInArrow(_count(model), f"doc_id {dict(plain.dtypes)['doc_id']}, n_tokens long")

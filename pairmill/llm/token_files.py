@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairmill.llm.units import UnitEncoder, slices
+from pairmill.llm.units import UnitEncoder, bounded_batches, slices
 
 END_ID = 0
 ROW_GROUP, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 500
@@ -80,7 +80,7 @@ def _encode(tokenizer: TokenizerFile):
 
 def write_tokens(docs: DataFrame, tokenizer: TokenizerFile, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text and write (block, doc_id, block_start, n_tokens, tokens) in ascending id order."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").select(F.spark_partition_id().alias("block"), "doc_id", "text")
     coded = ordered.mapInArrow(_encode(tokenizer), f"block int, doc_id {dict(rows.dtypes)['doc_id']}, block_start long, n_tokens long, tokens array<int>")
     (
@@ -114,7 +114,7 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) per document, read back from the files."""
-    files = spark.read.parquet(path).select("block", "block_start", "doc_id", "n_tokens", "tokens")
+    files = bounded_batches(spark.read.parquet(path)).select("block", "block_start", "doc_id", "n_tokens", "tokens")
     kind = dict(files.dtypes)["doc_id"]
     digests = files.mapInArrow(_crc, f"block int, block_start long, doc_id {kind}, n_tokens long, ids_crc32 long")
     return digests.join(read_starts(spark, path), "block").select(

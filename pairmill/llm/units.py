@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 _UNIT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 # White space outside ASCII, and the controls that some classes count as such.
@@ -37,6 +38,21 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, j - i)
 
 
+#: Rows of whole texts that Spark hands to a Python worker at once: by default it is 10,000,
+#: which for long texts is a hundred megabytes and more in the executor and in the worker.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """`docs`, after its session's Arrow batches were limited to BATCH_ROWS rows. The limit
+    is a session setting, so it holds when the plan runs later; results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(docs.sparkSession.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        docs.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return docs
+
+
 class UnitEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
