@@ -1,8 +1,8 @@
 """Interpolated modified Kneser-Ney language model, counted in Spark.
 
-Order 2. Tasks hash the words of their texts and pre-sum their bigrams; one shuffle by a
-slice of the context's hash brings equal bigrams together; the tasks that sum them write,
-per shard, sorted arrays of bigram hashes with counts and of context hashes with their
+Order 2. Tasks hash the words of their texts and pre-sum their bigrams, packed by context;
+one shuffle by a slice of the context's hash brings equal bigrams together; tasks sum them
+one shard at a time and write, per shard, sorted arrays of bigram hashes with counts and of context hashes with their
 totals and numbers of followers seen once, twice and more often. The same job passes each
 word's count and number of distinct predecessors on, shuffles those by word and writes
 unigram arrays alike. Only totals and counts of counts (a few rows a shard) come to the
@@ -37,13 +37,16 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairmill.llm.units import bounded_batches
 from pairmill.session import scratch
 
 BEGIN = np.uint64(xxhash.xxh64_intdigest(b"\n begin", 7))
 END = np.uint64(xxhash.xxh64_intdigest(b"\n end", 7))
 #: Characters of text worked on at once, and bigrams summed before they are sent.
-AT_ONCE, PRE_SUM = 6_000_000, 3_000_000
+AT_ONCE, PRE_SUM = 2_000_000, 3_000_000
 MIN_SHARDS = 64
+#: Contexts sent to the JVM at once.
+SEND_ROWS = 20_000
 
 
 def folds(doc_id: Column) -> Column:
@@ -98,17 +101,28 @@ def _shard(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int32)
 
 
+def _packed(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Binary cells, one for each run of `values` that begins at `first`."""
+    edges = np.concatenate([first, [len(values)]]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _bigrams(bits: int):
-    """(shard, u, w, c): bigrams of a partition's texts, summed in parts of PRE_SUM tokens."""
+    """(shard, u, ws, cs): per context the words that follow it and how often, as packed
+    arrays, from a partition's texts in parts of PRE_SUM tokens."""
 
-    def summed(us: list, ws: list) -> pa.RecordBatch:
+    def summed(us: list, ws: list) -> Iterator[pa.RecordBatch]:
         u, w = np.concatenate(us), np.concatenate(ws)
         # by the upper halves of both hashes: equal bigrams lie side by side, contexts too
         order = np.argsort((u & np.uint64(0xFFFFFFFF00000000)) | (w >> np.uint64(32)))
         u, w = u[order], w[order]
         first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
-        c = np.diff(np.concatenate([first, [len(u)]]))
-        return pa.record_batch({"shard": _shard(u[first], bits), "u": u[first].view(np.int64), "w": w[first].view(np.int64), "c": c})
+        c = np.diff(np.concatenate([first, [len(u)]])).astype(np.uint32)
+        u, w = u[first], w[first]
+        runs = _runs(u)
+        whole = pa.record_batch({"shard": _shard(u[runs], bits), "u": u[runs].view(np.int64), "ws": _packed(w, runs), "cs": _packed(c, runs)})
+        for i in range(0, len(runs), SEND_ROWS):
+            yield whole.slice(i, SEND_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us, ws, n = [], [], 0
@@ -119,10 +133,10 @@ def _bigrams(bits: int):
                 ws.append(t.words[t.ids])
                 n += len(t.ids)
                 if n >= PRE_SUM:
-                    yield summed(us, ws)
+                    yield from summed(us, ws)
                     us, ws, n = [], [], 0
         if n:
-            yield summed(us, ws)
+            yield from summed(us, ws)
 
     return run
 
@@ -136,40 +150,66 @@ def _write(base: str, name: str, **arrays: np.ndarray) -> None:
         store.move(tmp, at)
 
 
-def _read_all(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-    got = list(batches)
-    return [np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(got[0].num_columns)] if got else []
-
-
 def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
 
 
+def _least_type(values: np.ndarray) -> np.ndarray:
+    """Counts in 4 bytes each where all fit, else in 8."""
+    return values.astype(np.uint32 if values.max(initial=0) < 1 << 32 else np.uint64)
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of one shard after the other; the first column names it, in order."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for b in batches:
+        shard = b.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for i, j in zip(edges, edges[1:]):
+            if j > i and shard[i] != now:
+                if held:
+                    yield now, pa.Table.from_batches(held)
+                held, now = [], int(shard[i])
+            if j > i:
+                held.append(b.slice(i, j - i))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def _unpacked(cells: pa.ChunkedArray, dtype) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), dtype) for c in cells.chunks for x in c])
+
+
 def _write_bigrams(base: str):
-    """Writes a partition's shards. Gives (kind, w, c, n): kind 0 is a word's count and
-    distinct predecessors in a shard, kinds 1 to 4 the number of bigrams seen so often."""
+    """Sums and writes one shard at a time. Gives (kind, w, c, n): kind 0 is a word's count
+    and distinct predecessors in a shard, kinds 1 to 4 the number of bigrams seen so often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = _read_all(batches)
-        if not columns:
-            return
-        shard, u, w, c = columns
-        u, w = u.view(np.uint64), w.view(np.uint64)
-        for s in np.unique(shard):
-            mine = np.flatnonzero(shard == s)
-            mu, mw, mc = u[mine], w[mine], c[mine]
-            keys = _mix(mu, mw)
+        for s, rows in _by_shard(batches):
+            w = _unpacked(rows.column("ws"), np.uint64)
+            c = _unpacked(rows.column("cs"), np.uint32)
+            sizes = pc.binary_length(rows.column("ws")).to_numpy() // 8
+            u = np.repeat(rows.column("u").to_numpy().view(np.uint64), sizes)
+            keys = _mix(u, w)
             order = np.argsort(keys)
-            _write(base, f"bigram-{s}", keys=keys[order], counts=mc[order].astype(np.uint32))
+            first = _runs(keys[order])
+            mc = np.add.reduceat(c[order].astype(np.int64), first)
+            mine = order[first]
+            mu, mw = u[mine], w[mine]
+            _write(base, f"bigram-{s}", keys=keys[mine], counts=_least_type(mc))
+            del u, w, c, keys, order, mine
             order = np.argsort(mu, kind="stable")
             first = _runs(mu[order])
             oc = mc[order]
             seen = [np.add.reduceat(x.astype(np.int64), first) for x in (oc, oc == 1, oc == 2, oc >= 3)]
-            _write(base, f"context-{s}", keys=mu[order][first], counts=np.stack(seen, axis=1))
+            _write(base, f"context-{s}", keys=mu[order][first], counts=_least_type(np.stack(seen, axis=1)))
             order = np.argsort(mw, kind="stable")
             first = _runs(mw[order])
             n = np.diff(np.concatenate([first, [len(mw)]])).astype(np.int64)
-            yield pa.record_batch({"kind": np.zeros(len(first), np.int32), "w": mw[order][first].view(np.int64), "c": np.add.reduceat(mc[order], first), "n": n})
+            found = pa.record_batch({"kind": np.zeros(len(first), np.int32), "w": mw[order][first].view(np.int64), "c": np.add.reduceat(mc[order], first), "n": n})
+            for i in range(0, len(first), SEND_ROWS):
+                yield found.slice(i, SEND_ROWS)
             yield pa.record_batch({"kind": np.arange(1, 5, dtype=np.int32), "w": np.zeros(4, np.int64), "c": np.zeros(4, np.int64), "n": np.array([(mc == k).sum() for k in (1, 2, 3, 4)], dtype=np.int64)})
 
     return run
@@ -179,20 +219,16 @@ def _write_words(base: str, bits: int):
     """Writes the unigram shards of a partition and gives totals as (name, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = _read_all(batches)
-        if not columns:
-            return
-        _, kind, w, c, n = columns
-        totals: dict[str, int] = {f"bigrams_{k}": int(n[kind == k].sum()) for k in (1, 2, 3, 4)}
-        word = kind == 0
-        w, c, n = w[word].view(np.uint64), c[word], n[word]
-        shard = _shard(w, bits)
-        for s in np.unique(shard):
-            mine = np.flatnonzero(shard == s)
-            order = mine[np.argsort(w[mine])]
-            _write(base, f"word-{s}", keys=w[order], counts=np.stack([c[order], n[order]], axis=1))
-        totals |= {"tokens": int(c.sum()), "types": len(w), "bigrams": int(n.sum())} | {f"words_{k}": int((n == k).sum()) for k in (1, 2, 3, 4)}
-        yield pa.record_batch({"name": list(totals), "n": pa.array(totals.values(), pa.int64())})
+        for s, rows in _by_shard(batches):
+            kind, w, c, n = (rows.column(k).to_numpy() for k in ("kind", "w", "c", "n"))
+            totals: dict[str, int] = {f"bigrams_{k}": int(n[kind == k].sum()) for k in (1, 2, 3, 4)}
+            word = kind == 0
+            w, c, n = w[word].view(np.uint64), c[word], n[word]
+            if len(w):
+                order = np.argsort(w)
+                _write(base, f"word-{s}", keys=w[order], counts=_least_type(np.stack([c[order], n[order]], axis=1)))
+            totals |= {"tokens": int(c.sum()), "types": len(w), "bigrams": int(n.sum())} | {f"words_{k}": int((n == k).sum()) for k in (1, 2, 3, 4)}
+            yield pa.record_batch({"name": list(totals), "n": pa.array(totals.values(), pa.int64())})
 
     return run
 
@@ -208,7 +244,7 @@ class KneserNey:
     """The model's files and totals; a worker maps each file once."""
 
     _open: dict[str, tuple] = {}
-    WIDTH = {"bigram": (np.uint32, 1), "context": (np.int64, 4), "word": (np.int64, 2)}
+    WIDTH = {"bigram": 1, "context": 4, "word": 2}
 
     def __init__(self, base: str, bits: int, totals: dict[str, int]):
         self.base, self.bits = base, bits
@@ -232,13 +268,16 @@ class KneserNey:
         if (key := f"{self.base}/{kind}-{shard}") not in self._open:
             if self._open and not next(iter(self._open)).startswith(f"{self.base}/"):
                 self._open.clear()
-            dtype, width = self.WIDTH[kind]
-            self._open[key] = (self._map(f"{kind}-{shard}.keys", np.uint64), self._map(f"{kind}-{shard}.counts", dtype).reshape(-1, width))
+            keys, counts = self._map(f"{kind}-{shard}.keys", np.uint64), self._map(f"{kind}-{shard}.counts", np.uint32)
+            width = self.WIDTH[kind]
+            if len(counts) > len(keys) * width:
+                counts = counts.view(np.uint64)
+            self._open[key] = (keys, counts.reshape(-1, width))
         return self._open[key]
 
     def look_up(self, kind: str, by: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Counts of distinct keys (0 where absent); `by` is the hash that names the shard."""
-        out = np.zeros((len(keys), self.WIDTH[kind][1]), dtype=np.int64)
+        out = np.zeros((len(keys), self.WIDTH[kind]), dtype=np.int64)
         shard = _shard(by, self.bits)
         order = np.lexsort((keys, shard))
         edges = np.searchsorted(shard[order], np.arange((1 << self.bits) + 1))
@@ -289,12 +328,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     store.create_dir(at, recursive=True)
     # shards grow with the input's file splits, so a shard stays a few million bigrams
     bits = (max(MIN_SHARDS, 2 * docs.rdd.getNumPartitions()) - 1).bit_length()
-    texts = docs.filter(folds(F.col(id_col)) != 0).select(F.col(text_col).alias("text"))
-    counts = texts.mapInArrow(_bigrams(bits), "shard int, u long, w long, c long").repartition("shard")
-    summed = counts.groupBy("shard", "u", "w").agg(F.sum("c").alias("c"))
-    words = summed.mapInArrow(_write_bigrams(base), "kind int, w long, c long, n long")
+    texts = bounded_batches(docs).filter(folds(F.col(id_col)) != 0).select(F.col(text_col).alias("text"))
+    counts = texts.mapInArrow(_bigrams(bits), "shard int, u long, ws binary, cs binary").repartition("shard").sortWithinPartitions("shard")
+    words = counts.mapInArrow(_write_bigrams(base), "kind int, w long, c long, n long")
     whole = words.groupBy("kind", "w").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
-    slices = whole.select(F.shiftrightunsigned("w", 64 - bits).alias("shard"), "kind", "w", "c", "n").repartition("shard")
+    slices = whole.select(F.shiftrightunsigned("w", 64 - bits).alias("shard"), "kind", "w", "c", "n").repartition("shard").sortWithinPartitions("shard")
     receipts = slices.mapInArrow(_write_words(base, bits), "name string, n long")
     totals = {r["name"]: r["n"] for r in receipts.groupBy("name").agg(F.sum("n").alias("n")).collect()}
     return KneserNey(base, bits, totals)
@@ -316,6 +354,6 @@ def _score(model: KneserNey):
 def score_documents(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per
     input row; perplexity is 10 ** (-score / n_tokens)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(folds(F.col(id_col)) == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(folds(F.col(id_col)) == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     out = f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.mapInArrow(_score(model), out)
