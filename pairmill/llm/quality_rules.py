@@ -137,10 +137,11 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that are kept, without their failing lines; all other columns stay."""
-    m = F.col("__quality_m")
+    # an array of one or no measures, exploded: a plain filter would be pushed below the
+    # projection and work the measures out again for the verdict and for the text
+    kept = F.filter(F.array(measures(F.col(text_col))), lambda m: _verdict(m)[1])
     return (
-        docs.withColumn("__quality_m", measures(F.col(text_col)))
-        .filter(_verdict(m)[1])
-        .withColumn(text_col, m["clean"])
+        docs.withColumn("__quality_m", F.explode(kept))
+        .withColumn(text_col, F.col("__quality_m")["clean"])
         .drop("__quality_m")
     )
