@@ -58,7 +58,8 @@ class Codec:
             for piece, rank in table.items():
                 bytes_of[rank] = piece
             self._built.clear()
-            self._built[self.key] = (UnitEncoder(lambda texts: [enc.encode_ordinary(t) for t in texts]), bytes_of)
+            id_bytes = np.array([len(x or b"") for x in bytes_of])
+            self._built[self.key] = (UnitEncoder(lambda texts: [enc.encode_ordinary(t) for t in texts], id_bytes), bytes_of)
         return self._built[self.key]
 
     def encode(self, texts: list[str]) -> list[bytes]:

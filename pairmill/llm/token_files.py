@@ -57,7 +57,12 @@ class TokenizerFile:
 
             own = Tokenizer.from_str(self.text)
             self._built.clear()
-            self._built[self.key] = UnitEncoder(lambda t: [e.ids for e in own.encode_batch_fast(t, add_special_tokens=False)])
+            vocab = own.get_vocab(with_added_tokens=True)
+            id_bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+            # a byte-level vocabulary spells each byte as one character
+            for token, i in vocab.items():
+                id_bytes[i] = len(token)
+            self._built[self.key] = UnitEncoder(lambda t: [e.ids for e in own.encode_batch_fast(t, add_special_tokens=False)], id_bytes)
         return self._built[self.key].encode(texts)
 
 

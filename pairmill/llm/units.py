@@ -4,8 +4,9 @@ Their pre-token pattern never spans a change from a non-space to a white-space c
 and its one lookahead looks at the character after a run of white space. So a text's
 encoding is the concatenation of the encodings of its units, a unit being a run of white
 space with the run of other characters after it. Units repeat, so a worker keeps the ids
-of those it has seen, in a table of bounded size; each distinct unit is encoded by the
-tokenizer library itself. Texts with white space outside ASCII (where the libraries'
+of those it has seen, in a table of bounded size; units that aren't in it are encoded by the
+tokenizer library itself, many in one call: units that open with white space are joined,
+and their ids are told apart by the bytes that each id stands for. Texts with white space outside ASCII (where the libraries'
 classes may differ from ours) go to the library whole.
 """
 
@@ -20,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 _UNIT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+_SPACES = " \t\n\x0b\x0c\r"
 # White space outside ASCII, and the controls that some classes count as such.
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
@@ -57,18 +59,37 @@ class UnitEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
     encode_many: ids of each of a list of texts, by the tokenizer library.
+    id_bytes: how many bytes of text each id stands for.
     """
 
-    #: Most units kept, and the longest that are.
-    KEEP, KEEP_CHARS = 200_000, 32
+    #: Most units kept, the longest that are, and the units joined for one encoding.
+    KEEP, KEEP_CHARS, JOIN = 400_000, 32, 500
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]]):
-        self._encode_many = encode_many
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], id_bytes: np.ndarray):
+        self._encode_many, self._id_bytes = encode_many, id_bytes
         self._seen: dict[str, bytes] = {}
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(ids, dtype="<u4").tobytes() for ids in self._encode_many(texts)]
 
+    def _learn(self, units: list[str]) -> None:
+        """Adds the ids of units; the joined ones must open with white space and close without."""
+        joins = [u for u in units if u[0] in _SPACES and u[-1] not in _SPACES]
+        alone = [u for u in units if u[0] not in _SPACES or u[-1] in _SPACES]
+        groups = [joins[i : i + self.JOIN] for i in range(0, len(joins), self.JOIN)]
+        for group, ids in zip(groups, self._encode_many(["".join(g) for g in groups])):
+            flat = np.asarray(ids, dtype="<u4")
+            reach = np.cumsum(self._id_bytes[flat])
+            ends = np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in group])
+            at = np.searchsorted(reach, ends)
+            if len(reach) and reach[-1] == ends[-1] and (reach[at] == ends).all():
+                raw, stops = flat.tobytes(), (4 * (at + 1)).tolist()
+                self._seen.update(zip(group, [raw[i:j] for i, j in zip([0, *stops], stops)]))
+            else:
+                alone += group
+        for i in range(0, len(alone), 20_000):
+            self._seen.update(zip(alone[i : i + 20_000], self._fresh(alone[i : i + 20_000])))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = {i for i, t in enumerate(texts) if _ODD.search(t)}
         units = [[] if i in whole else _UNIT.findall(t) for i, t in enumerate(texts)]
@@ -76,8 +97,7 @@ class UnitEncoder:
         if len(seen) > self.KEEP:
             seen.clear()
         new = list({u for us in units for u in us if u not in seen})
-        for i in range(0, len(new), 20_000):
-            seen.update(zip(new[i : i + 20_000], self._fresh(new[i : i + 20_000])))
+        self._learn(new)
         get = seen.__getitem__
         out = [b"" if i in whole else b"".join(map(get, us)) for i, us in enumerate(units)]
         for u in new:
