@@ -126,3 +126,20 @@ def test_ties_follow_the_library():
         for _ in range(40):
             word = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 12)))
             assert model.count_word("▁" + word) == len(own.encode(word).ids), (pieces, word)
+
+
+def test_joined_units_equal_the_library_on_whole_texts():
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from pairmill.llm.token_files import TokenizerFile
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    parts = ["a", "é", "日本", "!", "\x01", "\x00x", "<|endoftext|>", " ", "  ", "\n", "\t", "'s", "12", " ", "\r\n", "😀", "word"]
+    texts = ["", " ", "\n\n", *("".join(rng.choices(parts, k=rng.randint(1, 40))) for _ in range(600))]
+    got = TokenizerFile.public().encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [own.encode(t, add_special_tokens=False).ids for t in texts]
