@@ -4,7 +4,8 @@ Each round gives every node the neighbour (or itself) that comes first in a fres
 pseudo-random order, contracts the edges onto those representatives, and keeps the
 mapping. The expected number of edges falls by a constant factor a round whatever the
 graph's shape, so a chain of n nodes takes O(log n) rounds. Work per round is two
-partial aggregations and two equi-joins; nothing is collected.
+partial aggregations and two equi-joins; nothing is collected. A component with a large
+share of all nodes is named where its nodes lie, not in one task.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairmill.operators.joins import join_hot
 from pairmill.session import cut
 
 
@@ -39,5 +41,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         later = root.select(F.col("u").alias("lu"), F.col("r").alias("lr"))
         root = step.join(later, F.col("r") == F.col("lu"), "left").select("u", F.coalesce("lr", "r").alias("r"))
     root = cut(root)
-    least = root.groupBy("r").agg(F.min("u").alias("component"))
-    return root.join(least, "r").select(F.col("u").alias("node"), "component")
+    least = cut(root.groupBy("r").agg(F.min("u").alias("component"), F.count("*").alias("n")))
+    return join_hot(root, least, "r", "n").select(F.col("u").alias("node"), "component")

@@ -30,6 +30,24 @@ def lookup(left: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     return left.join(dim, key)
 
 
+#: A key with at least 1/HOT_SHARE of all rows is hot; so there are at most HOT_SHARE hot keys.
+HOT_SHARE = 1000
+
+
+def join_hot(rows: DataFrame, per_key: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of `rows` to a table with one row per key, whose column `count` says how
+    many of `rows` have the key. Hot keys are met by a broadcast of their rows of `per_key`
+    (at most HOT_SHARE, whatever the input), where `rows` lie; the others meet in a shuffle,
+    in which no key has more than 1/HOT_SHARE of all rows. Both inputs are read twice: give
+    tables or checkpoints. Null keys meet nothing; the result has no column `count`."""
+    total = per_key.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) * HOT_SHARE >= total
+    hot = per_key.filter(is_hot)
+    at_once = rows.join(F.broadcast(hot.drop(count)), key)
+    shuffled = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(per_key.filter(~is_hot).drop(count), key)
+    return at_once.unionByName(shuffled)
+
+
 def unpivot_keys(df: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     """(id, kind, value) with a row for each non-null, non-empty key: an OR of equalities
     becomes one equi-join."""

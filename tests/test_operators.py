@@ -51,6 +51,18 @@ def test_components_of_random_graphs_and_nulls(spark):
         assert {r["node"]: r["component"] for r in connected_components(df.repartition(parts)).collect()} == want
 
 
+@pytest.mark.parametrize("share", [1000, 4])
+def test_join_hot_meets_hot_cold_and_null_keys(spark, monkeypatch, share):
+    monkeypatch.setattr(joins, "HOT_SHARE", share)
+    keys = [1] * 500 + [2] * 300 + [*range(3, 60)] * 3 + [None] * 5
+    rows = spark.createDataFrame(list(enumerate(keys)), "id long, k long").repartition(7)
+    per_key = rows.groupBy("k").agg(F.count("*").alias("n"), (F.max("k") * 10).alias("v")).filter("k <> 59")
+    got = joins.join_hot(rows, per_key, "k", "n")
+    assert got.columns == ["k", "id", "v"]
+    assert sorted((r["id"], r["k"], r["v"]) for r in got.collect()) == [(i, k, k * 10) for i, k in enumerate(keys) if k not in (None, 59)]
+    assert joins.join_hot(rows.limit(0), per_key.limit(0), "k", "n").count() == 0
+
+
 def test_hamming_256_bits_radius_8(spark):
     rng = random.Random(1)
     base = [rng.getrandbits(256) for _ in range(40)]
