@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairmill.operators.components import connected_components
+from pairmill.operators.joins import join_hot
 from pairmill.session import cut
 
 COSINE = 0.93
@@ -132,9 +133,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     ends = links.select(F.col("a").alias("cid"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("cid"), F.col("a").alias("to")))
     linked = ends.join(sizes.withColumnRenamed("cid", "to"), "to").groupBy("cid").agg(F.sum("n").alias("far"))
     parts = connected_components(links, "a", "b").select(F.col("node").alias("cid"), F.col("component").alias("root"))
-    rooted = own.select("cid", "n", "least").join(parts, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    per_class = rooted.join(named, "root").join(linked, "cid", "left").select("cid", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), "component_id")
-    full = marked.select("vec_id", "cid").join(per_class, "cid", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return full.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    rooted = cut(own.select("cid", "n", "least").join(parts, "cid", "left").withColumn("root", F.coalesce("root", "cid")))
+    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
+    per_class = join_hot(rooted, named, "root", "members").join(linked, "cid", "left")
+    per_class = cut(per_class.select("cid", "n", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), "component_id"))
+    ids = cut(marked.select("vec_id", "cid"))
+    full = join_hot(ids, per_class, "cid", "n")
+    alone = ids.filter("cid is null").select("vec_id", F.lit(0).alias("n_links"), F.col("vec_id").alias("component_id"))
+    full = full.select("vec_id", "n_links", "component_id").unionByName(alone)
+    return full.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -19,7 +19,9 @@ which emit variants within half the radius and shuffle on the variants:
    variants. Distance <= 3 of every star edge is verified.
 
 A variant's group holds distinct fingerprints only, so at most 2081 rows whatever the
-number of copies. Nothing is collected; lineage is cut by checkpoints in the shared folder.
+number of copies. Fingerprints and components with a large share of all rows get their names
+by a broadcast of at most joins.HOT_SHARE rows. Nothing is collected; lineage is cut by
+checkpoints in the shared folder.
 
 Defined cases. Null, empty and blank texts have fingerprint 0 and link like any other.
 Fewer than three words: the whole sequence is the one shingle. Repeated rows have the same
@@ -41,6 +43,7 @@ from pyspark.sql.types import LongType
 
 from pairmill.llm.units import bounded_batches
 from pairmill.operators.components import connected_components
+from pairmill.operators.joins import join_hot
 from pairmill.session import cut
 
 RADIUS = 3
@@ -136,18 +139,18 @@ def _fingerprinted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _components(marked: DataFrame) -> DataFrame:
-    """(fp, component_id) for every distinct fingerprint."""
-    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    """(fp, copies, component_id) for every distinct fingerprint."""
+    least = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     joined = connected_components(links(least.select("fp"))).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    rooted = least.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(named, "root").select("fp", "component_id")
+    rooted = cut(least.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
+    return cut(join_hot(rooted, named, "root", "members").select("fp", "copies", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per input row."""
     marked = _fingerprinted(docs, id_col, text_col)
-    return marked.join(_components(marked), "fp").select(
+    return join_hot(marked, _components(marked), "fp", "copies").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -156,7 +159,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """The documents without all but one of each component: the one with the smallest id.
     Rows that repeat that id count as copies of it too."""
     marked = _fingerprinted(docs, id_col, text_col)
-    ids = marked.filter("doc_id is not null").join(_components(marked), "fp").groupBy("doc_id").agg(
+    ids = join_hot(marked, _components(marked), "fp", "copies").filter("doc_id is not null").groupBy("doc_id").agg(
         F.count("*").alias("n"), F.min("component_id").alias("component_id")
     )
     stay = ids.filter("doc_id = component_id").select(F.col("doc_id").alias("__stay_id"), (F.col("n") > 1).alias("__stay_more"))
