@@ -115,9 +115,12 @@ def _ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame) -> DataFrame:
     """Star edges (src, dst) that connect exactly what links within RADIUS bits connect.
     `fps` has distinct, non-null fingerprints in column fp."""
-    keyed = fps.select("fp", F.explode(F.expr(_screen_keys())).alias("key")).repartition("key")
+    keyed = fps.select("fp", F.explode(F.expr(_screen_keys())).alias("key"))
+    keyed = keyed.repartition("key")
     shared = keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("key")
-    near = cut(keyed.join(shared, "key", "left_semi").select("fp").distinct())
+    # keys of `shared` are unique; a semi-join would be pushed below the repartition, and the
+    # two sides would then work out and shuffle the keys each for itself
+    near = cut(keyed.join(shared, "key").select("fp").distinct())
     ball = near.repartition("fp").mapInArrow(_ball, "variant long, fp long, even boolean").repartition("variant")
     centres = (
         ball.groupBy("variant")
