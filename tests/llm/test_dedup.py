@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from pairmill.llm import embedding_dedup, simhash
@@ -113,3 +114,30 @@ def test_embedding_cases(spark):
         assert by_id[i] == (0, i, True)
     assert by_id[None] == (0, None, True)
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [600, 2000, 6000])
+def test_embedding_group_of_a_third_of_all_rows(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 48))
+    x[: n // 3] = x[0] + 0.22 * rng.normal(size=(n // 3, 48))
+    x[n // 3 : n // 3 + 40] = x[n // 3] + 0.2 * rng.normal(size=(40, 48))
+    x[-1] = 2 * x[-2]
+    labels = np.arange(n) % 2
+    df = spark.createDataFrame([(i, v.tolist(), int(lab)) for i, (v, lab) in enumerate(zip(x, labels))], "vec_id long, embedding array<double>, label int").repartition(6)
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.93) & (labels[:, None] == labels)
+    np.fill_diagonal(linked, False)
+    want = linked.sum(1)
+    assert len(got) == n and all(got[i]["n_links"] <= want[i] for i in range(n))
+    for part in (range(n // 3), range(n // 3, n // 3 + 40), range(n // 3 + 40, n)):
+        assert sum(got[i]["n_links"] for i in part) >= 0.9 * want[list(part)].sum()
+    assert {got[i]["component_id"] for i in range(n // 3) if want[i]} == {0, 1}
+
+
+def test_embeddings_of_a_rare_length_link(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=16).tolist(), 1) for i in range(2000)] + [(2000 + i, [1.0 + i / 100, 2.0, 3.0], 1) for i in range(3)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).filter("vec_id >= 2000").collect()
+    assert [(r["n_links"], r["component_id"]) for r in got] == [(2, 2000)] * 3
