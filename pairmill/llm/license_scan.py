@@ -1,13 +1,17 @@
 """Licence recognition by sentence rules, in native expressions only.
 
-A text is cut into sentences, each sentence is normalised (case, digits, punctuation)
-and mapped to the identifier of a known licence sentence; the sequence of identifiers
-found in a document is matched against ordered licence rules, of which an earlier, more
+A text is cut into sentences at three grains: at full stops and blank lines, with single
+line ends folded; then at ';' and ':' too; then at every line end too. Each sentence is
+normalised (case, digits, punctuation) and mapped to the identifiers of a known licence
+sentence or clause; the coarsest grain that is known counts, and only what it leaves
+unknown is looked up at the next. The sequence of identifiers found in a document is matched against ordered licence rules, of which an earlier, more
 specific one wins over a later one of the same licence. Row-local: one scan, no shuffle.
 
 Defined cases. Null or empty text, and text without a known sentence: empty sequence, no
 rule, no licence. A licence stated twice is reported once. Sentences are recognised in
 ASCII letters only, since every known sentence is ASCII. Repeated rows are scanned row by row.
+The SQL has the finest grain only: it agrees wherever no known sentence is wrapped, spans
+';' or ':' or is one of CLAUSES.
 """
 
 from __future__ import annotations
@@ -39,6 +43,19 @@ SENTENCES = {
     "cc_attribution": "this work is licensed under a creative commons attribution # international license",
     "cc_zero": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
 }
+_APACHE = "licensed under the apache license version # the license"
+_HOLDERS = ["the copyright holders and contributors", "the copyright holder and contributors", "the regents and contributors", "the author and contributors", "the authors and contributors", "the author", "the authors"]
+_NAMED = "and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+# Normalised clause as the licence texts have it -> identifiers it states.
+CLAUSES = {
+    _APACHE: ["apache_notice"],
+    f"{_APACHE} you may not use this file except in compliance with the license": ["apache_notice", "apache_use"],
+    "you may obtain a copy of the license at http": ["apache_copy"],
+    "you may obtain a copy of the license at https": ["apache_copy"],
+    SENTENCES["mit_warranty"].replace("noninfringement", "non infringement"): ["mit_warranty"],
+    **{f"this software is provided by {h} as is {_NAMED}": ["bsd_warranty"] for h in _HOLDERS},
+    **{f"this software is provided by {h} as is and any express or implied warranties are disclaimed": ["bsd_warranty"] for h in _HOLDERS[1:]},
+}
 # Ordered rules (rule, licence, identifier sequence in order of appearance).
 RULES = [
     ("gpl_full", "GPL", ["gpl_free", "gpl_warranty", "gpl_copy"]),
@@ -65,6 +82,11 @@ TRIGGER = "(?i)licen[sc]e|permi(t|ssion)|warrant|copyright"
 NUMBER = "[0-9]+([.][0-9]+)*"
 SENTENCE_END = "[.!?;:\\n\\r]+"
 NOT_PLAIN = "[^a-z0-9#]+"
+#: Signs of a comment before each line, before numbers become '#'.
+COMMENT = "(?m)^[ \\t]*(//+|/?[*]+|#+|;+|%+|--|>+)[ \\t]+|^[ \\t]*(//+|/?[*]+/?|#+|;+|%+|--|>+)[ \\t]*$"
+#: Full stops before white space, and blank lines; signs that end a sentence within a line.
+COARSE_END = "[.!?]+(?=\\s|$)|\\r?\\n[ \\t\\r]*\\n"
+CLAUSE_END = "[.!?;:]+"
 
 
 def rule_pattern(sequence: list[str]) -> str:
@@ -72,13 +94,26 @@ def rule_pattern(sequence: list[str]) -> str:
     return "(^| )" + "( | .* )".join(sequence) + "( |$)"
 
 
+def _plain(part: Column) -> Column:
+    return F.trim(F.regexp_replace(part, NOT_PLAIN, " "))
+
+
 def sentence_ids(text: Column) -> Column:
     """Array of the identifiers of known sentences, in order of appearance."""
-    known = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, k)])
-    numbered = F.regexp_replace(F.lower(text), NUMBER, "#")
-    plain = F.transform(F.split(numbered, SENTENCE_END), lambda s: F.trim(F.regexp_replace(s, NOT_PLAIN, " ")))
-    hits = F.filter(plain, lambda s: s.isin(*SENTENCES.values()))
-    return F.when(text.rlike(TRIGGER), F.transform(hits, lambda s: known[s])).otherwise(F.array().cast("array<string>"))
+    whole = {**{v: [k] for k, v in SENTENCES.items()}, **CLAUSES}
+    known = F.create_map(*[x for v, ids in whole.items() for x in (F.lit(v), F.array(*map(F.lit, ids)))])
+    none = F.array().cast("array<string>")
+
+    def cascade(part: Column, ends: list[str]) -> Column:
+        """Identifiers of the part if it is known, or else of its pieces."""
+        if not ends:
+            return F.coalesce(F.try_element_at(known, _plain(part)), none)
+        pieces = F.flatten(F.transform(F.split(part, ends[0]), lambda s: cascade(s, ends[1:])))
+        return F.coalesce(F.try_element_at(known, _plain(part)), pieces)
+
+    numbered = F.regexp_replace(F.regexp_replace(F.lower(text), COMMENT, ""), NUMBER, "#")
+    found = F.flatten(F.transform(F.split(numbered, COARSE_END), lambda s: cascade(s, [CLAUSE_END, SENTENCE_END])))
+    return F.when(text.rlike(TRIGGER), found).otherwise(none)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

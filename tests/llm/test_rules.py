@@ -86,6 +86,68 @@ def test_ordered_rules(spark):
     assert got[7]["licenses"] == "CC-BY-NC"
 
 
+NOTICES = {
+    "gpl_full": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    "mit_full": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM.""",
+    "apache_full": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "bsd_full": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE.""",
+}
+
+
+def test_licence_texts_as_they_are_published(spark):
+    rows = []
+    for rule, text in NOTICES.items():
+        lines = text.split("\n")
+        rows += [(rule, text), (rule, text.replace("\n", "\r\n"))]
+        rows += [(rule, "\n\n".join(p.replace("\n", " ") for p in text.split("\n\n"))), (rule, " ".join(text.split()))]
+        rows += [(rule, "\n".join(f"{sign} {x}".rstrip() for x in lines)) for sign in ("#", "//", " *")]
+    rows.append(("gpl_full", NOTICES["gpl_full"].replace("software:", "software;").replace("program.  If not", "program; if not").replace("version 3", "version 2")))
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(got) == 29 and [(r["doc_id"], r["rules"]) for r in got if r["rules"] != r["doc_id"]] == []
+
+
 def test_native(spark, sf_dir):
     for name in ("op1_quality_rules", "op2_license_scan"):
         plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
