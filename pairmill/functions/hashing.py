@@ -40,3 +40,8 @@ def hex_words(signature: Column, nibbles: int) -> Column:
 
 def hamming(a: Column, b: Column, words: int) -> Column:
     return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(words)), F.lit(0))
+
+
+def sorted_json(*columns: str) -> Column:
+    """The columns as a JSON object with its keys in order; nulls are written."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})

@@ -36,11 +36,18 @@ def mean(p: Column, q: Column) -> Column:
     return F.zip_with(p, q, lambda a, b: (a + b) / 2)
 
 
-def learning_rate(step: Column, total: int, peak: float, warmup: int, floor: float = 0.05) -> Column:
-    """Linear warm-up, then cosine decay down to floor * peak."""
-    progress = (step - warmup) / F.lit(max(1, total - warmup)).cast("double")
-    decay = floor + (1 - floor) * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * progress))
-    return F.lit(peak) * F.when(step < warmup, (step + 1) / F.lit(float(max(1, warmup)))).otherwise(decay)
+def learning_rate(step: Column, total: int, peak: float, floor: float = 0.05) -> Column:
+    """Linear warm-up over 3 % of the steps (1 to 50 of them) times cosine decay over all
+    steps, from 1 to `floor`."""
+    warmup = max(1, min(50, 3 * total // 100))
+    rise = F.least(F.lit(1.0), (step + 1) / F.lit(float(warmup)))
+    share = F.least(F.lit(1.0), step / F.lit(float(max(1, total))))
+    return F.lit(peak) * rise * (floor + (1 - floor) * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * share)))
+
+
+def validation_steps(horizon: int) -> list[int]:
+    """The steps at which a run is validated: thirds of the horizon, or its end alone."""
+    return [horizon // 3, 2 * horizon // 3, horizon] if horizon % 3 == 0 else [horizon]
 
 
 def horizon(rows: Column, batch: int, accumulation: int, epochs: int, cap: int | None = None) -> Column:

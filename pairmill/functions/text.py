@@ -2,26 +2,38 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Class names by index, URL prefixes of a DOI, the start of a base64 PNG.
 LABELS = ("same_figure", "same_paper", "related_papers", "unrelated_papers")
-DOI_PREFIXES = ("https://doi.org/", "http://dx.doi.org/", "doi:")
+DOI_PREFIXES = ("https://doi.org/", "http://doi.org/", "doi.org/")
 PNG_BASE64 = "iVBORw0KGgo"
 CAPTION_LIMIT = 2400
 RESERVED_TOKENS = ("<|im_start|>", "<|im_end|>", "<|image_pad|>")
+# The prompts by pair type, with places for captions and images.
+IMAGE = "<image>"
+PROMPTS = {
+    "cxi": "Caption A: {a}\nQuestion: what is the relation of this figure to the caption?",
+    "ixi": f"Figure A:{IMAGE}Figure B:{IMAGE}Are Figure A and Figure B from the same paper, related papers, or unrelated papers?",
+    "cxc": "Caption A:\n{a}\n\nCaption B:\n{b}\n\nAre Caption A and Caption B from the same paper, related papers, or unrelated papers?",
+}
+#: White space as str.strip takes it.
+_BLANK = "(?U)[\\s\\x1c-\\x1f]+"
 
 
 def normalize_caption(text: Column) -> Column:
     """Lower case; every run of Unicode white space is one space; none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(text), "(?U)[\\s\\x1c-\\x1f]+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), _BLANK, " "))
 
 
 def normalize_doi(doi: Column, prefixes: tuple[str, ...] = DOI_PREFIXES) -> Column:
-    """Lower case without outer white space and without the first URL prefix that fits."""
-    trimmed = lambda c: F.regexp_replace(c, "^\\s+|\\s+$", "")
-    options = "|".join(p.replace(".", "\\.") for p in sorted(prefixes, key=len, reverse=True))
+    """Lower case without outer white space and without the first URL prefix that fits, in
+    the order of `prefixes`; what is left is trimmed again."""
+    trimmed = lambda c: F.regexp_replace(c, f"^{_BLANK}|{_BLANK}$", "")
+    options = "|".join(p.replace(".", "\\.") for p in prefixes)
     return trimmed(F.regexp_replace(trimmed(F.lower(doi)), f"^({options})", ""))
 
 
@@ -42,16 +54,20 @@ def truncate_caption(text: Column, limit: int = CAPTION_LIMIT) -> Column:
     return F.substring(text, 1, limit)
 
 
-def caption_valid(text: Column) -> Column:
-    """Not blank and free of reserved tokens."""
+def caption_valid(text: Column, reserved: tuple[str, ...] = RESERVED_TOKENS) -> Column:
+    """Not blank and free of reserved tokens: those of the tokenizer that is to read it."""
     clean = F.coalesce(normalize_caption(text) != "", F.lit(False))
-    for token in RESERVED_TOKENS:
+    for token in filter(None, reserved):
         clean &= ~F.contains(text, F.lit(token))
     return clean
 
 
-def render_prompt(first: Column, second: Column) -> Column:
-    return F.format_string("Caption A: %s\nCaption B: %s\nRelation:", truncate_caption(first), truncate_caption(second))
+def render_prompt(kind: str, first: Column | None = None, second: Column | None = None, limit: int = CAPTION_LIMIT) -> Column:
+    """The prompt of a pair type, captions cut to `limit` characters; IMAGE stands where an
+    image goes. Null if a caption that it needs is null."""
+    captions = {"{a}": first, "{b}": second}
+    parts = [F.substring(captions[p], 1, limit) if p in captions else F.lit(p) for p in re.split(r"(\{[ab]\})", PROMPTS[kind]) if p]
+    return F.concat(*parts)
 
 
 def label_name(index: Column) -> Column:

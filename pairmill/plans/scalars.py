@@ -9,17 +9,17 @@ from pairmill.operators import expect
 from pairmill.plans.fixtures import NIBBLES, RADIUS, Views
 from pairmill.plans.registry import query
 
-_URL_PREFIXES = ("https://www.", "https://", "http://")
-
 
 @query("SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS cap_norm FROM documents")
 def normalize_caption(v: Views):
     return v.table("documents").select("doc_id", text.normalize_caption(F.col("text")).alias("cap_norm"))
 
 
-@query("SELECT page_id, trim(regexp_replace(trim(lower(url)), '^(https://www\\.|https://|http://)', '')) AS doi FROM pages")
+@query("SELECT page_id, lower('10.1/' || url) AS doi FROM pages")
 def normalize_doi(v: Views):
-    return v.table("pages").select("page_id", text.normalize_doi(F.col("url"), _URL_PREFIXES).alias("doi"))
+    """DOIs in five spellings, by turns."""
+    forms = F.array(*[F.concat(F.lit(p), F.col("url"), F.lit(e)) for p, e in (("10.1/", ""), (" HTTPS://doi.org/10.1/", "\t"), ("http://doi.org/ 10.1/", ""), ("doi.org/10.1/", " "), ("DOI.ORG/10.1/", "\u2003"))])
+    return v.table("pages").select("page_id", text.normalize_doi(F.get(forms, (F.col("page_id") % 5).cast("int"))).alias("doi"))
 
 
 @query("SELECT doc_id, md5(text) AS obj_key FROM documents")
@@ -89,14 +89,21 @@ def label_index(v: Views):
     return named.withColumn("y", text.label_index(F.col("label")))
 
 
+_SIDES = f"SELECT a.pair_id, left(x.text, {text.CAPTION_LIMIT}) AS a, left(z.text, {text.CAPTION_LIMIT}) AS b FROM pairs a JOIN documents x ON x.doc_id = a.pair_id JOIN documents z ON z.doc_id = (31 * a.pair_id + 7) % (SELECT count(*) FROM documents)"
+
+
 @query(
-    f"SELECT a.pair_id, 'Caption A: ' || left(x.text, {text.CAPTION_LIMIT}) || chr(10) || 'Caption B: ' || left(z.text, {text.CAPTION_LIMIT}) || chr(10) || 'Relation:' AS prompt FROM pairs a JOIN documents x ON x.doc_id = a.pair_id JOIN documents z ON z.doc_id = (31 * a.pair_id + 7) % (SELECT count(*) FROM documents)", "pairs"
+    f"s AS ({_SIDES}) SELECT pair_id, 'cxc' AS kind, 'Caption A:' || chr(10) || a || chr(10) || chr(10) || 'Caption B:' || chr(10) || b || chr(10) || chr(10) || 'Are Caption A and Caption B from the same paper, related papers, or unrelated papers?' AS prompt FROM s WHERE pair_id % 3 = 0 UNION ALL SELECT pair_id, 'cxi', 'Caption A: ' || a || chr(10) || 'Question: what is the relation of this figure to the caption?' FROM s WHERE pair_id % 3 = 1 UNION ALL SELECT pair_id, 'ixi', 'Figure A:<image>Figure B:<image>Are Figure A and Figure B from the same paper, related papers, or unrelated papers?' FROM s WHERE pair_id % 3 = 2", "pairs"
 )
 def render_prompt(v: Views):
+    """The prompt of each pair type; the pairs take the types by turns."""
     d = v.table("documents")
     n = d.count()
     a = d.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("ta"), ((31 * F.col("doc_id") + 7) % n).alias("j"))
-    return a.join(d.select(F.col("doc_id").alias("j"), F.col("text").alias("tb")), "j").select("pair_id", text.render_prompt(F.col("ta"), F.col("tb")).alias("prompt"))
+    both = a.join(d.select(F.col("doc_id").alias("j"), F.col("text").alias("tb")), "j")
+    kinds = ("cxc", "cxi", "ixi")
+    pick = lambda values: F.get(F.array(*values), (F.col("pair_id") % 3).cast("int"))
+    return both.select("pair_id", pick(map(F.lit, kinds)).alias("kind"), pick([text.render_prompt(k, F.col("ta"), F.col("tb")) for k in kinds]).alias("prompt"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' AND NOT contains(text, '<|im_start|>') AND NOT contains(text, '<|im_end|>') AND NOT contains(text, '<|image_pad|>') AS valid FROM documents")
@@ -112,11 +119,11 @@ def prob_validate(v: Views):
 
 
 @query(
-    "SELECT step, round(1e-4 * CASE WHEN step < 84 THEN (step + 1) / 84.0 ELSE 0.05 + 0.95 * 0.5 * (1 + cos(pi() * (step - 84) / 753.0)) END, 12) AS lr FROM range(837) t(step)"
+    "SELECT step, round(1e-4 * least(1.0, (step + 1) / 25.0::DOUBLE) * (0.05 + 0.95 * 0.5 * (1 + cos(pi() * step / 837.0::DOUBLE))), 12) AS lr FROM range(837) t(step)"
 )
 def lr_schedule(v: Views):
     steps = v.spark.range(837).withColumnRenamed("id", "step")
-    return steps.select("step", F.round(probability.learning_rate(F.col("step"), 837, 1e-4, 84), 12).alias("lr"))
+    return steps.select("step", F.round(probability.learning_rate(F.col("step"), 837, 1e-4), 12).alias("lr"))
 
 
 @query("SELECT task, count(*) AS rows, least(ceil(count(*) / 8.0)::BIGINT * 3, 837) AS steps FROM gold GROUP BY task", "gold")
@@ -169,7 +176,7 @@ def row_count_expect(v: Views):
     return docs.unionByName(v.gold().agg(F.count("*").alias("rows")).select(F.lit("gold").alias("name"), "rows", (F.col("rows") == n).alias("holds")))
 
 
-@query(None)
+@query("SELECT * FROM (VALUES (0, 'doc_id', 'bigint'), (1, 'text', 'string'), (2, 'lang', 'string'), (3, 'source', 'string'), (4, 'n_chars', 'bigint')) t(position, name, type)")
 def expect_schema(v: Views):
     """Column names in order, one row each."""
     d = expect.expect_columns(v.table("documents"), ["doc_id", "text", "lang", "source", "n_chars"])

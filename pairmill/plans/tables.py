@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from pairmill.functions import hashing, imaging, text
+from pairmill.functions import hashing, imaging, probability, text
 from pairmill.operators import expect, joins, ranking, splits
 from pairmill.plans.fixtures import Views
 from pairmill.plans.registry import query
@@ -31,10 +33,10 @@ def scan_glob(v: Views):
     return both.select(F.coalesce("r_regionkey", "n_nationkey").alias("key"), F.coalesce("r_name", "n_name").alias("name"))
 
 
-@query(None)
+@query("SELECT doc_id AS id, md5(text) AS key_1, md5('\"' || text || '\",') AS key_2, (doc_id % 4 = 0)::INT AS same_figure, (doc_id % 4 = 1)::INT AS same_paper, (doc_id % 4 = 2)::INT AS related_papers, (doc_id % 4 = 3)::INT AS unrelated_papers FROM documents")
 def scan_csv_pairs(v: Views):
     """Written as CSV with whole texts in cells, and read back with the explicit schema."""
-    d = v.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("obj_1"), F.reverse("text").alias("obj_2"), *[(F.col("doc_id") % 4 == i).cast("int").alias(n) for i, n in enumerate(text.LABELS)])
+    d = v.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("obj_1"), F.concat(F.lit('"'), "text", F.lit('",')).alias("obj_2"), *[(F.col("doc_id") % 4 == i).cast("int").alias(n) for i, n in enumerate(text.LABELS)])
     path = scratch(v.spark, "csv-pairs")
     d.write.csv(path, header=True, quote='"', escape='"')
     return readers.read_pairs(v.spark, path).select("id", hashing.object_key(F.col("obj_1")).alias("key_1"), hashing.object_key(F.col("obj_2")).alias("key_2"), *text.LABELS)
@@ -55,7 +57,7 @@ def shard_completeness(v: Views):
     return readers.shard_completeness(v.spark, readers.list_names(v.spark, v.dir), 3)
 
 
-@query(None)
+@query("SELECT doc_id, md5(text) AS bytes_md5 FROM documents")
 def incremental_index(v: Views):
     """Two calls over a growing folder: each file is indexed once."""
     base = scratch(v.spark, "index")
@@ -73,7 +75,7 @@ def chunk_plan(v: Views):
     return blobs.chunk_plan(ranking.global_rank(h, "h", "doc_id"), "rank", 100)
 
 
-@query(None)
+@query("SELECT DISTINCT md5(html) AS md5, strlen(html)::INT AS size FROM pages")
 def blob_store(v: Views):
     """Put twice, keep once: (md5, size)."""
     path = scratch(v.spark, "blobs")
@@ -83,7 +85,7 @@ def blob_store(v: Views):
     return v.spark.read.parquet(path).select("md5", F.length("bytes").alias("size"))
 
 
-@query(None)
+@query("SELECT DISTINCT bytes_md5 AS md5, strlen(cap_text)::INT AS size FROM figures", "figures")
 def blob_verify(v: Views):
     path = scratch(v.spark, "blobs")
     b = v.table("documents").select(F.col("text").cast("binary").alias("bytes"))
@@ -99,17 +101,16 @@ def blob_audit(v: Views):
     return blobs.audit(used, stored)
 
 
-@query(None)
+@query("SELECT sha256(string_agg('{\"doc_id\":' || doc_id || ',\"key\":\"' || md5(text) || '\",\"source\":\"' || source || '\"}', chr(10) ORDER BY sha256('fingerprint' || chr(0) || doc_id)) || chr(10)) AS sha256, count(*) AS rows FROM documents")
 def input_fingerprint(v: Views):
-    """Order-sensitive digest over JSON rows in a seeded order."""
+    """Digest over JSON lines, keys sorted, in a seeded order, a line feed behind each."""
     d = v.table("documents").select("doc_id", "source", hashing.object_key(F.col("text")).alias("key"))
-    return blobs.ordered_digest(d, F.to_json(F.struct("doc_id", "source", "key")), hashing.seeded("fingerprint", F.col("doc_id")))
+    return blobs.ordered_digest(d, hashing.sorted_json(*d.columns), hashing.seeded("fingerprint", F.col("doc_id")), end="\n")
 
 
-@query(
-    "per AS (SELECT DISTINCT md5(text) AS h, strlen(text) AS n FROM documents), b AS (SELECT left(h, 2) AS b, sha256(string_agg(h || ':' || n, chr(10) ORDER BY h)) AS d, count(*) AS n FROM per GROUP BY 1) SELECT sha256(string_agg(d, chr(10) ORDER BY b)) AS sha256, sum(n)::BIGINT AS rows FROM b"
-)
+@query("per AS (SELECT DISTINCT md5(text) AS h, strlen(text) AS n FROM documents) SELECT sha256(string_agg(h || ':' || n, chr(10) ORDER BY h)) AS sha256, count(*) AS rows FROM per")
 def manifest_digest(v: Views):
+    """sha256 of the sorted lines "md5:size", joined by line feeds."""
     d = v.table("documents").select(hashing.object_key(F.col("text")).alias("h"), F.octet_length("text").alias("n")).distinct()
     return blobs.ordered_digest(d, F.concat_ws(":", "h", "n"), F.col("h"))
 
@@ -128,15 +129,61 @@ def manifest_verify(v: Views):
     return blobs.verify_manifest(wrong.unionByName(absent), found)
 
 
-@query(None)
+#: Pixels of a page's image, row by row: hex digits of its md5, as grey levels.
+_PIXELS = "px AS (SELECT page_id, left(repeat(md5(html), 9), 272) AS s FROM pages)"
+
+
+def page_images(v: Views):
+    """A grey PNG of 17 x 16 pixels for each page; every fifth is cut off in the middle."""
+
+    @F.pandas_udf("binary")
+    def drawn(pixels: pd.Series) -> pd.Series:
+        return pd.Series([imaging.encode_png(np.repeat(np.frombuffer(x.encode(), np.uint8).reshape(16, 17, 1), 3, axis=2)) for x in pixels], dtype=object)
+
+    p = v.table("pages").select("page_id", F.substring(F.repeat(hashing.object_key(F.col("html")), 9), 1, 272).alias("s"))
+    png = p.select("page_id", drawn("s").alias("png"))
+    return png.select("page_id", F.when(F.col("page_id") % 5 == 4, F.expr("substring(png, 1, 50)")).otherwise(F.col("png")).alias("bytes"))
+
+
+@query(f"{_PIXELS} SELECT page_id, CASE WHEN page_id % 5 < 4 THEN md5('(16, 17, 3)' || array_to_string([c || c || c FOR c IN string_split(s, '')], '')) END AS px_md5 FROM px")
 def px_md5(v: Views):
-    """Undecodable bytes have null keys: no page here is a PNG."""
-    return imaging.fingerprints(v.table("pages").select("page_id", F.col("html").cast("binary").alias("bytes"))).select("page_id", "px_md5")
+    """Digests of decoded pixels; undecodable bytes have null keys."""
+    return imaging.fingerprints(page_images(v)).select("page_id", "px_md5")
 
 
-@query(None)
+@query(
+    f"{_PIXELS}, b AS (SELECT page_id, [(ascii(s[1 + k + k // 16 + 1]) > ascii(s[1 + k + k // 16]))::INT FOR k IN range(256)] AS b FROM px) SELECT page_id, CASE WHEN page_id % 5 < 4 THEN array_to_string([printf('%x', 8 * b[4 * k + 1] + 4 * b[4 * k + 2] + 2 * b[4 * k + 3] + b[4 * k + 4]) FOR k IN range(64)], '') END AS dhash FROM b"
+)
 def dhash(v: Views):
-    return imaging.fingerprints(v.table("pages").select("page_id", F.col("html").cast("binary").alias("bytes"))).select("page_id", "dhash")
+    """Gradient hashes of images of just the hash's size."""
+    return imaging.fingerprints(page_images(v)).select("page_id", "dhash")
+
+
+@query("SELECT pair_id AS id, (p = 0)::INT AS same_figure, (p = 1)::INT AS same_paper, (p = 2)::INT AS related_papers, (p = 3)::INT AS unrelated_papers FROM pred_a", "pred_a")
+def submission_csv(v: Views):
+    """Predictions written as CSV, once: a second write of the path is refused; read back."""
+    hot = probability.one_hot(F.col("p"))
+    rows = v.predictions(1).select(F.col("pair_id").alias("id"), *[c.alias(n) for c, n in zip(hot, text.LABELS)])
+    path = scratch(v.spark, "submission")
+    readers.write_csv_once(rows, path)
+    return v.spark.read.csv(path, schema="id long, " + ", ".join(f"{n} int" for n in text.LABELS), header=True)
+
+
+@query("SELECT DISTINCT doi FROM figures WHERE uuid % 3 = 0", "figures")
+def text_list(v: Views):
+    """A column's distinct values as sorted lines of text, read back."""
+    path = scratch(v.spark, "lines")
+    readers.write_lines(v.figures().filter("uuid % 3 = 0"), "doi", path)
+    return v.spark.read.text(path).withColumnRenamed("value", "doi")
+
+
+@query("SELECT 'nation.parquet' AS name, count(*) AS rows, count(*) FILTER (n_name IS NULL) AS errors FROM nation UNION ALL SELECT 'region.parquet', count(*), count(*) FILTER (r_name IS NULL) FROM region")
+def file_sums(v: Views):
+    """Rows and rows without a name, per file."""
+    both = v.spark.read.option("mergeSchema", "true").parquet(f"{v.dir}/{{region,nation}}.parquet")
+    # a file of a folder counts for the table the folder is
+    name = F.regexp_extract(F.input_file_name(), "((?:region|nation)\\.parquet)", 1)
+    return both.groupBy(name.alias("name")).agg(F.count("*").alias("rows"), F.count_if(F.coalesce("r_name", "n_name").isNull()).alias("errors"))
 
 
 @query("SELECT pair_id, key_1, key_2 FROM pairs", "pairs")
@@ -242,7 +289,7 @@ def expected_present(v: Views):
     return lines.join(v.table("benchmark"), "text").select("doc_id", "item_id")
 
 
-@query(None)
+@query("SELECT page_id AS id, md5(html) AS md5, strlen(html)::INT AS size FROM pages WHERE page_id IN (SELECT doc_id FROM documents)")
 def selected_recovery(v: Views):
     """Selected ids only, joined before decoding; content that doesn't fit its key is dropped."""
     raw = v.table("pages").select(F.col("page_id").alias("id"), F.base64(F.col("html").cast("binary")).alias("cell"), hashing.object_key(F.col("html")).alias("md5"))

@@ -6,6 +6,10 @@ so equal content is stored once; gets verify the bytes against their name.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,14 +54,54 @@ def verify_manifest(manifest: DataFrame, found: DataFrame) -> DataFrame:
     return full.select("name", state.alias("state")).filter("state is not null")
 
 
-def ordered_digest(rows: DataFrame, line: Column, order: Column, bucket_digits: int = 2) -> DataFrame:
-    """One row, sha256 over the rows' lines in order: digests of buckets of equal leading
-    hex digits of `order`, then of those, so no task holds more than a bucket."""
-    keyed = rows.select(F.substring(order, 1, bucket_digits).alias("b"), order.alias("o"), line.alias("l"))
-    parts = keyed.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("o", "l"))).alias("x"), F.count("*").alias("n"))
-    per = parts.select("b", "n", F.sha2(F.array_join(F.transform("x", lambda x: x["l"]), "\n").cast("binary"), 256).alias("d"))
-    whole = F.sort_array(F.collect_list(F.struct("b", "d")))
-    return per.agg(F.sha2(F.array_join(F.transform(whole, lambda x: x["d"]), "\n").cast("binary"), 256).alias("sha256"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+#: Characters of lines that one row holds on their way to the digest.
+DIGEST_BLOCK = 1 << 20
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, k, n, lines): a partition's lines in order, joined to blocks."""
+    held, size, k, part, count = [], 0, 0, 0, 0
+
+    def block() -> pa.RecordBatch:
+        return pa.record_batch({"part": pa.array([part], pa.int32()), "k": pa.array([k], pa.int64()), "n": pa.array([count], pa.int64()), "lines": ["\n".join(held)]})
+
+    for b in batches:
+        for part, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            held.append(line)
+            size, count = size + len(line) + 1, count + 1
+            if size >= DIGEST_BLOCK:
+                yield block()
+                held, size, count, k = [], 0, 0, k + 1
+    if held:
+        yield block()
+
+
+def ordered_digest(rows: DataFrame, line: Column, *order: Column, end: str = "") -> DataFrame:
+    """One row: the sha256 of all lines in order, with a line feed between them and `end`
+    behind the last, and their number. Null lines count as empty. The rows are sorted by
+    range in parallel; a digest of one stream has to see it in order, so one task reads the
+    sorted blocks of lines one after the other and holds only the digest's state. Ties in
+    `order` are in the order of the lines."""
+    names = [f"o{i}" for i in range(len(order))]
+    keyed = rows.select(*[o.alias(n) for o, n in zip(order, names)], F.coalesce(line, F.lit("")).alias("line"))
+    placed = keyed.repartitionByRange(*names, "line").sortWithinPartitions(*names, "line").select(F.spark_partition_id().alias("part"), "line")
+    blocks = placed.mapInArrow(_blocks, "part int, k long, n long, lines string")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, n = hashlib.sha256(), 0
+        for b in batches:
+            for count, lines in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if not count:
+                    continue
+                state.update((("\n" if n else "") + lines).encode())
+                n += count
+        if n:
+            state.update(end.encode())
+        yield pa.record_batch({"sha256": [state.hexdigest()], "rows": pa.array([n], pa.int64())})
+
+    # a row without lines, so that there is a digest of no rows too
+    start = rows.sparkSession.range(1).select(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("n"), F.lit("").alias("lines"))
+    return blocks.unionByName(start).repartition(1).sortWithinPartitions("part", "k").mapInArrow(digest, "sha256 string, rows long")
 
 
 def chunk_plan(rows: DataFrame, rank: str, size: int) -> DataFrame:

@@ -57,3 +57,43 @@ def shard_completeness(spark: SparkSession, names: list[str], count: int, patter
     have = spark.createDataFrame([(n,) for n in names], "name string")
     missing = want.join(have, "name", "left_anti").withColumn("state", F.lit("missing"))
     return missing.unionByName(have.join(want, "name", "left_anti").withColumn("state", F.lit("unexpected")))
+
+
+def read_manifest(spark: SparkSession, path: str, schema: str, *required: str) -> DataFrame:
+    """A JSON document as one row of `schema`; a file that isn't one JSON object, or that
+    lacks a required field, is an error that names the file and the field only."""
+    name = posixpath.basename(path)
+    found = spark.read.json(path, multiLine=True, mode="PERMISSIVE", schema=f"{schema}, _bad string", columnNameOfCorruptRecord="_bad").take(2)
+    if len(found) != 1 or found[0]["_bad"] is not None:
+        raise ValueError(f"{name}: not one JSON object of the expected shape")
+    for field in required:
+        if found[0][field] is None or found[0][field] in ("", [], {}):
+            raise ValueError(f"{name}: {field} is missing")
+    plain = spark.createDataFrame([], schema).schema
+    return spark.createDataFrame([tuple(found[0][f.name] for f in plain.fields)], plain)
+
+
+def caption_column(columns: list[str], *preferred: str) -> str:
+    """The first of the preferred columns that a table has: one choice for all its rows."""
+    for name in preferred:
+        if name in columns:
+            return name
+    raise ValueError(f"none of the columns {', '.join(preferred)}")
+
+
+def without_labels(df: DataFrame, labels: tuple[str, ...] = ("label", "y", "target")) -> DataFrame:
+    """The table itself; an error if it has a label column."""
+    if found := sorted(set(df.columns) & set(labels)):
+        raise ValueError(f"label columns {found} in a label-free table")
+    return df
+
+
+def write_csv_once(df: DataFrame, path: str) -> None:
+    """CSV with a header into a new folder; an existing one is an error and stays as it is."""
+    df.write.mode("errorifexists").csv(path, header=True, quote='"', escape='"')
+
+
+def write_lines(df: DataFrame, column: str, path: str) -> None:
+    """The distinct, non-empty values of a column as sorted lines of text, in a new folder."""
+    lines = df.select(F.col(column).cast("string").alias("value")).filter("value <> ''").distinct()
+    lines.repartitionByRange("value").sortWithinPartitions("value").write.mode("errorifexists").text(path)
