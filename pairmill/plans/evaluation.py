@@ -74,15 +74,28 @@ def delta_f1(v: Views):
     return a.filter("support > 0").select("label", F.col("f1").alias("fa")).join(b.select("label", F.col("f1").alias("fb")), "label").select("label", F.round(F.col("fb") - F.col("fa"), 9).alias("delta"))
 
 
-DRAWS = 50
+#: Draws of the bootstrap, as many as a percentile interval needs.
+DRAWS = 10_000
 
 
-@query(
-    f"g AS (SELECT group_id, row_number() OVER (ORDER BY md5(group_id), group_id) AS g FROM (SELECT DISTINCT group_id FROM gold)), n AS (SELECT count(*) AS n FROM g), s AS (SELECT d, ('0x' || left(md5('bootstrap:' || d || ':' || s), 12))::BIGINT % n + 1 AS g FROM n, range({DRAWS}) t(d), (SELECT unnest(range(n)) AS s FROM n) u), c AS (SELECT 'a' AS model, group_id, y, p, count(*) AS n FROM pred_a GROUP BY ALL UNION ALL SELECT 'b', group_id, y, p, count(*) FROM pred_b GROUP BY ALL), w AS (SELECT model, d, y, p, sum(n) AS n FROM s JOIN g USING (g) JOIN c USING (group_id) GROUP BY ALL), f AS (SELECT model, d, l, coalesce(sum(n) FILTER (y = l), 0) AS support, coalesce(sum(n) FILTER (p = l), 0) AS predicted, coalesce(sum(n) FILTER (y = l AND p = l), 0) AS hits FROM w, range(4) t(l) GROUP BY model, d, l) SELECT model, d AS draw, round(sum({_f1_value()}) / 4, 9) AS macro_f1 FROM f GROUP BY model, d", "pred_a", "pred_b", "gold"
-)
-def cluster_bootstrap(v: Views):
+_BOOTSTRAP = f"g AS (SELECT group_id, row_number() OVER (ORDER BY md5(group_id), group_id) AS g FROM (SELECT DISTINCT group_id FROM gold)), n AS (SELECT count(*) AS n FROM g), s AS (SELECT d, ('0x' || left(md5('bootstrap:' || d || ':' || s), 12))::BIGINT % n + 1 AS g FROM n, range({DRAWS}) t(d), (SELECT unnest(range(n)) AS s FROM n) u), c AS (SELECT 'a' AS model, group_id, y, p, count(*) AS n FROM pred_a GROUP BY ALL UNION ALL SELECT 'b', group_id, y, p, count(*) FROM pred_b GROUP BY ALL), w AS (SELECT model, d, y, p, sum(n) AS n FROM s JOIN g USING (g) JOIN c USING (group_id) GROUP BY ALL), f AS (SELECT model, d, l, coalesce(sum(n) FILTER (y = l), 0) AS support, coalesce(sum(n) FILTER (p = l), 0) AS predicted, coalesce(sum(n) FILTER (y = l AND p = l), 0) AS hits FROM w, range(4) t(l) GROUP BY model, d, l), m AS (SELECT model, d AS draw, sum({_f1_value()}) / 4 AS macro_f1 FROM f GROUP BY model, d)"
+
+
+def _draws(v: Views):
     cells = [metrics.confusion(v.predictions(i), "group_id").withColumn("model", F.lit(m)) for m, i in (("a", 1), ("b", 5))]
-    return metrics.cluster_bootstrap(cells[0].unionByName(cells[1]), DRAWS).select("model", "draw", F.round("macro_f1", 9).alias("macro_f1"))
+    return metrics.cluster_bootstrap(cells[0].unionByName(cells[1]), DRAWS)
+
+
+@query(f"{_BOOTSTRAP} SELECT model, draw, round(macro_f1, 9) AS macro_f1 FROM m", "pred_a", "pred_b", "gold")
+def cluster_bootstrap(v: Views):
+    return _draws(v).select("model", "draw", F.round("macro_f1", 9).alias("macro_f1"))
+
+
+@query(f"{_BOOTSTRAP}, x AS (SELECT b.macro_f1 - a.macro_f1 AS x FROM m a JOIN m b USING (draw) WHERE a.model = 'a' AND b.model = 'b') SELECT round(quantile_cont(x, 0.025), 9) AS low, round(quantile_cont(x, 0.975), 9) AS high, round(avg(x), 9) AS mean FROM x", "pred_a", "pred_b", "gold")
+def bootstrap_interval(v: Views):
+    """The 95 % percentile interval of the paired difference of macro F1."""
+    i = metrics.interval(_draws(v), "a", "b")
+    return i.select(*[F.round(c, 9).alias(c) for c in ("low", "high", "mean")])
 
 
 @query("SELECT pair_id, round((a.p[1] + b.p[1]) / 2, 9) AS p0, round((a.p[2] + b.p[2]) / 2, 9) AS p1, round((a.p[3] + b.p[3]) / 2, 9) AS p2, round((a.p[4] + b.p[4]) / 2, 9) AS p3 FROM probs_a a JOIN probs_rev b USING (pair_id)", "probs_a", "probs_rev")
@@ -157,6 +170,46 @@ def run_status(v: Views):
     return runs.status(log, exits, 3, *_KEYS)
 
 
+#: A run of the protocol for each user: (ordinal, event, step), and what is amiss by user_id % 20.
+_PROTOCOL = [(0, "ready", None), (10, "validation", 3), (20, "checkpoint", 3), (30, "validation", 6), (40, "checkpoint", 6), (50, "validation", 9), (60, "checkpoint", 9), (70, "done", 9)]
+_HORIZON, _TRAIN_ROWS, _VAL_ROWS = 9, 2230, 794
+_AMISS = ["", "exit_code", "missing_ready", "total_steps", "missing_config", "val_every", "seed", "train_rows", "val_rows", "init_checkpoint", "bad_score", "duplicate_step", "unexpected_step", "missing_validations", "unverified_checkpoint", "missing_checkpoints", "not_done", "done_step", "done_too_early", ""]
+
+
+def protocol_runs(v: Views):
+    """(log, manifest) of runs by the protocol, most of them with one thing amiss."""
+    d = F.col("run") % 20
+    users = v.table("events").select(F.col("user_id").alias("run")).distinct()
+    arm = F.when(d % 2 == 0, "gold_only").otherwise("public4k")
+    manifest = users.select("run", arm.alias("arm"), F.col("run").alias("seed"), (d == 1).cast("int").alias("exitcode"))
+    events = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(e).alias("event"), F.lit(s).cast("long").alias("s")) for o, e, s in _PROTOCOL])
+    rows = manifest.select("run", "arm", F.explode(events).alias("e")).select("run", "arm", "e.*")
+    is_ready, mid = F.col("event") == "ready", F.col("s") == 6
+    gone = (is_ready & (d == 2)) | ((F.col("event") == "validation") & mid & (d == 13)) | ((F.col("event") == "checkpoint") & mid & (d == 15)) | ((F.col("event") == "done") & (d == 16))
+    rows = rows.filter(~F.coalesce(gone, F.lit(False)))
+    step = F.when((F.col("event") == "validation") & mid & (d == 11), 3).when((F.col("event") == "validation") & mid & (d == 12), 5).when((F.col("event") == "done") & (d == 17), 8).otherwise(F.col("s"))
+    score = F.when((F.col("event") == "validation") & ~(mid & (d == 10)), ((F.col("run") * 7 + F.col("s") * 13) % 100) / 100.0)
+    init = F.when((F.col("arm") == "public4k") != (d == 9), "start")
+    config = F.when(is_ready & (d != 4), F.struct((F.col("run") + (d == 6).cast("int")).alias("seed"), F.when(d == 5, 4).otherwise(3).cast("long").alias("val_every"), init.alias("init_checkpoint")))
+    of_ready = lambda value, k: F.when(is_ready, F.when(d == k, 1).otherwise(value)).cast("long")
+    log = rows.select(
+        "run", F.when((F.col("event") == "done") & (d == 18), 45).otherwise(F.col("o")).alias("ordinal"), "event", step.cast("long").alias("step"), score.alias("macro"), F.lit(None).cast("double").alias("best"),
+        of_ready(_TRAIN_ROWS, 7).alias("train_rows"), of_ready(_VAL_ROWS, 8).alias("val_rows"), of_ready(_HORIZON, 3).alias("total_steps"),
+        F.when(F.col("event") == "checkpoint", ~(mid & (d == 14))).alias("reload_verified"), config.alias("config"),
+    )
+    return log, manifest
+
+
+@query(
+    "u AS (SELECT DISTINCT user_id AS u, user_id % 20 AS d FROM events), r AS (SELECT u, d, ([" + ", ".join(f"'{x}'" for x in _AMISS) + "])[d + 1] AS reason, [((u * 7 + s * 13) % 100) / 100.0::DOUBLE FOR s IN [3, 6, 9]] AS m FROM u) SELECT CASE WHEN d % 2 = 0 THEN 'gold_only' ELSE 'public4k' END AS arm, u AS seed, CASE WHEN reason = '' THEN 'complete' WHEN reason IN ('bad_score', 'duplicate_step', 'unexpected_step') THEN 'error' ELSE 'incomplete' END AS status, reason, CASE WHEN reason = '' THEN 3 * list_position(m, list_max(m)) END::BIGINT AS chosen_step, CASE WHEN reason = '' THEN round(list_max(m), 9) END AS chosen_score, CASE WHEN reason = '' THEN round(m[3], 9) END AS final_score FROM r"
+)
+def run_reconcile(v: Views):
+    """Runs by the full protocol, with the first rule that each breaks."""
+    log, manifest = protocol_runs(v)
+    full = runs.reconcile(log, manifest, _HORIZON, _TRAIN_ROWS, _VAL_ROWS)
+    return full.withColumns({c: F.round(c, 9) for c in ("chosen_score", "final_score")})
+
+
 _BEST = "b AS (SELECT arm, seed, max(macro) AS best_macro, arg_max(macro, (step, ordinal)) AS last_macro FROM runlog WHERE event = 'validation' GROUP BY user_id, arm, seed), pr AS (SELECT seed, max(best_macro) FILTER (arm = 'public4k') - max(best_macro) FILTER (arm = 'gold_only') AS best_diff, max(last_macro) FILTER (arm = 'public4k') - max(last_macro) FILTER (arm = 'gold_only') AS last_diff FROM b GROUP BY seed HAVING count(*) FILTER (arm = 'public4k') = 1 AND count(*) FILTER (arm = 'gold_only') = 1)"
 
 
