@@ -50,9 +50,10 @@ def join_hot(rows: DataFrame, per_key: DataFrame, key: str, count: str) -> DataF
 
 def unpivot_keys(df: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     """(id, kind, value) with a row for each non-null, non-empty key: an OR of equalities
-    becomes one equi-join."""
-    pairs = ", ".join(f"'{k}', {k}" for k in keys)
-    return df.selectExpr(f"{id_col} as id", f"stack({len(keys)}, {pairs}) as (kind, value)").filter("value is not null and value <> ''")
+    becomes one equi-join. `value` is the key's md5, so whole texts aren't shuffled."""
+    pairs = ", ".join(f"'{k}', nullif({k}, '')" for k in keys)
+    rows = df.selectExpr(f"{id_col} as id", f"stack({len(keys)}, {pairs}) as (kind, value)").filter("value is not null")
+    return rows.select("id", "kind", F.unhex(F.md5(F.col("value").cast("binary"))).alias("value"))
 
 
 def match_any_key(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: list[str]) -> DataFrame:
@@ -62,6 +63,19 @@ def match_any_key(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     return a.join(b, ["kind", "value"]).select(left_id, right_id, "kind").distinct()
 
 
+def shared_values(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: list[str]) -> DataFrame:
+    """(kind, value, n_left, n_right) for each value on both sides: how many ids of each side
+    have it. A popular value is one row, not all pairs of its ids."""
+    count = lambda df, i, n: unpivot_keys(df, i, keys).distinct().groupBy("kind", "value").agg(F.count("*").alias(n))
+    return count(left, left_id, "n_left").join(count(right, right_id, "n_right"), ["kind", "value"])
+
+
+def with_any_key(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: list[str]) -> DataFrame:
+    """Distinct ids of `left` that share the value of a key with a row of `right`."""
+    there = unpivot_keys(right, right_id, keys).select("kind", "value").distinct()
+    return unpivot_keys(left, left_id, keys).join(there, ["kind", "value"], "left_semi").select(F.col("id").alias(left_id)).distinct()
+
+
 def first_of_sources(sources: list[DataFrame], key: str) -> DataFrame:
     """Union in which a key of an earlier source wins, whatever the partitioning."""
     ranked = [s.withColumn("__source", F.lit(i)) for i, s in enumerate(sources)]

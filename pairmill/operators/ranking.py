@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairmill.session import cut
+
 BUCKET_DIGITS = 3
 
 
@@ -19,6 +21,17 @@ def global_rank(df: DataFrame, digest_col: str, tie: str, out: str = "rank") ->
     return bucketed.withColumn("__r", F.row_number().over(inner)).join(base, "__b").withColumn(out, F.col("__base") + F.col("__r")).drop("__b", "__r", "__base")
 
 
+def range_rank(df: DataFrame, *order: str, out: str = "rank") -> DataFrame:
+    """0-based rank by `order`: rows are sorted by range in parallel, numbered in their
+    partition and kept in the shared folder; only a count per partition is added. Equal
+    leading columns, however many rows have them, are split over partitions."""
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__p", F.shiftright("__m", 33)).withColumn("__m", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
+    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.groupBy("__p").agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
+    return placed.join(F.broadcast(base), "__p").withColumn(out, F.col("__base") + F.col("__m")).drop("__p", "__m", "__base")
+
+
 def top_per_class(df: DataFrame, class_col: str, n: int, *order: str) -> DataFrame:
     """The n first rows of each class; Spark limits each task's rows before the shuffle."""
     w = Window.partitionBy(class_col).orderBy(*order)

@@ -47,3 +47,8 @@ def hamming_cross(left: DataFrame, right: DataFrame, col: str, nibbles: int, rad
 def _near(pairs: DataFrame, nibbles: int, radius: int) -> DataFrame:
     d = hamming(F.col("a_w"), F.col("b_w"), -(-nibbles // 16))
     return pairs.withColumn("distance", d.cast("int")).filter(F.col("distance") <= radius).select("a", "b", "distance").distinct()
+
+
+def within(a: Column, b: Column, nibbles: int, radius: int) -> Column:
+    """Whether two hex fingerprints are within `radius` bits; null if one is null."""
+    return hamming(hex_words(a, nibbles), hex_words(b, nibbles), -(-nibbles // 16)) <= radius

@@ -18,11 +18,18 @@ from pairmill.session import cut
 def content_edges(rows: DataFrame, node: str, keys: list[str]) -> DataFrame:
     """Star edges (src, dst) between nodes that share a key's value: each node to the least
     node of the value, never all pairs."""
-    held = unpivot_keys(rows.filter(F.col(node).isNotNull() & (F.col(node) != "")), node, keys)
+    held = unpivot_keys(rows.filter(F.col(node).isNotNull() & (F.col(node) != "")), node, keys).distinct()
     hub = held.groupBy("kind", "value").agg(F.min("id").alias("src"))
     return held.join(hub, ["kind", "value"]).filter("id <> src").select("src", F.col("id").alias("dst")).distinct()
 
 
+def near_edges(rows: DataFrame, node: str, signature: str, near: DataFrame) -> DataFrame:
+    """Edges (src, dst) between the least nodes of two fingerprints of `near` (a, b)."""
+    hub = rows.filter(F.col(signature).isNotNull() & F.col(node).isNotNull() & (F.col(node) != "")).groupBy(F.col(signature).alias("s")).agg(F.min(node).alias("hub"))
+    at = lambda c, end: hub.select(F.col("s").alias(c), F.col("hub").alias(end))
+    return near.select("a", "b").join(at("a", "src"), "a").join(at("b", "dst"), "b").filter("src <> dst").select("src", "dst").distinct()
+
+
 def components(nodes: DataFrame, node: str, edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes; a node without edges is its own component."""
     linked = connected_components(edges).withColumnRenamed("node", node)

@@ -14,7 +14,8 @@ from pairmill.functions.hashing import object_key
 from pairmill.functions.text import normalize_caption
 
 N_EVENTS = {"signup": "ready", "view": "train", "click": "validation", "purchase": "checkpoint", "error": "done"}
-NIBBLES, RADIUS = 8, 6
+#: Hex digits of a signature, and of an image hash; bits within which two are near.
+NIBBLES, HASH_NIBBLES, RADIUS = 8, 64, 8
 
 
 class Views:
@@ -34,13 +35,17 @@ class Views:
         g = F.expr("doc_id div 4")
         cap = normalize_caption(F.col("text"))
         d = self.table("documents").select(F.col("doc_id").alias("uuid"), self.doi(g).alias("doi"), F.col("text").alias("cap_text"), cap.alias("cap_norm"))
-        return d.withColumn("bytes_md5", F.md5(F.col("cap_text").cast("binary"))).withColumn("px_md5", F.md5(F.col("cap_norm").cast("binary")))
+        md5 = lambda c: F.md5(c.cast("binary"))
+        # an image hash of 256 bits that differs by 3 bits at most where texts begin alike
+        head = F.substring("cap_norm", 1, 40)
+        dhash = F.concat(md5(head), F.substring(md5(F.concat(F.lit("x"), head)), 1, 31), (F.length("cap_norm") % 8).cast("string"))
+        return d.withColumns({"bytes_md5": md5(F.col("cap_text")), "px_md5": md5(F.col("cap_norm")), "dhash": dhash})
 
     def figures(self) -> DataFrame:
         return self.all_figures().filter("uuid % 17 <> 0")
 
     def held(self) -> DataFrame:
-        return self.all_figures().filter("uuid % 17 = 0").select(F.col("bytes_md5").alias("obj_key"), "cap_norm", "bytes_md5", "px_md5").distinct()
+        return self.all_figures().filter("uuid % 17 = 0").select(F.col("bytes_md5").alias("obj_key"), "cap_norm", "bytes_md5", "px_md5", "dhash").distinct()
 
     def papers(self) -> DataFrame:
         return self.table("documents").selectExpr("doc_id div 4 as g").distinct().select("g", self.doi(F.col("g")).alias("doi"))
@@ -126,9 +131,9 @@ def _softmax(first: int, masked: bool = True) -> str:
 
 #: The same views in SQL; a view may use those before it.
 SQL_VIEWS = {
-    "all_figures": f"SELECT doc_id AS uuid, {_DOI.format(g='doc_id // 4')} AS doi, text AS cap_text, {_NORM} AS cap_norm, md5(text) AS bytes_md5, md5({_NORM}) AS px_md5 FROM documents",
+    "all_figures": f"SELECT *, md5(left(cap_norm, 40)) || left(md5('x' || left(cap_norm, 40)), 31) || (length(cap_norm) % 8) AS dhash FROM (SELECT doc_id AS uuid, {_DOI.format(g='doc_id // 4')} AS doi, text AS cap_text, {_NORM} AS cap_norm, md5(text) AS bytes_md5, md5({_NORM}) AS px_md5 FROM documents)",
     "figures": "SELECT * FROM all_figures WHERE uuid % 17 <> 0",
-    "held": "SELECT DISTINCT bytes_md5 AS obj_key, cap_norm, bytes_md5, px_md5 FROM all_figures WHERE uuid % 17 = 0",
+    "held": "SELECT DISTINCT bytes_md5 AS obj_key, cap_norm, bytes_md5, px_md5, dhash FROM all_figures WHERE uuid % 17 = 0",
     "papers": f"SELECT g, {_DOI.format(g='g')} AS doi FROM (SELECT DISTINCT doc_id // 4 AS g FROM documents)",
     "edges": "SELECT DISTINCT least(a.doi, b.doi) AS src, greatest(a.doi, b.doi) AS dst FROM papers a, (SELECT max(g) + 1 AS n FROM papers) m, papers b WHERE (b.g = (7 * a.g + 3) % n OR b.g = (13 * a.g + 5) % n) AND a.g <> b.g",
     "objects": "SELECT md5(raw) AS obj_key, min(modality) AS modality, min(raw) AS raw FROM (SELECT text AS raw, 'caption' AS modality FROM documents UNION ALL SELECT html, 'image' FROM pages) GROUP BY 1",
@@ -149,6 +154,12 @@ SQL_VIEWS = {
 _USES = {"figures": ["all_figures"], "held": ["all_figures"], "edges": ["papers"], "probs_a": ["gold"], "probs_b": ["gold"], "probs_rev": ["gold"], "pred_a": ["gold", "probs_a"], "pred_b": ["gold", "probs_b"]}
 
 
+def near_sql(a: str, b: str, radius: int = RADIUS) -> str:
+    """Whether two columns of 64 hex digits are within `radius` bits."""
+    words = [f"bit_count(xor(('0x' || substr({a}, {i}, 16))::UBIGINT::HUGEINT, ('0x' || substr({b}, {i}, 16))::UBIGINT::HUGEINT))::INT" for i in range(1, HASH_NIBBLES, 16)]
+    return f"{' + '.join(words)} <= {radius}"
+
+
 def sql(body: str, *views: str, recursive: bool = False) -> str:
     """`body` with the views it names, and those they use, as common table expressions.
     A body may begin with own expressions: "name AS (...), ... SELECT"."""

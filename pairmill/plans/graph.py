@@ -8,44 +8,69 @@ from pyspark.sql import functions as F
 from pairmill.functions import text
 from pairmill.functions.hashing import seeded
 from pairmill.operators import joins, similarity, splits
-from pairmill.plans.fixtures import NIBBLES, RADIUS, Views
+from pairmill.plans.fixtures import HASH_NIBBLES, NIBBLES, RADIUS, Views, near_sql
 from pairmill.plans.registry import query
 from pairmill.session import cut
 
 _KEYS = ["cap_norm", "bytes_md5", "px_md5"]
+_HASHES = [*_KEYS, "dhash"]
+#: Radius for the short signatures of embeddings' signs.
+SIGN_RADIUS = 6
 #: Components of papers that share content, in SQL: labels spread along shared values.
 _COMPONENTS = """
-k AS (SELECT DISTINCT doi, 'c' || cap_norm AS v FROM figures WHERE cap_norm <> '' UNION SELECT DISTINCT doi, 'b' || bytes_md5 FROM figures UNION SELECT DISTINCT doi, 'p' || px_md5 FROM figures),
-h AS (SELECT v, min(doi) AS hub FROM k GROUP BY v),
-e AS (SELECT DISTINCT doi AS a, hub AS b FROM k JOIN h USING (v) WHERE doi <> hub), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+k AS (SELECT DISTINCT doi, 'c' || cap_norm AS v FROM figures WHERE cap_norm <> '' UNION SELECT DISTINCT doi, 'b' || bytes_md5 FROM figures UNION SELECT DISTINCT doi, 'p' || px_md5 FROM figures UNION SELECT DISTINCT doi, 'd' || dhash FROM figures),
+h AS (SELECT v, min(doi) AS hub FROM k GROUP BY v), dh AS (SELECT DISTINCT dhash AS d FROM figures),
+nr AS (SELECT x.d AS x, y.d AS y FROM dh x JOIN dh y ON x.d < y.d AND """ + near_sql("x.d", "y.d") + """),
+e AS (SELECT DISTINCT doi AS a, hub AS b FROM k JOIN h USING (v) WHERE doi <> hub UNION SELECT hx.hub, hy.hub FROM nr JOIN h hx ON hx.v = 'd' || x JOIN h hy ON hy.v = 'd' || y WHERE hx.hub <> hy.hub), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(a, b) AS (SELECT DISTINCT doi, doi FROM figures UNION SELECT r.a, s.b FROM reach r JOIN s ON s.a = r.b),
 comp AS (SELECT a AS doi, min(b) AS component FROM reach GROUP BY a)"""
-_FORBIDDEN = _COMPONENTS + """,
-hit AS (SELECT DISTINCT f.doi FROM figures f WHERE f.cap_norm IN (SELECT cap_norm FROM held) OR f.bytes_md5 IN (SELECT bytes_md5 FROM held) OR f.px_md5 IN (SELECT px_md5 FROM held)),
+#: Image hashes of figures near a held one, in SQL.
+_HELD_NEAR = f"hn AS (SELECT DISTINCT x.dhash FROM (SELECT DISTINCT dhash FROM figures) x JOIN (SELECT DISTINCT dhash FROM held) y ON {near_sql('x.dhash', 'y.dhash')})"
+_FORBIDDEN = _COMPONENTS + f",\n{_HELD_NEAR}" + """,
+hit AS (SELECT DISTINCT f.doi FROM figures f WHERE f.cap_norm IN (SELECT cap_norm FROM held) OR f.bytes_md5 IN (SELECT bytes_md5 FROM held) OR f.px_md5 IN (SELECT px_md5 FROM held) OR f.dhash IN (FROM hn)),
 bad AS (SELECT doi FROM comp WHERE component IN (SELECT component FROM comp JOIN hit USING (doi)))"""
 _ELIGIBLE = _FORBIDDEN + ",\nok AS (SELECT * FROM figures WHERE doi NOT IN (SELECT doi FROM bad) AND length(cap_norm) >= 40)"
 _COMP_EDGES = _COMPONENTS + ",\nce AS (SELECT DISTINCT least(x.component, y.component) AS p, greatest(x.component, y.component) AS q FROM edges JOIN comp x ON x.doi = src JOIN comp y ON y.doi = dst WHERE x.component <> y.component)"
 
 
+def keyed_figures(v: Views) -> DataFrame:
+    """Figures with the keys that joins need, captions as digests: made once and kept."""
+    digest = F.when(F.col("cap_norm") != "", F.md5(F.col("cap_norm").cast("binary")))
+    return cut(v.figures().select("uuid", "doi", digest.alias("cap_norm"), "bytes_md5", "px_md5", "dhash", F.length("cap_norm").alias("cap_length")))
+
+
+def keyed_held(v: Views) -> DataFrame:
+    return cut(v.held().withColumn("cap_norm", F.when(F.col("cap_norm") != "", F.md5(F.col("cap_norm").cast("binary")))))
+
+
+def components_of(f: DataFrame) -> DataFrame:
+    """(doi, component): papers that share a caption, image, pixels or image hash, or have
+    image hashes within the radius."""
+    near = similarity.hamming_self(f, "dhash", HASH_NIBBLES, RADIUS)
+    edges = splits.content_edges(f, "doi", _HASHES).unionByName(splits.near_edges(f, "doi", "dhash", near))
+    return cut(splits.components(f, "doi", edges))
+
+
 def paper_components(v: Views) -> DataFrame:
-    f = v.figures()
-    return cut(splits.components(f, "doi", splits.content_edges(f, "doi", _KEYS)))
+    return components_of(keyed_figures(v))
 
 
-def exposed(v: Views) -> DataFrame:
-    """(uuid, obj_key, kind): figures that share a key with a held object."""
-    return joins.match_any_key(v.figures(), v.held(), "uuid", "obj_key", _KEYS)
+def exposed(f: DataFrame, held: DataFrame) -> DataFrame:
+    """Distinct uuids of figures that share a key with a held object or are near one."""
+    near = similarity.hamming_cross(f, held, "dhash", HASH_NIBBLES, RADIUS).select(F.col("a").alias("dhash")).distinct()
+    by_image = f.join(near, "dhash", "left_semi").select("uuid")
+    return joins.with_any_key(f, held, "uuid", "obj_key", _KEYS).union(by_image).distinct()
 
 
-def forbidden(v: Views) -> DataFrame:
-    hits = v.figures().join(exposed(v).select("uuid"), "uuid", "left_semi")
-    return splits.blocked(paper_components(v), "doi", hits)
+def forbidden_of(f: DataFrame, held: DataFrame) -> DataFrame:
+    return splits.blocked(components_of(f), "doi", f.join(exposed(f, held), "uuid", "left_semi"))
 
 
 def eligible(v: Views) -> DataFrame:
     """Figures with content keys and a caption of 40 characters, in papers that aren't blocked."""
-    fit = F.col("bytes_md5").isNotNull() & F.col("px_md5").isNotNull() & (F.col("doi") != "") & (F.length("cap_norm") >= 40)
-    return v.figures().filter(fit).join(forbidden(v).select("doi"), "doi", "left_anti")
+    f = keyed_figures(v)
+    fit = F.col("bytes_md5").isNotNull() & F.col("dhash").isNotNull() & (F.col("doi") != "") & (F.col("cap_length") >= 40)
+    return f.filter(fit).join(forbidden_of(f, keyed_held(v)).select("doi"), "doi", "left_anti")
 
 
 @query(f"{_ELIGIBLE} SELECT uuid, doi FROM ok", "figures", "held", recursive=True)
@@ -72,35 +97,34 @@ def dup_components(v: Views):
 def near_components(v: Views):
     """Components of fingerprints within the radius."""
     s = v.signatures()
-    near = similarity.hamming_self(s, "sig", NIBBLES, RADIUS)
+    near = similarity.hamming_self(s, "sig", NIBBLES, SIGN_RADIUS)
     return splits.components(s, "sig", near.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
-@query(
-    f"SELECT a.sig AS a, b.sig AS b, bit_count(xor(a.w, b.w))::INT AS distance FROM (SELECT DISTINCT sig, ('0x' || sig)::BIGINT AS w FROM signatures) a JOIN (SELECT DISTINCT sig, ('0x' || sig)::BIGINT AS w FROM signatures) b ON a.sig < b.sig AND bit_count(xor(a.w, b.w)) <= {RADIUS}", "signatures"
-)
+@query(f"d AS (SELECT DISTINCT dhash AS d FROM all_figures) SELECT x.d AS a, y.d AS b, ({near_sql('x.d', 'y.d').removesuffix(f' <= {RADIUS}')})::INT AS distance FROM d x JOIN d y ON x.d < y.d AND {near_sql('x.d', 'y.d')}", "all_figures")
 def hamming_self(v: Views):
-    return similarity.hamming_self(v.signatures(), "sig", NIBBLES, RADIUS)
+    """Pairs of image hashes of 256 bits within 8 bits, by nine bands."""
+    return similarity.hamming_self(v.all_figures(), "dhash", HASH_NIBBLES, RADIUS)
 
 
-@query(
-    f"SELECT a.sig AS a, b.sig AS b, bit_count(xor(a.w, b.w))::INT AS distance FROM (SELECT DISTINCT sig, ('0x' || sig)::BIGINT AS w FROM signatures WHERE label < 3) a JOIN (SELECT DISTINCT sig, ('0x' || sig)::BIGINT AS w FROM signatures WHERE label >= 3) b ON bit_count(xor(a.w, b.w)) <= {RADIUS}", "signatures"
-)
+@query(f"d AS (SELECT DISTINCT dhash AS d FROM held), f AS (SELECT DISTINCT dhash AS d FROM figures) SELECT x.d AS a, y.d AS b, ({near_sql('x.d', 'y.d').removesuffix(f' <= {RADIUS}')})::INT AS distance FROM d x JOIN f y ON {near_sql('x.d', 'y.d')}", "figures", "held")
 def hamming_cross(v: Views):
-    s = v.signatures()
-    return similarity.hamming_cross(s.filter("label < 3"), s.filter("label >= 3"), "sig", NIBBLES, RADIUS)
+    return similarity.hamming_cross(v.held(), v.figures(), "dhash", HASH_NIBBLES, RADIUS)
 
 
 @query(
     "SELECT kind, count(*) AS hits, count(DISTINCT uuid) AS figures, count(DISTINCT obj_key) AS objects FROM (SELECT 'cap_norm' AS kind, uuid, obj_key FROM figures JOIN held USING (cap_norm) WHERE cap_norm <> '' UNION SELECT 'bytes_md5', uuid, obj_key FROM figures JOIN held USING (bytes_md5) UNION SELECT 'px_md5', uuid, obj_key FROM figures JOIN held USING (px_md5)) GROUP BY kind", "figures", "held"
 )
 def exposure_exact(v: Views):
-    return exposed(v).groupBy("kind").agg(F.count("*").alias("hits"), F.countDistinct("uuid").alias("figures"), F.countDistinct("obj_key").alias("objects"))
+    """Per key: pairs of figure and object that share its value, and how many of each."""
+    shared = joins.shared_values(v.figures(), v.held(), "uuid", "obj_key", _KEYS)
+    total = lambda c, n: F.sum(c).cast("long").alias(n)
+    return shared.groupBy("kind").agg(total(F.col("n_left") * F.col("n_right"), "hits"), total("n_left", "figures"), total("n_right", "objects"))
 
 
 @query(f"{_FORBIDDEN} SELECT doi FROM bad", "figures", "held", recursive=True)
 def forbidden_closure(v: Views):
-    return forbidden(v).select("doi")
+    return forbidden_of(keyed_figures(v), keyed_held(v)).select("doi")
 
 
 @query("SELECT src, dst FROM edges WHERE src IN (SELECT doi FROM figures) AND dst IN (SELECT doi FROM figures)", "figures", "edges")
@@ -200,10 +224,10 @@ def closure_receipt(v: Views):
     return _pruned(v).agg(F.lit(n).cast("long").alias("pairs"), F.count("*").alias("kept"), F.countDistinct("group_id").alias("groups"))
 
 
-@query(f"{_ELIGIBLE} SELECT count(*) AS leaks FROM ok WHERE cap_norm IN (SELECT cap_norm FROM held) OR bytes_md5 IN (SELECT bytes_md5 FROM held) OR px_md5 IN (SELECT px_md5 FROM held)", "figures", "held", recursive=True)
+@query(f"{_ELIGIBLE} SELECT count(*) AS leaks FROM ok WHERE cap_norm IN (SELECT cap_norm FROM held) OR bytes_md5 IN (SELECT bytes_md5 FROM held) OR px_md5 IN (SELECT px_md5 FROM held) OR dhash IN (FROM hn)", "figures", "held", recursive=True)
 def leak_audit(v: Views):
-    left = joins.unpivot_keys(eligible(v), "uuid", _KEYS).join(joins.unpivot_keys(v.held(), "obj_key", _KEYS), ["kind", "value"], "left_semi")
-    return left.select("id").distinct().agg(F.count("*").alias("leaks"))
+    """Eligible figures that share a key with a held object or are near one: none."""
+    return exposed(cut(eligible(v)), keyed_held(v)).agg(F.count("*").alias("leaks"))
 
 
 def _seed_edges(v: Views, members: DataFrame) -> DataFrame:

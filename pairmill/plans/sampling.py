@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairmill.operators import pairs, splits
-from pairmill.plans.fixtures import Views
+from pairmill.functions import text
+from pairmill.operators import pairs
+from pairmill.plans.fixtures import Views, near_sql
 from pairmill.plans.registry import query
 
+#: Pairs wanted of each class; the operators take any number.
 QUOTA = 100
 SHIFTS = [1, 7]
 
@@ -30,29 +32,128 @@ _SHIFTED = f"SELECT a.doi AS doi_a, a.uuid AS uuid_a, b.doi AS doi_b, b.uuid AS
 _UNRELATED = f"SELECT * FROM ({_SHIFTED}) WHERE doi_a <> doi_b AND (least(doi_a, doi_b), greatest(doi_a, doi_b)) NOT IN (SELECT (src, dst) FROM edges)"
 
 
-def _first(sql: str) -> str:
-    """The quota's least keys of a candidate query."""
-    return f"SELECT doi_a, uuid_a, doi_b, uuid_b, round(key, 9) AS key FROM ({sql}) ORDER BY key, uuid_a, uuid_b LIMIT {QUOTA}"
-
-
-def _least(df):
-    return df.orderBy("key", "uuid_a", "uuid_b").limit(QUOTA).select("doi_a", "uuid_a", "doi_b", "uuid_b", F.round("key", 9).alias("key"))
-
-
 @query(f"SELECT least({QUOTA}, count(*))::BIGINT AS quota FROM (SELECT DISTINCT bytes_md5, cap_norm FROM figures)", "figures")
 def class_quota(v: Views):
     n = v.figures().select("bytes_md5", "cap_norm").distinct().agg(F.count("*").alias("n"))
     return n.select(F.least(F.lit(QUOTA), "n").cast("long").alias("quota"))
 
 
-@query(_first(_SAME_FIGURE).replace("SELECT", "SELECT", 1), "figures")
+#: The pool of a drawing, ranked, in SQL.
+_POOL = """
+fig AS (SELECT doi, uuid, row_number() OVER (ORDER BY doi, uuid) - 1 AS r FROM figures),
+pap AS (SELECT doi, min(r) AS f, count(*) AS n, row_number() OVER (ORDER BY doi) - 1 AS p FROM fig GROUP BY doi),
+sp AS (SELECT f, n, row_number() OVER (ORDER BY doi) - 1 AS p FROM pap WHERE n > 1),
+rel AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS i FROM edges WHERE src IN (SELECT doi FROM pap) AND dst IN (SELECT doi FROM pap)),
+adj AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS i FROM (SELECT src AS a, dst AS b FROM rel UNION ALL SELECT dst, src FROM rel)),
+nod AS (SELECT a, min(i) AS f, count(*) AS n, row_number() OVER (ORDER BY a) - 1 AS p FROM adj GROUP BY a),
+jn AS (SELECT doi, string_split(doi, '/')[1] || '/' || string_split(doi, '/')[2] AS j FROM pap),
+jp AS (SELECT doi, j, row_number() OVER (ORDER BY j, doi) - 1 AS i FROM jn WHERE j IN (SELECT j FROM jn GROUP BY j HAVING count(*) > 1)),
+jo AS (SELECT j, min(i) AS f, count(*) AS n, row_number() OVER (ORDER BY j) - 1 AS p FROM jp GROUP BY j)"""
+
+
+def _hash(seed: str, what: str, n: str) -> str:
+    return f"(('0x' || left(sha256('{seed}' || chr(0) || '{what}' || chr(0) || t), 12))::BIGINT % {n})"
+
+
+def _pick(seed: str, table: str, what: str = "group") -> str:
+    return _hash(seed, what, f"(SELECT count(*) FROM {table})")
+
+
+def _two(seed: str, rows: str) -> str:
+    """Ranks of two members of a drawn group (t, f, n)."""
+    i = _hash(seed, "first", "n")
+    return f"SELECT t, f + {i} AS i, f + ({i} + 1 + {_hash(seed, 'second', '(n - 1)')}) % n AS j FROM ({rows})"
+
+
+def _of_papers(seed: str, rows: str) -> str:
+    x, y = (_hash(seed, f"figure {c}", f"{c}.n") for c in "pq")
+    return f"SELECT t, a.uuid AS uuid_a, a.doi AS doi_a, b.uuid AS uuid_b, b.doi AS doi_b FROM ({rows}) d JOIN pap p ON p.doi = d.p JOIN pap q ON q.doi = d.q JOIN fig a ON a.r = p.f + {x} JOIN fig b ON b.r = q.f + {y}"
+
+
+def _drawn(y: int, seed: str, mode: str = "") -> str:
+    t = f"range({pairs.MOST_ATTEMPTS * QUOTA}) t(t)"
+    if y == 0:
+        return f"SELECT t, uuid AS uuid_a, doi AS doi_a, uuid AS uuid_b, doi AS doi_b FROM (SELECT t, {_pick(seed, 'fig')} AS r FROM {t}) JOIN fig USING (r)"
+    if y == 1:
+        ij = _two(seed, f"SELECT t, f, n FROM (SELECT t, {_pick(seed, 'sp')} AS p FROM {t}) JOIN sp USING (p)")
+        return f"SELECT t, a.uuid AS uuid_a, a.doi AS doi_a, b.uuid AS uuid_b, b.doi AS doi_b FROM ({ij}) d JOIN fig a ON a.r = d.i JOIN fig b ON b.r = d.j"
+    if y == 2:
+        e = f"SELECT t, src, dst, {_hash(seed, 'flip', '2')} AS flip FROM (SELECT t, {_pick(seed, 'rel')} AS i FROM {t}) JOIN rel USING (i)"
+        return _of_papers(seed, f"SELECT t, CASE flip WHEN 1 THEN dst ELSE src END AS p, CASE flip WHEN 1 THEN src ELSE dst END AS q FROM ({e})")
+    if mode == pairs.Pool.RANDOM:
+        ij = _two(seed, f"SELECT t, 0 AS f, (SELECT count(*) FROM pap) AS n FROM {t}")
+        return _of_papers(seed, f"SELECT t, x.doi AS p, y.doi AS q FROM ({ij}) d JOIN pap x ON x.p = d.i JOIN pap y ON y.p = d.j")
+    if mode == pairs.Pool.JOURNAL:
+        ij = _two(seed, f"SELECT t, f, n FROM (SELECT t, {_pick(seed, 'jo')} AS p FROM {t} WHERE (SELECT count(*) FROM jo) > 0) JOIN jo USING (p)")
+        return _of_papers(seed, f"SELECT t, x.doi AS p, y.doi AS q FROM ({ij}) d JOIN jp x ON x.i = d.i JOIN jp y ON y.i = d.j")
+    start = f"SELECT t, a AS p, f + {_hash(seed, 'hop 1', 'n')} AS i FROM (SELECT t, {_pick(seed, 'nod')} AS p FROM {t}) JOIN nod USING (p)"
+    last = f"SELECT t, s.p, n.f + {_hash(seed, 'hop 2', 'n.n')} AS i FROM ({start}) s JOIN adj ON adj.i = s.i JOIN nod n ON n.a = adj.b"
+    return _of_papers(seed, f"SELECT t, l.p, adj.b AS q FROM ({last}) l JOIN adj USING (i)")
+
+
+_APART = "(least(doi_a, doi_b), greatest(doi_a, doi_b)) NOT IN (SELECT (src, dst) FROM edges) AND doi_a <> doi_b"
+_UNLIKE = f"a.cap_norm <> b.cap_norm AND a.px_md5 <> b.px_md5 AND NOT {near_sql('a.dhash', 'b.dhash')}"
+
+
+def _generated() -> str:
+    """The classes and modes in order, each without the identities taken before."""
+    hop, journal = pairs.Pool.TWO_HOP, pairs.Pool.JOURNAL
+    modes = [(3, pairs.Pool.RANDOM, 0), (3, journal, 1), (3, hop, 2)]
+    steps = [(0, "same_figure", "0", QUOTA), (1, "same_paper", "1", QUOTA), (2, "citation_edge", "2", QUOTA)] + [(y, m, f"3{k}", (QUOTA - k + 2) // 3) for y, m, k in modes]
+    parts = []
+    for k, (y, mode, salt, want) in enumerate(steps):
+        seed = f"pairs {salt}"
+        rows = _drawn(y, seed, mode)
+        name = f"'{mode}'"
+        if mode == journal:  # two-hop where no journal has two papers
+            rows = f"SELECT * FROM ({rows}) UNION ALL SELECT * FROM ({_drawn(3, seed, hop)}) WHERE (SELECT count(*) FROM jo) = 0"
+            name = f"CASE WHEN (SELECT count(*) FROM jo) = 0 THEN '{hop}' ELSE '{mode}' END"
+        keep = " AND ".join(["true", *([_UNLIKE] if y else []), *([_APART] if y == 3 else [])])
+        ident = f"SELECT t, uuid_a, uuid_b, md5(a.bytes_md5 || chr(0) || b.cap_norm) AS ident FROM ({rows}) JOIN figures a ON a.uuid = uuid_a JOIN figures b ON b.uuid = uuid_b WHERE {keep}"
+        before = "".join(f" AND ident NOT IN (SELECT ident FROM g{i})" for i in range(k))
+        first = f"SELECT * FROM ({ident}) WHERE true{before} QUALIFY row_number() OVER (PARTITION BY ident ORDER BY t) = 1"
+        parts.append(f"g{k} AS MATERIALIZED (SELECT {y} AS y, {name} AS mode, t, uuid_a, uuid_b, ident FROM ({first}) ORDER BY t LIMIT {want})")
+    union = " UNION ALL ".join(f"SELECT * FROM g{i}" for i in range(len(parts)))
+    return f"{_POOL}, {', '.join(parts)}, out AS ({union})"
+
+
+def _pairs(v: Views, last: int = 3):
+    f, e = v.figures(), v.edges()
+    return pairs.generate(pairs.Pool(f, e, text.journal(F.col("doi"))), f, e, class_quota(v).first()["quota"], "pairs", last)
+
+
+def _class(y: int, v: Views):
+    return _pairs(v, y).filter(F.col("y") == y).select("mode", "uuid_a", "uuid_b")
+
+
+_OF_CLASS = "SELECT mode, uuid_a, uuid_b FROM out WHERE y = "
+
+
+@query(f"{_generated()} {_OF_CLASS}0", "figures", "edges")
 def pairs_same_figure(v: Views):
-    return _least(pairs.same_figure(v.figures(), "same_figure"))
+    return _class(0, v)
 
 
-@query(_first(_SAME_PAPER), "figures")
+@query(f"{_generated()} {_OF_CLASS}1", "figures", "edges")
 def pairs_same_paper(v: Views):
-    return _least(pairs.same_paper(v.figures(), "same_paper"))
+    return _class(1, v)
+
+
+@query(f"{_generated()} {_OF_CLASS}2", "figures", "edges")
+def pairs_related(v: Views):
+    return _class(2, v)
+
+
+@query(f"{_generated()} {_OF_CLASS}3", "figures", "edges")
+def pairs_unrelated(v: Views):
+    """The three modes in turn: each gives its third of the quota."""
+    return _class(3, v)
+
+
+@query(f"{_generated()} SELECT y, uuid_a, uuid_b, ident FROM out", "figures", "edges")
+def pair_dedup(v: Views):
+    """All four classes in order, no identity twice."""
+    return _pairs(v).select("y", "uuid_a", "uuid_b", "ident")
 
 
 @query("SELECT a.doi, a.uuid AS uuid_a, b.uuid AS uuid_b FROM figures a JOIN figures b ON a.doi = b.doi AND a.uuid <> b.uuid", "figures")
@@ -66,74 +167,17 @@ def related_pairs(v: Views):
     return pairs.related(v.figures(), v.edges(), "related").select("doi_a", "uuid_a", "doi_b", "uuid_b")
 
 
-@query(_first(_RELATED), "figures", "edges")
-def pairs_related(v: Views):
-    return _least(pairs.related(v.figures(), v.edges(), "related"))
-
-
 @query(f"SELECT doi_a, uuid_a, doi_b, uuid_b FROM ({_UNRELATED})", "figures", "edges")
 def unrelated_pairs(v: Views):
     random = pairs.shifted(v.figures(), "random", SHIFTS)
     return pairs.without_direct(random, v.edges()).select("doi_a", "uuid_a", "doi_b", "uuid_b")
 
 
-_HOP = "SELECT p AS doi_a, q AS doi_b FROM (SELECT DISTINCT a.dst AS p, b.dst AS q FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) a JOIN (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) b ON a.src = b.src AND a.dst < b.dst WHERE (a.dst, b.dst) NOT IN (SELECT (src, dst) FROM edges))"
-_JOURNAL = "SELECT doi AS doi_a, other AS doi_b FROM (SELECT doi, coalesce(lead(doi) OVER (PARTITION BY j ORDER BY h, doi), first_value(doi) OVER (PARTITION BY j ORDER BY h, doi)) AS other FROM (SELECT doi, string_split(doi, '/')[1] || '/' || string_split(doi, '/')[2] AS j, sha256('unrelated' || chr(0) || doi) AS h FROM (SELECT DISTINCT doi FROM figures))) WHERE doi <> other"
-
-
-def _between(seed: str, papers: str) -> str:
-    n = "(SELECT doi, count(*) AS n FROM figures GROUP BY doi)"
-    return f"SELECT o.doi_a, a.uuid AS uuid_a, o.doi_b, b.uuid AS uuid_b, {_key(seed, '1.0 / (na.n * nb.n)', 'a.uuid', 'b.uuid')} AS key FROM ({papers}) o JOIN figures a ON a.doi = doi_a JOIN figures b ON b.doi = doi_b JOIN {n} na ON na.doi = doi_a JOIN {n} nb ON nb.doi = doi_b"
-
-
-def _mode(mode: str, sql: str, n: int) -> str:
-    return f"(SELECT '{mode}' AS mode, uuid_a, uuid_b FROM ({sql}) WHERE doi_a <> doi_b AND (least(doi_a, doi_b), greatest(doi_a, doi_b)) NOT IN (SELECT (src, dst) FROM edges) ORDER BY key, uuid_a, uuid_b LIMIT {n})"
-
-
-@query(f"SELECT * FROM ({_mode('random', _SHIFTED, 34)} UNION ALL {_mode('journal', _between('journal', _JOURNAL), 33)} UNION ALL {_mode('two_hop', _between('two_hop', _HOP), 33)})", "figures", "edges")
-def pairs_unrelated(v: Views):
-    """The three policies in turn: each gives its third of the quota."""
-    from pairmill.functions import text
-
-    f, e = v.figures(), v.edges()
-    papers = f.select("doi").distinct().withColumn("journal", text.journal(F.col("doi")))
-    journal = splits.journal_neighbours(papers, "doi", "journal", "unrelated").select(F.col("doi").alias("doi_a"), F.col("other").alias("doi_b"))
-    hop = splits.two_hop(e).select(F.col("p").alias("doi_a"), F.col("q").alias("doi_b"))
-    modes = [("random", pairs.shifted(f, "random", SHIFTS)), ("journal", pairs.between(f, journal, "journal")), ("two_hop", pairs.between(f, hop, "two_hop"))]
-    out = None
-    for m, (name, frame) in enumerate(modes):
-        took = pairs.without_direct(frame, e).orderBy("key", "uuid_a", "uuid_b").limit(-(-(QUOTA - m) // 3)).select(F.lit(name).alias("mode"), "uuid_a", "uuid_b")
-        out = took if out is None else out.unionByName(took)
-    return out
-
-
-@query(f"SELECT r.uuid_a, r.uuid_b FROM ({_RELATED}) r JOIN figures a ON a.uuid = r.uuid_a JOIN figures b ON b.uuid = r.uuid_b WHERE a.cap_norm <> b.cap_norm AND a.px_md5 <> b.px_md5", "figures", "edges")
+@query(f"SELECT r.uuid_a, r.uuid_b FROM ({_RELATED}) r JOIN figures a ON a.uuid = r.uuid_a JOIN figures b ON b.uuid = r.uuid_b WHERE {_UNLIKE}", "figures", "edges")
 def near_reject(v: Views):
     return pairs.reject_near(pairs.related(v.figures(), v.edges(), "related"), v.figures()).select("uuid_a", "uuid_b")
 
 
-def _ident(sql: str) -> str:
-    return f"SELECT key, uuid_a, uuid_b, md5(a.bytes_md5 || chr(0) || b.cap_norm) AS ident FROM ({sql}) JOIN figures a ON a.uuid = uuid_a JOIN figures b ON b.uuid = uuid_b"
-
-
-def _accept() -> str:
-    parts, took = [], []
-    for y, sql in enumerate((_SAME_FIGURE, _SAME_PAPER, _RELATED)):
-        without = "".join(f" AND ident NOT IN (SELECT ident FROM t{k})" for k in took)
-        best = f"SELECT ident, key, uuid_a, uuid_b FROM (SELECT *, row_number() OVER (PARTITION BY ident ORDER BY key, uuid_a, uuid_b) AS k FROM ({_ident(sql)})) WHERE k = 1{without}"
-        parts.append(f"t{y} AS (SELECT {y} AS y, * FROM ({best}) ORDER BY key, ident LIMIT {QUOTA})")
-        took.append(y)
-    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT y, uuid_a, uuid_b, ident FROM t{y}" for y in took)
-
-
-@query(_accept(), "figures", "edges")
-def pair_dedup(v: Views):
-    """Classes in order, no identity twice."""
-    f, e = v.figures(), v.edges()
-    frames = [pairs.same_figure(f, "same_figure"), pairs.same_paper(f, "same_paper"), pairs.related(f, e, "related")]
-    return pairs.accept_in_order([pairs.with_identity(p, f) for p in frames], QUOTA).select("y", "uuid_a", "uuid_b", "ident")
-
-
 @query(f"SELECT y, count(*) AS n FROM (SELECT CASE WHEN uuid_a = uuid_b THEN 0 WHEN doi_a = doi_b THEN 1 WHEN (least(doi_a, doi_b), greatest(doi_a, doi_b)) IN (SELECT (src, dst) FROM edges) THEN 2 ELSE 3 END AS y FROM (SELECT doi_a, uuid_a, doi_b, uuid_b FROM ({_SAME_FIGURE}) UNION ALL SELECT doi_a, uuid_a, doi_b, uuid_b FROM ({_SAME_PAPER}) UNION ALL SELECT doi_a, uuid_a, doi_b, uuid_b FROM ({_RELATED}) UNION ALL SELECT doi_a, uuid_a, doi_b, uuid_b FROM ({_UNRELATED}))) GROUP BY y", "figures", "edges")
 def relation_label(v: Views):
     """Labels derived anew for all candidates of all classes."""

@@ -1,5 +1,6 @@
 """Operators against brute force, goldens and invariants."""
 
+import hashlib
 import random
 import struct
 import zlib
@@ -165,11 +166,139 @@ def test_normalize_caption(spark, raw, want):
     assert spark.createDataFrame([(raw,)], "x string").select(text.normalize_caption(F.col("x"))).first()[0] == want
 
 
-@pytest.mark.parametrize("raw, want", [(" HTTPS://doi.org/10.1/A ", "10.1/a"), ("doi:10.1/x", "10.1/x"), ("10.1/http://dx.doi.org/", "10.1/http://dx.doi.org/"), ("doi:doi:1", "doi:1")])
+@pytest.mark.parametrize("raw, want", [
+    (" HTTPS://doi.org/10.1/A ", "10.1/a"), ("http://doi.org/10.1/x", "10.1/x"), ("doi.org/10.1/x", "10.1/x"), ("\u2003doi.org/ 10.1/x\x1c", "10.1/x"),
+    ("doi:10.1/x", "doi:10.1/x"), ("http://dx.doi.org/10.1/x", "http://dx.doi.org/10.1/x"), ("10.1/doi.org/", "10.1/doi.org/"), ("doi.org/doi.org/1", "doi.org/1"), ("", ""), (None, None),
+])
 def test_normalize_doi(spark, raw, want):
     assert spark.createDataFrame([(raw,)], "x string").select(text.normalize_doi(F.col("x"))).first()[0] == want
 
 
+def test_learning_rate_by_hand(spark):
+    # 837 steps: 25 of warm-up; cosine over all steps with a floor of 5 %
+    got = {r["id"]: r["lr"] for r in spark.range(838).select("id", probability.learning_rate(F.col("id"), 837, 1.0).alias("lr")).collect()}
+    assert got[0] == pytest.approx(1 / 25) and got[400] == pytest.approx(0.557956, abs=1e-5) and got[837] == pytest.approx(0.05)
+    assert got[24] == pytest.approx(0.99807, abs=1e-5)
+    one = spark.range(1).select(probability.learning_rate(F.col("id"), 1, 2.0).alias("lr")).first()["lr"]
+    assert one == pytest.approx(2.0)
+    assert probability.validation_steps(837) == [279, 558, 837] and probability.validation_steps(10) == [10]
+
+
+def test_prompts(spark):
+    df = spark.createDataFrame([("x" * 2500, "B %s {a}"), (None, "b")], "a string, b string")
+    cols = [text.render_prompt(k, F.col("a"), F.col("b")).alias(k) for k in ("cxi", "ixi", "cxc")]
+    full, null = df.select(*cols).collect()
+    assert full["cxi"] == "Caption A: " + "x" * 2400 + "\nQuestion: what is the relation of this figure to the caption?"
+    assert full["cxc"] == "Caption A:\n" + "x" * 2400 + "\n\nCaption B:\nB %s {a}\n\nAre Caption A and Caption B from the same paper, related papers, or unrelated papers?"
+    assert full["ixi"] == "Figure A:<image>Figure B:<image>Are Figure A and Figure B from the same paper, related papers, or unrelated papers?"
+    assert null["cxi"] is None and null["ixi"] == full["ixi"]
+    assert [r[0] for r in df.select(text.caption_valid(F.col("b"), ("%s", ""))).collect()] == [False, True]
+
+
+def test_manifest_digest_is_that_of_the_joined_lines(spark):
+    lines = sorted(f"{hashlib.md5(str(i).encode()).hexdigest()}:{i}" for i in range(500))
+    df = spark.createDataFrame([(x,) for x in lines], "l string").repartition(7)
+    row = blobs.ordered_digest(df, F.col("l"), F.col("l")).first()
+    assert (row["sha256"], row["rows"]) == (hashlib.sha256("\n".join(lines).encode()).hexdigest(), 500)
+    same = spark.createDataFrame([("k", str(i % 3)) for i in range(40)], "o string, l string").repartition(5)
+    want = hashlib.sha256(("\n".join(sorted(str(i % 3) for i in range(40))) + "\n").encode()).hexdigest()
+    assert blobs.ordered_digest(same, F.col("l"), F.col("o"), end="\n").first()["sha256"] == want
+    assert tuple(blobs.ordered_digest(same.limit(0), F.col("l"), F.col("o"), end="\n").first()) == (hashlib.sha256(b"").hexdigest(), 0)
+
+
+def test_manifest_reader_and_sinks(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"expected_horizon": 9,\n "runs": [{"arm": "a", "seed": 1}]}')
+    schema = "expected_horizon long, runs array<struct<arm:string,seed:long>>"
+    assert readers.read_manifest(spark, str(tmp_path / "m.json"), schema, "runs").first()["runs"][0]["seed"] == 1
+    with pytest.raises(ValueError, match="^m.json: other is missing$"):
+        readers.read_manifest(spark, str(tmp_path / "m.json"), "other string", "other")
+    (tmp_path / "broken.json").write_text("{")
+    with pytest.raises(ValueError, match="^broken.json: not one JSON object"):
+        readers.read_manifest(spark, str(tmp_path / "broken.json"), schema)
+    df = spark.createDataFrame([("b",), ("a",), ("a",), ("",), (None,)], "doi string")
+    readers.write_lines(df, "doi", str(tmp_path / "lines"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "lines")).collect()] == ["a", "b"]
+    readers.write_csv_once(df.withColumn("n", F.lit(1)), str(tmp_path / "csv"))
+    with pytest.raises(Exception, match="(?i)exists"):
+        readers.write_csv_once(df.limit(1), str(tmp_path / "csv"))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 5
+    assert readers.caption_column(["y", "cap_norm", "cap_text"], "cap_text", "cap_norm") == "cap_text"
+    with pytest.raises(ValueError, match="none of"):
+        readers.caption_column(["y"], "cap_text", "cap_norm")
+    assert readers.without_labels(df) is df
+    with pytest.raises(ValueError, match="target"):
+        readers.without_labels(df.withColumn("target", F.lit(1)))
+
+
+def test_task_binding():
+    want = {"cxi": "c1", "ixi": "i1"}
+    scoring.check_binding("ixi", "i1", want, list(text.LABELS), scoring.TASK_MARKERS["ixi"])
+    scoring.check_binding("cxi", "c1", want, list(text.LABELS), None)
+    for args in (("cxc", "c1", want, list(text.LABELS), None), ("cxi", "i1", want, list(text.LABELS), None), ("cxi", "c1", want, list(text.LABELS[::-1]), None), ("cxi", "c1", want, list(text.LABELS), scoring.TASK_MARKERS["ixi"]), ("ixi", "i1", want, list(text.LABELS), None)):
+        with pytest.raises(ValueError):
+            scoring.check_binding(*args)
+
+
+def test_reconcile_names_each_rule(spark, sf_dir):
+    from pairmill.plans import evaluation
+    from pairmill.plans.fixtures import Views
+
+    log, manifest = evaluation.protocol_runs(Views(spark, sf_dir))
+    got = {r["seed"]: r for r in runs.reconcile(log, manifest, 9, 2230, 794).collect()}
+    assert got and all(r["reason"] == evaluation._AMISS[s % 20] for s, r in got.items())
+    odd = spark.createDataFrame([(1, 0, "ready", None, 1), (1, 1, "validation", None, None)], "run long, ordinal int, event string, step long, x int")
+    full = odd.select("run", "ordinal", "event", "step", F.lit(0.5).alias("macro"), F.lit(2.0).alias("best"), *[F.lit(v).cast("long").alias(c) for c, v in (("train_rows", 5), ("val_rows", 6), ("total_steps", 4))], F.lit(None).cast("boolean").alias("reload_verified"), F.expr("named_struct('seed', 1L, 'val_every', 4L, 'init_checkpoint', cast(null as string))").alias("config"))
+    runs_of = spark.createDataFrame([(1, "gold_only", 1, 0), (2, "gold_only", 2, 0)], "run long, arm string, seed long, exitcode int")
+    assert {r["seed"]: (r["status"], r["reason"]) for r in runs.reconcile(full, runs_of, 4, 5, 6).collect()} == {1: ("error", "validation_without_step"), 2: ("incomplete", "missing_ready")}
+
+
+def test_gradient_hash_of_a_larger_image():
+    # a ramp rises everywhere; its mirror nowhere; a wide step has one rise a row
+    ramp = np.repeat(np.repeat(np.arange(0, 170, dtype=np.uint8)[None, :, None], 90, axis=0), 3, axis=2)
+    assert imaging.gradient_hash(ramp) == "f" * 64 and imaging.gradient_hash(ramp[:, ::-1]) == "0" * 64
+    weights = imaging._resample(170, 17)
+    assert np.abs(weights.sum(1) - (1 << 22)).max() < 100 and (weights < 0).any()
+
+
+def test_near_images_join_papers(spark):
+    base = "a" * 64
+    rows = [("d1", base), ("d2", "b" + base[1:]), ("d3", "0" * 64), ("d4", None), ("d5", base)]
+    f = spark.createDataFrame(rows, "doi string, dhash string")
+    near = similarity.hamming_self(f, "dhash", 64, 8)
+    edges = splits.near_edges(f, "doi", "dhash", near).unionByName(splits.content_edges(f, "doi", ["dhash"]))
+    got = {r["doi"]: r["component"] for r in splits.components(f, "doi", edges).collect()}
+    assert got == {"d1": "d1", "d2": "d1", "d5": "d1", "d3": "d3", "d4": "d4"}
+
+
+def test_drawing_fills_classes_or_fails(spark):
+    figures = [(i, f"10.1/j{i % 2}/d{i // 4}", f"caption {i}", f"b{i}", f"p{i}", hashlib.sha256(str(i).encode()).hexdigest()) for i in range(80)]
+    f = spark.createDataFrame(figures, "uuid long, doi string, cap_norm string, bytes_md5 string, px_md5 string, dhash string")
+    doi = {i: d for i, d, *_ in figures}
+    papers = sorted(set(doi.values()))
+    cited = {tuple(sorted((papers[i], papers[i + 1]))) for i in range(0, 20, 2)} | {tuple(sorted((papers[i], papers[i + 2]))) for i in range(0, 16, 4)}
+    e = spark.createDataFrame(sorted(cited), "src string, dst string")
+    make = lambda parts: pairs.generate(pairs.Pool(f.repartition(parts), e, text.journal(F.col("doi"))), f, e, 20, "s")
+    rows = make(3).collect()
+    assert len(rows) == 80 and len({r["ident"] for r in rows}) == 80
+    for r in rows:
+        a, b = doi[r["uuid_a"]], doi[r["uuid_b"]]
+        y = 0 if r["uuid_a"] == r["uuid_b"] else 1 if a == b else 2 if tuple(sorted((a, b))) in cited else 3
+        assert y == r["y"]
+        if r["mode"] == pairs.Pool.JOURNAL:
+            assert a.split("/")[:2] == b.split("/")[:2]
+    assert sorted((r["mode"] for r in rows if r["y"] == 3)).count(pairs.Pool.RANDOM) == 7
+    assert sorted(map(tuple, make(8).collect())) == sorted(map(tuple, rows))
+    with pytest.raises(ValueError, match="class 0"):
+        pairs.generate(pairs.Pool(f.limit(5), e, text.journal(F.col("doi"))), f, e, 20, "s")
+
+
+def test_range_rank_with_a_hot_key(spark):
+    df = spark.range(500).select(F.when(F.col("id") < 400, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    got = ranking.range_rank(df.repartition(6), "k", "id").collect()
+    assert sorted(r["rank"] for r in got) == list(range(500))
+    assert [(r["k"], r["id"]) for r in sorted(got, key=lambda r: r["rank"])] == sorted((r["k"], r["id"]) for r in got)
+
+
 def test_md5_format_rejects_a_trailing_newline(spark):
     df = spark.createDataFrame([("0" * 32,), ("0" * 32 + "\n",), ("A" * 32,), (None,)], "x string")
     assert [r[0] for r in df.select(hashing.is_md5(F.col("x"))).collect()] == [True, False, False, False]
@@ -207,7 +336,7 @@ def test_first_source_wins(spark):
 
 def test_pair_sampling_invariants(spark):
     figures = [(i, f"d{i // 3}", f"caption {i % 17}", f"b{i}", f"p{i % 19}") for i in range(60)]
-    f = spark.createDataFrame(figures, "uuid long, doi string, cap_norm string, bytes_md5 string, px_md5 string")
+    f = spark.createDataFrame(figures, "uuid long, doi string, cap_norm string, bytes_md5 string, px_md5 string").withColumn("dhash", F.sha2(F.col("px_md5").cast("binary"), 256))
     e = spark.createDataFrame([("d0", "d1"), ("d2", "d7"), ("d10", "d3")], "src string, dst string")
     frames = [pairs.same_figure(f, "s"), pairs.same_paper(f, "s"), pairs.related(f, e, "s"), pairs.without_direct(pairs.shifted(f, "s", [1, 5]), e)]
     took = pairs.accept_in_order([pairs.with_identity(x, f) for x in frames], 10)
