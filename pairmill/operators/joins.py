@@ -43,6 +43,8 @@ def join_hot(rows: DataFrame, per_key: DataFrame, key: str, count: str) -> DataF
     total = per_key.agg(F.sum(count)).first()[0] or 0
     is_hot = F.col(count) * HOT_SHARE >= total
     hot = per_key.filter(is_hot)
+    if hot.isEmpty():
+        return rows.join(per_key.drop(count), key)
     at_once = rows.join(F.broadcast(hot.drop(count)), key)
     shuffled = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(per_key.filter(~is_hot).drop(count), key)
     return at_once.unionByName(shuffled)
