@@ -192,8 +192,43 @@ def test_mix_meets_its_targets(spark):
 
 def test_schedule_is_near_its_shares_everywhere(spark):
     goals = spark.createDataFrame([(0, 6400.0), (1, 12800.0), (2, 44800.0)], "src int, target double")
-    slots = mixing._schedule(goals, 64).groupBy("src").agg(F.count("*").alias("n"), F.max("rank").alias("last")).collect()
-    assert {r["src"]: (r["n"], r["last"]) for r in slots} == {0: (100, 99), 1: (200, 199), 2: (700, 699)}
+    rows = mixing._schedule(goals, 64).orderBy("slot").collect()
+    assert len({r["slot"] for r in rows}) == 1000
+    for src, share in enumerate((0.1, 0.2, 0.7)):
+        mine = [r for r in rows if r["src"] == src]
+        assert [r["rank"] for r in mine] == list(range(round(1000 * share)))
+        for start in range(0, 900, 50):  # any stretch of 100 blocks is within a few of its share
+            assert abs(sum(start <= r["slot"] < start + 100 for r in mine) - 100 * share) <= 4
+
+
+def test_mixed_documents_come_in_slot_order_near_their_shares(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(["w"] * int(rng.integers(20, 120))), "abc"[int(x)], 1, "k") for i, x in enumerate(rng.choice(3, 1500, p=[0.6, 0.2, 0.2]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, h int, key string")
+    got = mixing.mix(df, slot_col="slot").collect()
+    assert [r["slot"] for r in got] == sorted(r["slot"] for r in got)
+    words = np.array([len(r["text"].split()) for r in got])
+    of = np.array([r["source"] for r in got])
+    for s in "abc":
+        share = words[of == s].sum() / words.sum()
+        for k in range(1, 10):
+            upto = len(got) * k // 10
+            assert abs(words[:upto][of[:upto] == s].sum() / words[:upto].sum() - share) < 0.04
+
+
+def test_equal_rows_share_their_words(spark):
+    rows = [(i, f"text number {i} of some words", "b") for i in range(60)] + [(7, "one two three four", "a")] * 45 + [(None, "null id", "a")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    plan = mixing.plan_mix(df).collect()
+    assert len(plan) == len(rows)
+    mixed = mixing.mix(df).collect()
+    for s in "ab":
+        taken = sum(r["taken"] for r in plan if r["source"] == s)
+        target = next(r["target"] for r in plan if r["source"] == s)
+        assert abs(taken - target) < 1 and taken == sum(len(r["text"].split()) for r in mixed if r["source"] == s)
+    assert all(r["taken"] <= 2 * r["size"] for r in plan)
+    some = [r["taken"] for r in plan if r["doc_id"] == 7]
+    assert sorted(some) == sorted(r["taken"] for r in mixing.plan_mix(df.repartition(2)).collect() if r["doc_id"] == 7)
 
 
 def test_mix_of_nothing(spark):
