@@ -24,9 +24,13 @@ by a broadcast of at most joins.HOT_SHARE rows. Nothing is collected; lineage is
 checkpoints in the shared folder.
 
 Defined cases. Null, empty and blank texts have fingerprint 0 and link like any other.
-Fewer than three words: the whole sequence is the one shingle. Repeated rows have the same
-component. A null id is never a component's name unless all ids of the component are null;
-`dedup` leaves documents without an id alone.
+Fewer than three words: the whole sequence is the one shingle. Very long texts are read
+whole, their shingles' bits counted in blocks. Repeated rows have the same component; rows of
+one id with different texts may have different ones. A null id is never a component's name
+unless all ids of the component are null. No rows: no rows. Other columns, whatever their
+names, pass through `dedup`, which keeps one row of each component: that with the smallest
+id, of these the one whose text comes first by hash, a null id last; of rows with equal id
+and text any one.
 """
 
 from __future__ import annotations
@@ -115,7 +119,9 @@ def _ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame) -> DataFrame:
     """Star edges (src, dst) that connect exactly what links within RADIUS bits connect.
     `fps` has distinct, non-null fingerprints in column fp."""
-    keyed = fps.select("fp", F.explode(F.expr(_screen_keys())).alias("key"))
+    # a table of fingerprints is small and reread in few tasks; each gives a hundred keys
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keyed = spread.select("fp", F.explode(F.expr(_screen_keys())).alias("key"))
     keyed = keyed.repartition("key")
     shared = keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("key")
     # keys of `shared` are unique; a semi-join would be pushed below the repartition, and the
@@ -138,36 +144,42 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def _fingerprinted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return cut(bounded_batches(docs).select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col)).alias("fp")))
+    text = F.col(text_col)
+    return cut(bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), _fingerprints(text).alias("fp")))
 
 
 def _components(marked: DataFrame) -> DataFrame:
-    """(fp, copies, component_id) for every distinct fingerprint."""
+    """(fp, copies, root, component_id) for every distinct fingerprint; root is one of the
+    component's fingerprints."""
     least = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     joined = connected_components(links(least.select("fp"))).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     rooted = cut(least.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
-    return cut(join_hot(rooted, named, "root", "members").select("fp", "copies", "component_id"))
+    return cut(join_hot(rooted, named, "root", "members").select("fp", "copies", "root", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per input row."""
-    marked = _fingerprinted(docs, id_col, text_col)
-    return join_hot(marked, _components(marked), "fp", "copies").select(
+    marked = _fingerprinted(docs, id_col, text_col).drop("h")
+    return join_hot(marked, _components(marked).drop("root"), "fp", "copies").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without all but one of each component: the one with the smallest id.
-    Rows that repeat that id count as copies of it too."""
+    """One document of each component, all columns kept."""
     marked = _fingerprinted(docs, id_col, text_col)
-    ids = join_hot(marked, _components(marked), "fp", "copies").filter("doc_id is not null").groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.min("component_id").alias("component_id")
-    )
-    stay = ids.filter("doc_id = component_id").select(F.col("doc_id").alias("__stay_id"), (F.col("n") > 1).alias("__stay_more"))
-    kept = docs.join(stay, docs[id_col] == stay["__stay_id"])
-    once = kept.filter(~F.col("__stay_more"))
-    more = kept.filter("__stay_more").dropDuplicates(["__stay_id"])
-    unnamed = docs.filter(docs[id_col].isNull())
-    return once.unionByName(more).drop("__stay_id", "__stay_more").unionByName(unnamed)
+    rows = join_hot(marked, _components(marked).drop("component_id"), "fp", "copies")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("first")
+    stay = rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__simhash_id"), F.col("first.h").alias("__simhash_h"))
+    # rows that repeat a survivor's id and text are few, or else met in one place: they are counted first
+    copies = marked.groupBy(F.col("doc_id").alias("__simhash_id"), F.col("h").alias("__simhash_h")).agg(F.count("*").alias("n")).filter("n > 1")
+    same = (F.col("__simhash_id").eqNullSafe(F.col("__simhash_id_2"))) & (F.col("__simhash_h") == F.col("__simhash_h_2"))
+    copies = copies.toDF("__simhash_id_2", "__simhash_h_2", "__simhash_n")
+    stay = cut(stay.join(copies, same, "left").select("__simhash_id", "__simhash_h", F.col("__simhash_n").isNotNull().alias("__simhash_more")))
+    hashed = docs.withColumn("__simhash", F.xxhash64(F.col(text_col)))
+    kept = hashed.join(stay, (F.col("__simhash") == F.col("__simhash_h")) & F.col(id_col).eqNullSafe(F.col("__simhash_id")))
+    if stay.filter("__simhash_more").isEmpty():
+        return kept.select(*docs.columns)
+    more = kept.filter("__simhash_more").dropDuplicates(["__simhash_id", "__simhash_h"])
+    return kept.filter("not __simhash_more").unionByName(more).select(*docs.columns)
