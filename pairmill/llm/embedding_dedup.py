@@ -23,7 +23,8 @@ from among themselves. Blocks give sums of links and a spanning forest, never th
 Defined cases. Rows whose label, id or vector is null, whose vector is empty, zero or holds
 a null or non-finite component link with nothing and are components of their own. Vectors
 of different length never link. Repeated rows are vectors of their own. Ties: a component
-is named by its smallest id.
+is named by its smallest id. No rows: no rows. Other columns, whatever their names, aren't
+looked at. Vectors are one class if they are equal, not if a hash of them is.
 """
 
 from __future__ import annotations
@@ -106,19 +107,26 @@ def _verify(least: float):
     return run
 
 
+def vector_hash(label: Column, vector: Column) -> Column:
+    """Shuffled instead of a vector where rows meet their class; vectors decide."""
+    return F.xxhash64(label, vector)
+
+
 def classes(rows: DataFrame) -> DataFrame:
-    """(cid, label, vector, n, least): a row for each distinct usable vector of a label."""
-    return rows.groupBy("cid").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
+    """(cid, h, label, vector, n, least): a row for each distinct usable vector of a label, with
+    a number of its own."""
+    own = rows.groupBy("h", "label", "vector").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
+    return cut(own.select(F.monotonically_increasing_id().alias("cid"), "h", "label", "vector", "n", "least"))
 
 
 def _sample(own: DataFrame) -> dict[int, np.ndarray]:
     """Unit vectors of the classes that come first in hash order, by length."""
-    sized = own.select("cid", "vector", F.size("vector").alias("dim"))
+    sized = own.select("h", "least", "vector", F.size("vector").alias("dim"))
     counts = {r["dim"]: r["count"] for r in sized.groupBy("dim").count().collect()}
     if not counts:
         return {}
     sizes = {d: min(PIVOTS_HIGH, max(PIVOTS_LOW, ceil(8 * n ** (1 / 3)))) for d, n in counts.items()}
-    place = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("cid"), "cid"))
+    place = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("h"), "least"))
     limit = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("dim")]
     first = sized.withColumn("place", place).filter(F.col("place") <= max(sizes.values())).filter(F.col("place") <= limit)
     found: dict[int, list] = {}
@@ -278,12 +286,12 @@ def class_links(own: DataFrame, least: float = COSINE) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row."""
-    rows = df.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector"), F.col(label_col).alias("label"))
-    # adding 0 makes -0.0 and 0.0 one value in the hash
-    cid = F.xxhash64("label", F.transform("vector", lambda x: x + F.lit(0.0).cast(dict(df.dtypes)[vector_col][6:-1])))
+    # adding 0 makes -0.0 and 0.0 one value
+    vector = F.transform(F.col(vector_col), lambda x: x + F.lit(0.0).cast(dict(df.dtypes)[vector_col][6:-1]))
+    rows = df.select(F.col(id_col).alias("vec_id"), vector.alias("vector"), F.col(label_col).alias("label"))
     good = usable(F.col("label"), F.col("vec_id"), F.col("vector"))
-    marked = rows.withColumn("cid", F.when(good, cid))
-    own = cut(classes(marked.filter("cid is not null")))
+    marked = cut(rows.withColumn("h", F.when(good, vector_hash(F.col("label"), F.col("vector")))))
+    own = classes(marked.filter("h is not null"))
     centres = _centres(_sample(own), COSINE)
     homed = cut(own.mapInArrow(_homes(centres, COSINE), StructType([*own.schema, StructField("home", IntegerType())]))) if centres else None
     links = cut(class_links(homed.filter("home < 0").drop("home") if centres else own))
@@ -300,9 +308,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rooted = cut(own.select("cid", "n", "least").join(parts, "cid", "left").withColumn("root", F.coalesce("root", "cid")))
     named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
     per_class = join_hot(rooted, named, "root", "members").join(linked, "cid", "left")
-    per_class = cut(per_class.select("cid", "n", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), "component_id"))
-    ids = cut(marked.select("vec_id", "cid"))
-    full = join_hot(ids, per_class, "cid", "n")
-    alone = ids.filter("cid is null").select("vec_id", F.lit(0).alias("n_links"), F.col("vec_id").alias("component_id"))
+    facts = per_class.select("cid", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), "component_id").join(own.drop("least"), "cid")
+    # classes of one hash, as a rule one, stand in one row
+    by_hash = cut(facts.groupBy("h").agg(F.collect_list(F.struct("label", "vector", "n_links", "component_id")).alias("classes"), F.sum("n").alias("n")))
+    met = join_hot(marked.filter("h is not null"), by_hash, "h", "n")
+    mine = F.filter("classes", lambda c: (c["label"] == F.col("label")) & (c["vector"] == F.col("vector")))[0]
+    full = met.select("vec_id", mine.alias("c")).select("vec_id", "c.n_links", "c.component_id")
+    alone = marked.filter("h is null").select("vec_id", F.lit(0).alias("n_links"), F.col("vec_id").alias("component_id"))
     full = full.select("vec_id", "n_links", "component_id").unionByName(alone)
     return full.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

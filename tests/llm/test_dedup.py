@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from pairmill.llm import embedding_dedup, simhash
 
@@ -72,7 +73,7 @@ def test_dedup_keeps_one_of_each_component(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, root string")
     kept = simhash.dedup(df)
     assert kept.columns == df.columns
-    assert sorted((r["doc_id"] or 0, r["root"]) for r in kept.collect()) == [(0, "d"), (3, "b"), (7, "f"), (9, "c")]
+    assert sorted((r["doc_id"] or 0, r["root"]) for r in kept.collect()) == [(3, "b"), (7, "f"), (9, "c")]
     empty = simhash.near_duplicates(df.limit(0))
     assert empty.count() == 0 and empty.columns == ["doc_id", "fingerprint", "component_id"]
 
@@ -141,3 +142,53 @@ def test_embeddings_of_a_rare_length_link(spark):
     rows = [(i, rng.normal(size=16).tolist(), 1) for i in range(2000)] + [(2000 + i, [1.0 + i / 100, 2.0, 3.0], 1) for i in range(3)]
     got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).filter("vec_id >= 2000").collect()
     assert [(r["n_links"], r["component_id"]) for r in got] == [(2, 2000)] * 3
+
+
+def test_dedup_keeps_one_row_of_each_component_whatever_the_ids(spark):
+    rng = random.Random(17)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(5, a), (7, a), (5, b), (3, b), (5, c), (None, c), (None, d), (None, d), (9, None), (8, ""), (8, ""), (5, a)]
+    df = spark.createDataFrame([(i, t, k, "x") for k, (i, t) in enumerate(rows)], "doc_id long, text string, h int, root string").repartition(4)
+    got = simhash.dedup(df)
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(5, a), (3, b), (5, c), (None, d), (8, "")], key=str)
+    assert simhash.dedup(df.limit(0)).count() == 0 and simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_very_long_text_is_read_whole(spark):
+    words = [f"w{i}" for i in range(200_000)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join(words[::-1])]
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [int(got[i]["fingerprint"], 16) for i in (0, 2)] == [_fingerprint(texts[i]) for i in (0, 2)]
+    assert got[1]["component_id"] == 0
+
+
+def test_equal_hashes_don_t_make_vectors_equal(spark, monkeypatch):
+    rows = [(i, [1.0, float(i % 3), 0.5], 1 + i // 9) for i in range(18)] + [(30, [1.0, -0.0, 0.5], 1), (31, [1.0, 0.0, 0.5], None)]
+    df = spark.createDataFrame([(i, v, n, 3, "c") for i, v, n in rows], "vec_id long, embedding array<float>, label int, cid int, home string")
+    want = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()))
+    monkeypatch.setattr(embedding_dedup, "vector_hash", lambda label, vector: F.lit(5).cast("long"))
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()))
+    assert got == want and len(got) == 20
+    assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("dim", [32, 64, 128])
+def test_recall_close_to_the_threshold(spark, dim):
+    """Links of cosine 0.93 to 0.95 alone, among background vectors of one label."""
+    rng = np.random.default_rng(dim)
+    base = rng.normal(size=(600, dim))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=base.shape)
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.931, 0.95, size=(600, 1))
+    vectors = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * side, rng.normal(size=(3000, dim))])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = embedding_dedup.near_duplicates(df).collect()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    real = ((unit @ unit.T >= 0.93).sum() - len(unit)) // 2
+    found = sum(r["n_links"] for r in got) / 2
+    print(dim, found, real)
+    assert real >= 600 and found <= real and found >= 0.9 * real
