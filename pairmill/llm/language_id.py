@@ -9,12 +9,19 @@ Learning takes a bounded sample: per language the ROWS_PER_LANG labelled rows th
 first in a hash order, and of each a passage of CHARS_PER_ROW characters at a place given by
 its hash. The automata (at most 2 states a character) are built on the driver from that
 sample and sent as transition lists; a worker turns them into one table per process.
-Documents are parsed whole, in pieces of PIECE symbols (a phrase doesn't cross the end of
-a piece, in any language), many pieces in step, with one table lookup a symbol.
+Documents are parsed whole. Pieces of PIECE symbols are parsed side by side, each from its
+own start, with one table lookup a symbol; then the phrase that a piece leaves open is
+followed into the next one until both parses begin a phrase at the same place, from where
+they agree. So the pieces have no effect on the phrases.
+
+The commonest letters of the samples have symbols of their own, all others share SHARED
+symbols by code point, so a script with many letters keeps most of its order.
 
 Defined cases. Null text, or text without a letter: `und`, score 0. Ties: the language
 that is first by code point. No labelled rows: all `und`. Repeated rows: same result each.
-Rows with a null label or id: an id that is null is never used for learning.
+No rows: no rows. Very long texts: parsed whole, a bounded number of pieces at a time. Rows
+with a null label or id: an id that is null is never used for learning. Other columns,
+whatever their names, pass through `keep_identified` and aren't looked at elsewhere.
 """
 
 from __future__ import annotations
@@ -30,14 +37,13 @@ from pyspark.sql import functions as F
 from pairmill.llm.units import bounded_batches
 
 ROWS_PER_LANG, CHARS_PER_ROW = 48, 600
-#: Most symbols kept apart; rarer letters share one symbol that no language knows.
-ALPHABET = 250
+#: Symbols, and those of them that rarer letters share.
+ALPHABET, SHARED = 250, 60
 PIECE = 256
 #: Pieces parsed in step; characters of short texts classified together.
 IN_STEP, AT_ONCE = 16_384, 1_500_000
 UND = "und"
 _SPACE, _PAD = 0, 1
-_RARE = 2
 
 
 def folds(doc_id: Column) -> Column:
@@ -81,13 +87,13 @@ class CrossParser:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(k for k, v in samples.items() if any(map(_has_letter, v)))
-        texts = [" ".join(samples[k]) for k in self.langs]
+        self.texts = texts = [" ".join(samples[k]) for k in self.langs]
         seen: dict[str, int] = {}
         for ch in "".join(texts).lower():
             if ch.isalpha():
                 seen[ch] = seen.get(ch, 0) + 1
-        letters = sorted(seen, key=lambda c: (-seen[c], c))[: ALPHABET - 3]
-        self.symbols = {ch: i + 3 for i, ch in enumerate(letters)}
+        letters = sorted(seen, key=lambda c: (-seen[c], c))[: ALPHABET - 2 - SHARED]
+        self.symbols = {ch: i + 2 + SHARED for i, ch in enumerate(letters)}
         lut = self._lut()
         coded = [_fold(t, lut) for t in texts]
         self.bits = np.array([np.log2(max(2, len(c))) for c in coded])
@@ -95,16 +101,17 @@ class CrossParser:
         self.key = hash((tuple(self.langs), tuple(texts)))
 
     def _lut(self) -> np.ndarray:
-        """Symbol of each code point: letters of the alphabet, one for other letters, else space."""
+        """Symbol of each code point: a letter's own or a shared one, else space."""
         lut = np.full(0x110000, _SPACE, dtype=np.uint8)
-        lut[[i for i in range(0x110000) if chr(i).isalpha()]] = _RARE
+        letters = np.array([i for i in range(0x110000) if chr(i).isalpha()])
+        lut[letters] = 2 + letters % SHARED
         for ch, s in self.symbols.items():
             lut[ord(ch)] = s
         return lut
 
     def _own(self) -> tuple:
         if self.key not in self._tables:
-            width = len(self.symbols) + 3
+            width = len(self.symbols) + 2 + SHARED
             # state 0 of each language is its start, the last one accepts nothing (a symbol it doesn't know)
             starts, blocks, base = [], [], 0
             for m in self.moves:
@@ -121,22 +128,83 @@ class CrossParser:
             self._tables[self.key] = (self._lut(), table.ravel(), np.array(starts, dtype=np.int32), width)
         return self._tables[self.key]
 
-    def phrases(self, pieces: np.ndarray) -> np.ndarray:
-        """Phrases of each row of symbols (padded at the end) in each language."""
-        _, table, starts, width = self._own()
-        n = len(pieces)
-        start = np.repeat(starts[:, None], n, axis=1)
-        first = start * width
-        state, count = start.copy(), np.zeros_like(start)
+    def _step(self, state: np.ndarray, c: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase begins at the symbols `c`."""
+        _, table, _, width = self._own()
+        to = table.take(state * width + c)
         # a missing move is 0: the start state of the first language is never moved to
-        for c in np.ascontiguousarray(pieces.T).astype(np.int32):
+        begins = (to == 0) & ((state != 0) | (c != _PAD))
+        return np.where(begins, table.take(first + c), to), begins
+
+    def phrases(self, pieces: np.ndarray, opens: np.ndarray, carry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each row of symbols (padded at the end), by language, and the
+        states after the last row. `opens`: rows that begin a text; the others go on from the
+        row before, row 0 from the states `carry`."""
+        _, _, starts, width = self._own()
+        n, langs = len(pieces), len(starts)
+        first = starts[:, None] * width
+        cols = np.ascontiguousarray(pieces.T).astype(np.int32)
+        begin = np.zeros((len(cols), langs, n), dtype=bool)
+        state = np.repeat(starts[:, None], n, axis=1)
+        for k, c in enumerate(cols):
             if (c == _PAD).all():
                 break
-            to = table.take(state * width + c)
-            miss = (to == 0) & ((state != 0) | (c != _PAD))
-            count += miss
-            state = np.where(miss, table.take(first + c), to)
-        return (count + (state != start)).T
+            state, begin[k] = self._step(state, c, first)
+        begin[0] = pieces[:, 0] != _PAD
+        alone, count = begin.sum(0), begin.sum(0)
+        alone_end, end = state, state.copy()
+        todo = np.flatnonzero(~opens)
+        while len(todo):
+            before = end[:, np.maximum(todo - 1, 0)]
+            if todo[0] == 0:
+                before[:, 0] = carry
+            now, ends = self._follow(before, cols[:, todo], begin, todo, first, alone[:, todo], alone_end[:, todo])
+            moved = todo[(ends != end[:, todo]).any(0)] + 1
+            count[:, todo], end[:, todo] = now, ends
+            todo = moved[moved < n]
+            todo = todo[~opens[todo]]
+        return count.T, end[:, -1]
+
+    def _follow(self, state, cols, begin, at, first, alone, alone_end):
+        """Phrases that begin in the rows `at` and the states at their ends, if the rows before
+        them leave `state`: followed until a phrase begins where one of the row's own parse does."""
+        count, end = alone.copy(), alone_end.copy()
+        live, own, mine = np.ones_like(state, dtype=bool), np.zeros_like(count), np.zeros_like(count)
+        rows = np.arange(len(at))
+        for k in range(len(cols)):
+            state, begins = self._step(state, cols[k, rows], first)
+            there = begin[k][:, at[rows]]
+            live &= ~(begins & there)
+            mine += live & begins
+            own += live & there
+            if k % 8 == 7 or k == len(cols) - 1:
+                going = live.any(0)
+                last = k == len(cols) - 1
+                done = rows if last else rows[~going]
+                pick = slice(None) if last else ~going
+                count[:, done] = np.where(live[:, pick], mine[:, pick], alone[:, done] - own[:, pick] + mine[:, pick])
+                end[:, done] = np.where(live[:, pick], state[:, pick], alone_end[:, done])
+                if last or not going.any():
+                    break
+                rows, state, live, own, mine = rows[going], state[:, going], live[:, going], own[:, going], mine[:, going]
+        return count, end
+
+    def count(self, coded: list[np.ndarray]) -> np.ndarray:
+        """Phrases of each text (its symbols) in each language."""
+        sizes = np.array([-(-len(c) // PIECE) for c in coded])
+        owner = np.repeat(np.arange(len(coded)), sizes)
+        flat = np.full((int(sizes.sum()), PIECE), _PAD, dtype=np.uint8)
+        at = 0
+        for c, k in zip(coded, sizes.tolist()):
+            flat[at : at + k].reshape(-1)[: len(c)] = c
+            at += k
+        total = np.zeros((len(coded), len(self.langs)))
+        opens = np.diff(owner, prepend=-1) > 0
+        carry = None
+        for i in range(0, len(flat), IN_STEP):
+            found, carry = self.phrases(flat[i : i + IN_STEP], opens[i : i + IN_STEP], carry)
+            np.add.at(total, owner[i : i + IN_STEP], found)
+        return total
 
     def classify(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text, in parts of about AT_ONCE characters; the score is
@@ -153,17 +221,7 @@ class CrossParser:
         letter = np.array([bool((c > _PAD).any()) for c in coded])
         if not self.langs or not len(texts):
             return [UND] * len(texts), np.zeros(len(texts))
-        sizes = np.array([-(-len(c) // PIECE) for c in coded])
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        flat = np.full((int(sizes.sum()), PIECE), _PAD, dtype=np.uint8)
-        at = 0
-        for c, k in zip(coded, sizes.tolist()):
-            flat[at : at + k].reshape(-1)[: len(c)] = c
-            at += k
-        total = np.zeros((len(texts), len(self.langs)))
-        for i in range(0, len(flat), IN_STEP):
-            np.add.at(total, owner[i : i + IN_STEP], self.phrases(flat[i : i + IN_STEP]))
-        need = total * self.bits
+        need = self.count(coded) * self.bits
         best = need.argmin(axis=1)
         least = need[np.arange(len(texts)), best]
         if len(self.langs) > 1:

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pairmill.llm import language_id, mixing, ngram_lm
@@ -23,27 +24,42 @@ def test_automaton_accepts_exactly_the_substrings():
         assert (s >= 0) == (w in subs)
 
 
-def test_phrases_against_a_plain_parse():
-    samples = {"aa": ["the cat sat on the mat", "a dog ate the cat"], "bb": ["le chat est sur la table", "ça va"]}
+def _plain_phrases(row, data):
+    at = n = 0
+    while at < len(row):
+        size = 1
+        while at + size < len(row) and bytes(row[at : at + size + 1]) in data and bytes(row[at : at + 1]) in data:
+            size += 1
+        at += size
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("piece, in_step", [(256, 16_384), (5, 4), (1, 7), (16, 3)])
+def test_phrases_against_a_plain_parse(monkeypatch, piece, in_step):
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    monkeypatch.setattr(language_id, "IN_STEP", in_step)
+    rng = np.random.default_rng(piece)
+    samples = {"aa": ["the cat sat on the mat", "a dog ate the cat and the rest of it " * 3], "bb": ["le chat est sur la table", "ça va"], "cc": ["Ω漢字 ж"]}
     model = language_id.CrossParser(samples)
     lut = model._own()[0]
     trained = [bytes(language_id._fold(" ".join(samples[k]), lut)) for k in model.langs]
-    texts = ["the dog sat", "le chat ça", "zzz the", "x", "the cat sat on the mat a dog ate the cat", "1 2 3 la"]
+    words = "the dog sat le chat ça zzz x mat cat ate 漢字 字 ж table 1 2 a dog ate the cat and the rest of it".split()
+    texts = ["the dog sat", "le chat ça", "zzz the", "x", "", "the cat sat on the mat a dog ate the cat", "1 2 3 la", samples["aa"][1], "x" + samples["aa"][1] * 4]
+    texts += [" ".join(rng.choice(words, rng.integers(1, 120))) for _ in range(20)]
     rows = [language_id._fold(t, lut) for t in texts]
-    flat = np.full((len(rows), language_id.PIECE), 1, dtype=np.uint8)
-    for i, r in enumerate(rows):
-        flat[i, : len(r)] = r
-    got = model.phrases(flat)
-    for i, r in enumerate(rows):
-        for k, data in enumerate(trained):
-            at = n = 0
-            while at < len(r):
-                size = 1
-                while at + size < len(r) and bytes(r[at : at + size + 1]) in data and bytes(r[at : at + 1]) in data:
-                    size += 1
-                at += size
-                n += 1
-            assert got[i][k] == n, (texts[i], k)
+    assert model.count(rows).tolist() == [[_plain_phrases(r, data) for data in trained] for r in rows]
+
+
+def test_query_against_a_plain_parse(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    model = language_id.learn(docs)
+    lut = model._own()[0]
+    for r in language_id.identify(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        row = language_id._fold(r["text"], lut)
+        trained = [bytes(language_id._fold(t, lut)) for t in model.texts]
+        need = [_plain_phrases(row, data) * b for data, b in zip(trained, model.bits)]
+        assert r["lang_pred"] == (model.langs[int(np.argmin(need))] if any(map(str.isalpha, r["text"])) else "und")
 
 
 def test_language_of_held_out_documents(spark, sf_dir):
