@@ -10,8 +10,8 @@ specific one wins over a later one of the same licence. Row-local: one scan, no
 Defined cases. Null or empty text, and text without a known sentence: empty sequence, no
 rule, no licence. A licence stated twice is reported once. Sentences are recognised in
 ASCII letters only, since every known sentence is ASCII. Repeated rows are scanned row by row.
-The SQL has the finest grain only: it agrees wherever no known sentence is wrapped, spans
-';' or ':' or is one of CLAUSES.
+No rows: no rows. Very long texts are scanned whole. Other columns, whatever their names,
+aren't looked at.
 """
 
 from __future__ import annotations
@@ -42,6 +42,21 @@ SENTENCES = {
     "cc_by_nd": "licensed under cc by nd #",
     "cc_attribution": "this work is licensed under a creative commons attribution # international license",
     "cc_zero": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "lgpl_free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version # of the license or at your option any later version",
+    "lgpl_warranty": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl_copy": "you should have received a copy of the gnu lesser general public license along with this library",
+    "agpl_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version # of the license or at your option any later version",
+    "agpl_copy": "you should have received a copy of the gnu affero general public license along with this program",
+    "mpl_notice": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl_copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl #",
+    "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc_warranty": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "unlicense_grant": "this is free and unencumbered software released into the public domain",
+    "unlicense_use": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "apache_basis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "bsd_source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd_binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd_names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
 }
 _APACHE = "licensed under the apache license version # the license"
 _HOLDERS = ["the copyright holders and contributors", "the copyright holder and contributors", "the regents and contributors", "the author and contributors", "the authors and contributors", "the author", "the authors"]
@@ -53,6 +68,10 @@ CLAUSES = {
     "you may obtain a copy of the license at http": ["apache_copy"],
     "you may obtain a copy of the license at https": ["apache_copy"],
     SENTENCES["mit_warranty"].replace("noninfringement", "non infringement"): ["mit_warranty"],
+    SENTENCES["mpl_notice"] + "#": ["mpl_notice"],
+    SENTENCES["mpl_copy"].replace("https", "http"): ["mpl_copy"],
+    SENTENCES["bsd_names"].replace("copyright holder", "author"): ["bsd_names"],
+    SENTENCES["bsd_names"].replace("copyright holder", "university"): ["bsd_names"],
     **{f"this software is provided by {h} as is {_NAMED}": ["bsd_warranty"] for h in _HOLDERS},
     **{f"this software is provided by {h} as is and any express or implied warranties are disclaimed": ["bsd_warranty"] for h in _HOLDERS[1:]},
 }
@@ -61,9 +80,20 @@ RULES = [
     ("gpl_full", "GPL", ["gpl_free", "gpl_warranty", "gpl_copy"]),
     ("mit_full", "MIT", ["mit_grant", "mit_condition", "mit_warranty"]),
     ("apache_full", "Apache", ["apache_notice", "apache_use", "apache_copy"]),
+    ("bsd_three", "BSD", ["bsd_redist", "bsd_names", "bsd_warranty"]),
     ("bsd_full", "BSD", ["bsd_redist", "bsd_warranty"]),
+    ("lgpl_full", "LGPL", ["lgpl_free", "lgpl_warranty", "lgpl_copy"]),
+    ("agpl_full", "AGPL", ["agpl_free", "gpl_warranty", "agpl_copy"]),
+    ("mpl_full", "MPL", ["mpl_notice", "mpl_copy"]),
+    ("isc_full", "ISC", ["isc_grant", "isc_warranty"]),
+    ("unlicense_full", "Unlicense", ["unlicense_grant", "unlicense_use"]),
     ("gpl_grant", "GPL", ["gpl_free"]),
     ("gpl_short", "GPL", ["gpl_notice"]),
+    ("lgpl_grant", "LGPL", ["lgpl_free"]),
+    ("agpl_grant", "AGPL", ["agpl_free"]),
+    ("mpl_short", "MPL", ["mpl_notice"]),
+    ("isc_text", "ISC", ["isc_grant"]),
+    ("unlicense_short", "Unlicense", ["unlicense_grant"]),
     ("mit_text", "MIT", ["mit_grant"]),
     ("mit_short", "MIT", ["mit_notice"]),
     ("mit_reference", "MIT", ["mit_licensed"]),
@@ -78,14 +108,16 @@ RULES = [
     ("cc_zero", "CC0", ["cc_zero"]),
 ]
 #: Every known sentence holds one of these, so a text without them holds no known sentence.
-TRIGGER = "(?i)licen[sc]e|permi(t|ssion)|warrant|copyright"
+TRIGGER = "(?i)licen[sc]e|permi(t|ssion)|warrant|copyright|unencumbered|free to copy|mpl was"
 NUMBER = "[0-9]+([.][0-9]+)*"
 SENTENCE_END = "[.!?;:\\n\\r]+"
 NOT_PLAIN = "[^a-z0-9#]+"
 #: Signs of a comment before each line, before numbers become '#'.
-COMMENT = "(?m)^[ \\t]*(//+|/?[*]+|#+|;+|%+|--|>+)[ \\t]+|^[ \\t]*(//+|/?[*]+/?|#+|;+|%+|--|>+)[ \\t]*$"
+COMMENT = "^[ \\t]*(//+|/?[*]+|#+|;+|%+|--|>+)[ \\t]+|^[ \\t]*(//+|/?[*]+/?|#+|;+|%+|--|>+)[ \\t\\r]*$"
+#: Lines end at line feeds only: the flags that say so in Java and elsewhere.
+LINES_JAVA, LINES = "(?md)", "(?m)"
 #: Full stops before white space, and blank lines; signs that end a sentence within a line.
-COARSE_END = "[.!?]+(?=\\s|$)|\\r?\\n[ \\t\\r]*\\n"
+COARSE_END = "[.!?]+([ \\t-\\r]|$)|\\r?\\n[ \\t\\r]*\\n"
 CLAUSE_END = "[.!?;:]+"
 
 
@@ -111,7 +143,7 @@ def sentence_ids(text: Column) -> Column:
         pieces = F.flatten(F.transform(F.split(part, ends[0]), lambda s: cascade(s, ends[1:])))
         return F.coalesce(F.try_element_at(known, _plain(part)), pieces)
 
-    numbered = F.regexp_replace(F.regexp_replace(F.lower(text), COMMENT, ""), NUMBER, "#")
+    numbered = F.regexp_replace(F.regexp_replace(F.lower(text), LINES_JAVA + COMMENT, ""), NUMBER, "#")
     found = F.flatten(F.transform(F.split(numbered, COARSE_END), lambda s: cascade(s, [CLAUSE_END, SENTENCE_END])))
     return F.when(text.rlike(TRIGGER), found).otherwise(none)
 

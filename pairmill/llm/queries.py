@@ -49,17 +49,27 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 
 def _sql_op2() -> str:
     r = license_scan
-    known = ", ".join(f"({_q(v)}, {_q(k)})" for k, v in r.SENTENCES.items())
+    facts = [(v, 0, k) for k, v in r.SENTENCES.items()] + [(v, i, k) for v, ids in r.CLAUSES.items() for i, k in enumerate(ids)]
+    known = ", ".join(f"({_q(v)}, {i}, {_q(k)})" for v, i, k in facts)
     rules = ", ".join(f"({i}, {_q(n)}, {_q(lic)}, {_q(r.rule_pattern(ids))})" for i, (n, lic, ids) in enumerate(r.RULES))
+    plain = f"trim(regexp_replace(x, {_q(r.NOT_PLAIN)}, ' ', 'g'))"
+
+    def cut(source: str, at: str, end: str) -> str:
+        """Parts of `x` of a table, numbered, with their normalised form."""
+        return f"SELECT doc_id, {at}, x, {plain} AS s FROM (SELECT * EXCLUDE (x), unnest(parts) AS x, generate_subscripts(parts, 1) AS {at.split(', ')[-1]} FROM (SELECT *, string_split_regex(x, {_q(end)}) AS parts FROM ({source})))"
+
+    # each grain is cut out of what the grain before it left unknown
+    unknown = lambda t, at: f"SELECT doc_id, {at}, x FROM {t} WHERE s NOT IN (SELECT s FROM known)"
     return f"""
-WITH known(s, id) AS (VALUES {known}), rules(o, rule, license, pattern) AS (VALUES {rules}),
-p AS (SELECT doc_id, string_split_regex(regexp_replace(lower(text), {_q(r.NUMBER)}, '#', 'g'), {_q(r.SENTENCE_END)}) AS parts FROM documents WHERE text IS NOT NULL),
-u AS (SELECT doc_id, unnest(parts) AS x, generate_subscripts(parts, 1) AS p FROM p),
-s AS (SELECT doc_id, string_agg(id, ' ' ORDER BY p) AS seq, count(*) AS n FROM (SELECT doc_id, p, trim(regexp_replace(x, {_q(r.NOT_PLAIN)}, ' ', 'g')) AS s FROM u) JOIN known USING (s) GROUP BY doc_id),
+WITH known(s, k, id) AS (VALUES {known}), rules(o, rule, license, pattern) AS (VALUES {rules}),
+t AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), {_q(r.LINES + r.COMMENT)}, '', 'g'), {_q(r.NUMBER)}, '#', 'g') AS x FROM documents WHERE text IS NOT NULL),
+a AS ({cut("SELECT doc_id, x FROM t", "a", r.COARSE_END)}), b AS ({cut(unknown("a", "a"), "a, b", r.CLAUSE_END)}), c AS ({cut(unknown("b", "a, b"), "a, b, c", r.SENTENCE_END)}),
+f AS (SELECT doc_id, a, 0 AS b, 0 AS c, s FROM a UNION ALL SELECT doc_id, a, b, 0, s FROM b UNION ALL SELECT doc_id, a, b, c, s FROM c),
+s AS (SELECT doc_id, string_agg(id, ' ' ORDER BY a, b, c, k) AS seq, count(*) AS n FROM f JOIN known USING (s) GROUP BY doc_id),
 m AS (SELECT doc_id, license, min(o) AS o FROM s JOIN rules ON regexp_matches(seq, pattern) GROUP BY doc_id, license),
-a AS (SELECT doc_id, string_agg(rule, ' ' ORDER BY m.o) AS rules, string_agg(m.license, ' ' ORDER BY m.o) AS licenses FROM m JOIN rules ON m.o = rules.o GROUP BY doc_id)
+l AS (SELECT doc_id, string_agg(rule, ' ' ORDER BY m.o) AS rules, string_agg(m.license, ' ' ORDER BY m.o) AS licenses FROM m JOIN rules ON m.o = rules.o GROUP BY doc_id)
 SELECT doc_id, coalesce(seq, '') AS sentence_ids, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(rules, '') AS rules, coalesce(licenses, '') AS licenses
-FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN a USING (doc_id)"""
+FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN l USING (doc_id)"""
 
 
 QUERIES = {

@@ -124,6 +124,66 @@ distributed under the License is distributed on an "AS IS" BASIS,
 WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
 See the License for the specific language governing permissions and
 limitations under the License.""",
+    "lgpl_full": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+
+You should have received a copy of the GNU Lesser General Public
+License along with this library; if not, write to the Free Software
+Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301  USA""",
+    "agpl_full": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published
+by the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU Affero General Public License for more details.
+
+You should have received a copy of the GNU Affero General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    "mpl_full": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "isc_full": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES.""",
+    "unlicense_full": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.""",
+    "bsd_three": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.""",
     "bsd_full": """Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions are met:
 
@@ -145,7 +205,24 @@ def test_licence_texts_as_they_are_published(spark):
         rows += [(rule, "\n".join(f"{sign} {x}".rstrip() for x in lines)) for sign in ("#", "//", " *")]
     rows.append(("gpl_full", NOTICES["gpl_full"].replace("software:", "software;").replace("program.  If not", "program; if not").replace("version 3", "version 2")))
     got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
-    assert len(got) == 29 and [(r["doc_id"], r["rules"]) for r in got if r["rules"] != r["doc_id"]] == []
+    assert len(got) == 7 * len(NOTICES) + 1 and [(r["doc_id"], r["rules"]) for r in got if r["rules"] != r["doc_id"]] == []
+
+
+def test_sql_equals_the_scan_on_published_texts_and_odd_cases(spark, tmp_path):
+    import duckdb
+
+    lines = lambda t, sign: "\n".join(f"{sign} {x}".rstrip() for x in t.split("\n"))
+    texts = [t for n in NOTICES.values() for t in (n, n.replace("\n", "\r\n"), " ".join(n.split()), lines(n, "#"), lines(n, " *"), lines(n, ">"))]
+    texts += [f"{a}\n{b}" for a in ("Released under the MIT License.", "MIT. 2.0 \x0b; # x") for b in ("Licensed under CC BY 4.0;", "# \r\n#\r\n# Licensed under CC BY 4.0")]
+    texts += ["", " ", None, "x" * 100_000 + ". Released under the MIT License.", "Licensed under the Apache License.\u2028Version 2"]
+    rows = [(i, t, "x", 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string, cid int")
+    assert license_scan.license_scan(df.limit(0)).count() == 0
+    mine = sorted(map(tuple, license_scan.license_scan(df).collect()))
+    df.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
+    assert mine == sorted(con.sql(queries.SQL["op2_license_scan"]).fetchall())
 
 
 def test_native(spark, sf_dir):
