@@ -12,10 +12,12 @@ of the ids.
 Only boundaries between an ASCII letter, digit or full stop and an ASCII space or line
 end count as places to stitch: every class table agrees on them.
 
-Defined cases. Null text: as the empty text, no ids. Repeated rows: each has its own
-result. Texts of any length: a task holds a batch of chunks, never more than a chunk of
-one text unless that text has no place to stitch. The vocabulary file is a parameter,
-read by the driver (under 1 MB) and sent with the plan.
+Defined cases. Null text: as the empty text, no ids. Null or repeated ids and repeated rows:
+each row has its own result. Empty table: no rows. Other columns of the input, whatever
+their names, aren't looked at. Texts of any length: a task works on a batch of chunks, and
+pieces are digested one after the other; only a text's ids, a cell of the result, and a text
+without a place to stitch are in one place whole. The vocabulary file is a parameter, read by
+the driver (under 1 MB) and sent with the plan.
 """
 
 from __future__ import annotations
@@ -26,16 +28,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairmill.llm.units import UnitEncoder, bounded_batches, slices
+from pairmill.llm.units import UnitEncoder, bounded_batches, packed, slices
 
 CHUNK, OVERLAP = 20_000, 400
 
 
+# Fixed value: the pattern whose texts may be cut into units.
+UNIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class Codec:
-    """A rank file with its pattern; the encoder is built once in each worker process."""
+    """A rank file with its pattern; the encoder is built once in each worker process. With
+    a pattern other than UNIT_PATTERN, texts go to the library uncut."""
 
     _built: dict[str, tuple] = {}
 
@@ -48,25 +56,28 @@ class Codec:
         with open(path, "rb") as f:
             return cls(f.read(), pattern)
 
-    def _own(self) -> tuple:
+    def _own(self) -> tuple[UnitEncoder, pa.Array]:
         if self.key not in self._built:
             import tiktoken
 
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.ranks.splitlines())}
             enc = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=table, special_tokens={})
-            bytes_of = np.empty(max(table.values()) + 1, dtype=object)
-            for piece, rank in table.items():
-                bytes_of[rank] = piece
+            spelt = {rank: piece for piece, rank in table.items()}
+            bytes_of = pa.array([spelt.get(i, b"") for i in range(max(table.values()) + 1)], pa.large_binary())
+            id_bytes = pc.binary_length(bytes_of).to_numpy()
             self._built.clear()
-            id_bytes = np.array([len(x or b"") for x in bytes_of])
-            self._built[self.key] = (UnitEncoder(lambda texts: [enc.encode_ordinary(t) for t in texts], id_bytes), bytes_of)
+            self._built[self.key] = (UnitEncoder(lambda texts: [enc.encode_ordinary(t) for t in texts], id_bytes, self.pattern != UNIT_PATTERN), bytes_of)
         return self._built[self.key]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, side by side, and how many each text has."""
         return self._own()[0].encode(texts)
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(self._own()[1][np.frombuffer(ids, "<u4")])
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The raw bytes of the ids, side by side, and where each id's bytes begin (and the end)."""
+        raw = self._own()[1].take(pa.array(ids, pa.int64()))
+        edges = np.frombuffer(raw.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        return np.frombuffer(raw.buffers()[2] or b"", np.uint8)[: edges[-1]], edges
 
 
 def public_codec(name: str = "byte_bpe_multi_50k.tiktoken") -> Codec:
@@ -76,43 +87,64 @@ def public_codec(name: str = "byte_bpe_multi_50k.tiktoken") -> Codec:
 
 
 def _encode_pieces(codec: Codec):
-    """Replaces the last column, a piece of text, by its ids and their decoded bytes."""
+    """Replaces the last column, a piece of text, by its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             last = b.num_columns - 1
             for part in slices(b, last):
-                ids = codec.encode([t or "" for t in part.column(last).to_pylist()])
+                ids, sizes = codec.encode(part.column(last))
                 own = {f.name: part.column(k) for k, f in enumerate(b.schema) if k < last}
-                yield pa.record_batch(own | {"ids": pa.array(ids, pa.binary()), "raw": pa.array([codec.decode(x) for x in ids], pa.binary())})
+                yield pa.record_batch(own | {"ids": packed(np.concatenate([[0], 4 * np.cumsum(sizes)]), ids.astype("<u4")).cast(pa.binary())})
 
     return run
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256) from ids and raw bytes, or lists of them in order."""
-
-    def one(x) -> bytes:
-        return x if isinstance(x, bytes) else b"".join(x or [])
-
-    for b in batches:
-        ids, raw = ([one(x) for x in b.column(n).to_pylist()] for n in ("ids", "raw"))
-        yield pa.record_batch(
-            {f.name: b.column(k) for k, f in enumerate(b.schema) if f.name not in ("ids", "raw")}
-            | {
-                "ids": pa.array(ids, pa.binary()),
-                "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in raw],
-            }
-        )
+def _results(doc_ids: pa.Array, ids: list[bytes], ids_sha256: list[str], decoded_sha256: list[str]) -> pa.RecordBatch:
+    n_tokens = pa.array([len(x) // 4 for x in ids], pa.int64())
+    return pa.record_batch({"doc_id": doc_ids, "ids": pa.array(ids, pa.binary()), "n_tokens": n_tokens, "ids_sha256": pa.array(ids_sha256, pa.string()), "decoded_sha256": pa.array(decoded_sha256, pa.string())})
 
 
 def _encode_whole(codec: Codec):
     """Encodes, decodes and digests texts of one piece each in the same worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _digest(_encode_pieces(codec)(batches))
+        for b in batches:
+            for part in slices(b, 1):
+                ids, sizes = codec.encode(part.column(1))
+                raw, edges = codec.decode(ids)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                flat, at = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+                cells = [flat[i:j] for i, j in zip(at, at[1:])]
+                of_text = edges[ends].tolist()
+                decoded = [hashlib.sha256(raw[i:j]).hexdigest() for i, j in zip(of_text, of_text[1:])]
+                yield _results(part.column(0), cells, [hashlib.sha256(x).hexdigest() for x in cells], decoded)
+
+    return run
+
+
+def _join_pieces(codec: Codec):
+    """Results of texts whose pieces (row, doc_id, ids) come one after the other: ids and their
+    decoded bytes are digested a piece at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, doc_id, parts, digests = None, None, [], (hashlib.sha256(), hashlib.sha256())
+
+        def done() -> pa.RecordBatch:
+            return _results(doc_id, [b"".join(parts)], *([d.hexdigest()] for d in digests))
+
+        for b in batches:
+            for i in range(b.num_rows):
+                if (now := b.column(0)[i].as_py()) != row:
+                    if parts:
+                        yield done()
+                    row, doc_id, parts, digests = now, b.column(1).slice(i, 1), [], (hashlib.sha256(), hashlib.sha256())
+                ids = b.column(2)[i].as_py()
+                parts.append(ids)
+                digests[0].update(ids)
+                digests[1].update(codec.decode(np.frombuffer(ids, "<u4"))[0])
+        if parts:
+            yield done()
 
     return run
 
@@ -180,7 +212,6 @@ def encode_documents(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text
     # rows are told apart by their place in the input, which a reread of the same files repeats
     long = plain.withColumn("row", F.monotonically_increasing_id()).filter(is_long)
     pieces = _pieces_of_long(long, codec.pattern, chunk, overlap)
-    done = pieces.mapInArrow(_encode_pieces(codec), f"row long, doc_id {kind}, piece_no long, ids binary, raw binary")
-    parts = F.sort_array(F.collect_list(F.struct("piece_no", "ids", "raw")))
-    joined = done.groupBy("row", "doc_id").agg(parts.alias("p")).select("doc_id", F.transform("p", lambda x: x["ids"]).alias("ids"), F.transform("p", lambda x: x["raw"]).alias("raw"))
-    return short.unionByName(joined.mapInArrow(_digest, out))
+    done = pieces.mapInArrow(_encode_pieces(codec), f"row long, doc_id {kind}, piece_no long, ids binary")
+    in_order = done.repartition("row").sortWithinPartitions("row", "piece_no").select("row", "doc_id", "ids")
+    return short.unionByName(in_order.mapInArrow(_join_pieces(codec), out))

@@ -12,13 +12,17 @@ Encoding is by the tokenizers library; a worker keeps the ids of units it has me
 `units`). END_ID closes every document.
 
 Defined cases. Null text: the end id alone. Null doc_id: sorted first. Repeated ids: in
-order of their text; equal rows have each their own place. Empty table: no rows. An
+order of their text; equal rows have each their own place. Empty table: no rows. Very long
+texts are encoded whole, a bounded number of units at a time. Bytes that aren't UTF-8 are
+read as U+FFFD. Other columns of the input, whatever their names, aren't looked at. An
 executor lost while writing: its tasks run again, the writer commits whole files only.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -48,7 +52,15 @@ class TokenizerFile:
         with open(public_tokenizers.path(name), encoding="utf-8") as f:
             return cls(f.read())
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def fits_units(self) -> bool:
+        """Whether texts may be cut into units: a plain byte-level pre-tokenizer and no other rule on texts."""
+        spec = json.loads(self.text)
+        before = spec.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        return plain and not any(spec.get(k) for k in ("normalizer", "truncation", "padding")) and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, side by side, and how many each text has."""
         if self.key not in self._built:
             import os
 
@@ -62,22 +74,22 @@ class TokenizerFile:
             # a byte-level vocabulary spells each byte as one character
             for token, i in vocab.items():
                 id_bytes[i] = len(token)
-            self._built[self.key] = UnitEncoder(lambda t: [e.ids for e in own.encode_batch_fast(t, add_special_tokens=False)], id_bytes)
+            intact = tuple(t["content"] for t in json.loads(self.text).get("added_tokens", []))
+            self._built[self.key] = UnitEncoder(lambda t: [e.ids for e in own.encode_batch_fast(t, add_special_tokens=False)], id_bytes, not self.fits_units(), intact)
         return self._built[self.key].encode(texts)
 
 
 def _encode(tokenizer: TokenizerFile):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([END_ID], dtype="<u4").tobytes()
         offset = 0
         for b in batches:
             for own in slices(b, 2):
-                ids = [x + end for x in tokenizer.encode([t or "" for t in own.column(2).to_pylist()])]
-                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                ends = np.cumsum(n)
-                flat = np.frombuffer(b"".join(ids), dtype="<i4")
+                ids, sizes = tokenizer.encode(own.column(2))
+                ends = np.cumsum(sizes + 1)
+                flat = np.full(len(ids) + len(sizes), END_ID, dtype=np.int32)
+                flat[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
-                yield pa.record_batch({"block": own.column(0), "doc_id": own.column(1), "block_start": ends - n + offset, "n_tokens": n, "tokens": tokens})
+                yield pa.record_batch({"block": own.column(0), "doc_id": own.column(1), "block_start": ends - sizes - 1 + offset, "n_tokens": sizes + 1, "tokens": tokens})
                 offset += int(ends[-1])
 
     return run

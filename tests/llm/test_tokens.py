@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,10 +49,12 @@ def test_bpe_in_overlapping_chunks_equals_the_library(spark, encoding):
 def test_units_of_random_texts(encoding):
     rng = random.Random(8)
     codec = bpe_codec.public_codec()
-    alphabet = list("aB1 .'\n\t\r\x0b\x0c") + ["é", " ", " ", "\x1f", "\x85", "漢", "'s", "  "]
+    alphabet = list("aB1 .,-'\n\t\r\x0b\x0c\u0301€²") + ["é", " ", " ", "\x1f", "\x85", "漢", "'s", "  "]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(3000)]
-    assert codec.encode(texts) == [np.array(encoding.encode_ordinary(t), dtype="<u4").tobytes() for t in texts]
-    assert [codec.decode(x) for x in codec.encode(texts[:50])] == [t.encode() for t in texts[:50]]
+    ids, sizes = codec.encode(pa.array(texts))
+    want = [encoding.encode_ordinary(t) for t in texts]
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+    assert codec.decode(ids)[0].tobytes() == "".join(texts).encode()
 
 
 def test_token_files_round_trip(spark, tmp_path):
@@ -90,7 +93,22 @@ def test_token_file_layout(spark, tmp_path):
     columns = {meta.column(i).path_in_schema: meta.column(i) for i in range(meta.num_columns)}
     assert any("DICTIONARY" in e for e in columns["tokens.list.element"].encodings)
     assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings
-    assert all(c.has_column_index and c.has_offset_index for n, c in columns.items() if n != "tokens.list.element")
+    assert all(c.has_column_index and c.has_offset_index for c in columns.values())
+
+
+def test_row_groups_and_pages_are_bounded(spark, tmp_path, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(token_files, "ROW_GROUP", 64 << 10)
+    monkeypatch.setattr(token_files, "PAGE_BYTES", 8 << 10)
+    path = str(tmp_path / "tokens")
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.xxhash64("id", i).cast("string"))).alias("text"))
+    token_files.write_tokens(df.repartition(1), token_files.TokenizerFile.public(), path)
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{path}/*.parquet")]
+    assert sum(m.num_row_groups for m in files) > len(files)
+    assert sum(m.num_rows for m in files) == 4000
 
 
 def test_empty_token_files(spark, tmp_path):
@@ -139,7 +157,38 @@ def test_joined_units_equal_the_library_on_whole_texts():
 
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(5)
-    parts = ["a", "é", "日本", "!", "\x01", "\x00x", "<|endoftext|>", " ", "  ", "\n", "\t", "'s", "12", " ", "\r\n", "😀", "word"]
+    parts = ["a", "é", "日本", "!", "\u0301", "9.", "x,", "(", "\x01", "\x00x", "<|endoftext|>", " ", "  ", "\n", "\t", "'s", "12", " ", "\r\n", "😀", "word"]
     texts = ["", " ", "\n\n", *("".join(rng.choices(parts, k=rng.randint(1, 40))) for _ in range(600))]
-    got = TokenizerFile.public().encode(texts)
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    want = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    for part in (pa.array(texts), pa.array(["x", *texts])[1:]):  # a slice's offsets don't begin at 0
+        ids, sizes = TokenizerFile.public().encode(part)
+        assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+
+
+def test_small_parts_and_a_small_table_give_the_same_ids(encoding, monkeypatch):
+    from pairmill.llm import units
+
+    rng = random.Random(12)
+    codec = bpe_codec.public_codec()
+    texts = [" ".join(rng.choice(["word", "é", "x" * 60, "1 2", "\u00a0", "\n\n"]) + str(rng.randrange(90)) for _ in range(rng.randrange(200))) for _ in range(30)]
+    want = [encoding.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(units, "UNITS_AT_ONCE", 7)
+    monkeypatch.setattr(units.UnitEncoder, "KEEP", 20)
+    monkeypatch.setattr(units, "AT_ONCE", 100)
+    batch = pa.record_batch({"id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    got = [codec.encode(part.column(1)) for part in units.slices(batch, 1)]
+    assert sum((s.tolist() for _, s in got), []) == [len(x) for x in want]
+    assert sum((i.tolist() for i, _ in got), []) == sum(want, [])
+
+
+def test_another_pattern_encodes_uncut():
+    import tiktoken
+
+    pattern = r"[a-z]+\s*|\s+|."
+    codec = bpe_codec.public_codec()
+    other = bpe_codec.Codec(codec.ranks, pattern)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, codec.ranks.splitlines())}
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["the cat  sat", " the", "", "a b\n c"]
+    ids, _ = other.encode(pa.array(texts))
+    assert ids.tolist() == sum((library.encode_ordinary(t) for t in texts), [])
