@@ -1,12 +1,14 @@
 """Interpolated modified Kneser-Ney language model, counted in Spark.
 
 Order 2. Tasks hash the words of their texts and pre-sum their bigrams, packed by context;
-one shuffle by a slice of the context's hash brings equal bigrams together; tasks sum them
-one shard at a time and write, per shard, sorted arrays of bigram hashes with counts and of context hashes with their
-totals and numbers of followers seen once, twice and more often. The same job passes each
-word's count and number of distinct predecessors on, shuffles those by word and writes
-unigram arrays alike. Only totals and counts of counts (a few rows a shard) come to the
-driver. Scoring workers memory-map the arrays in the shared folder and look up a batch's
+one shuffle by a slice of the context's hash brings equal bigrams together, one shard a task;
+tasks sum them and write, per shard, sorted arrays of bigram hashes with counts and of context
+hashes with their totals and numbers of followers seen once, twice and more often. Contexts
+with very many followers (the begin of a text, common words) are spread over all shards by
+context and word instead; which ones is read from a sample of the texts and changes no
+count, and their totals, at most WIDE rows, are added up and travel with the model. The same
+job passes each word's count and number of distinct predecessors on, shuffles those by word
+and writes unigram arrays alike. Only these totals and counts of counts come to the driver. Scoring workers memory-map the arrays in the shared folder and look up a batch's
 distinct bigrams by binary search, in sorted order, so neighbours share pages and all
 workers of a machine share one page cache. A store that can't be mapped is copied to a
 local file that is unlinked as soon as it is mapped.
@@ -14,11 +16,14 @@ local file that is unlinked as soon as it is mapped.
     p(w | u) = max(c(uw) - D(c(uw)), 0) / c(u) + (D1 N1(u) + D2 N2(u) + D3 N3+(u)) / c(u) * q(w)
     q(w) = max(N(.w) - D'(N(.w)), 0) / N(..) + (D'1 n1 + D'2 n2 + D'3 n3+) / N(..) / (V + 1)
 
-with D from counts of counts at each level; an unseen context leaves q(w).
+with D from counts of counts at each level; an unseen context leaves q(w). Words are 64-bit
+hashes and bigrams a 64-bit mix of two: of n distinct bigrams, a share of about n / 2^64 has
+another's counts added to its own (1e-8 for 2e11 bigrams); nothing checks for that.
 
 Defined cases. Null, empty and blank texts: the end token alone. No training text: every
 probability 1, all counts 0. Repeated rows count and are scored each. A null id is neither
-held out nor learned from. Tasks that run again write the same bytes and rename them into
+held out nor learned from. No rows: no rows. Very long texts are counted and scored whole.
+Other columns, whatever their names, aren't looked at. Tasks that run again write the same bytes and rename them into
 place, so lost executors leave whole files.
 """
 
@@ -44,7 +49,9 @@ BEGIN = np.uint64(xxhash.xxh64_intdigest(b"\n begin", 7))
 END = np.uint64(xxhash.xxh64_intdigest(b"\n end", 7))
 #: Characters of text worked on at once, and bigrams summed before they are sent.
 AT_ONCE, PRE_SUM = 2_000_000, 3_000_000
-MIN_SHARDS = 64
+MIN_SHARDS = 8
+#: Most contexts that are spread, the followers in a part of the sample that make one, and the sample: one text in so many.
+WIDE, WIDE_FOLLOWERS, SAMPLE = 1_000, 2_000, 16
 #: Contexts sent to the JVM at once.
 SEND_ROWS = 20_000
 
@@ -101,15 +108,20 @@ def _shard(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int32)
 
 
+def _by(u: np.ndarray, w: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """The hashes that name bigrams' shards."""
+    return np.where(np.isin(u, wide), _mix(u, w), u) if len(wide) else u
+
+
 def _packed(values: np.ndarray, first: np.ndarray) -> pa.Array:
     """Binary cells, one for each run of `values` that begins at `first`."""
     edges = np.concatenate([first, [len(values)]]) * values.itemsize
     return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _bigrams(bits: int):
-    """(shard, u, ws, cs): per context the words that follow it and how often, as packed
-    arrays, from a partition's texts in parts of PRE_SUM tokens."""
+def _bigrams(bits: int, wide: np.ndarray):
+    """(shard, u, ws, cs): per context (and shard) the words that follow it and how often, as
+    packed arrays, from a partition's texts in parts of PRE_SUM tokens."""
 
     def summed(us: list, ws: list) -> Iterator[pa.RecordBatch]:
         u, w = np.concatenate(us), np.concatenate(ws)
@@ -119,8 +131,12 @@ def _bigrams(bits: int):
         first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
         c = np.diff(np.concatenate([first, [len(u)]])).astype(np.uint32)
         u, w = u[first], w[first]
-        runs = _runs(u)
-        whole = pa.record_batch({"shard": _shard(u[runs], bits), "u": u[runs].view(np.int64), "ws": _packed(w, runs), "cs": _packed(c, runs)})
+        shard = _shard(_by(u, w, wide), bits)
+        if len(wide):
+            order = np.lexsort((shard, u))
+            u, w, c, shard = u[order], w[order], c[order], shard[order]
+        runs = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (shard[1:] != shard[:-1])]))
+        whole = pa.record_batch({"shard": shard[runs], "u": u[runs].view(np.int64), "ws": _packed(w, runs), "cs": _packed(c, runs)})
         for i in range(0, len(runs), SEND_ROWS):
             yield whole.slice(i, SEND_ROWS)
 
@@ -141,9 +157,23 @@ def _bigrams(bits: int):
     return run
 
 
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, n): contexts of a batch's texts with WIDE_FOLLOWERS followers, and BEGIN."""
+    for b in batches:
+        for part in _slices(b, 0):
+            t = _Tokens(part.column(0))
+            pairs = np.unique(t.prev * len(t.words) + t.ids)
+            n = np.bincount(pairs // len(t.words), minlength=len(t.words))
+            n[-1] = max(n[-1], WIDE_FOLLOWERS)
+            many = np.flatnonzero(n >= WIDE_FOLLOWERS)
+            yield pa.record_batch({"u": t.words[many].view(np.int64), "n": n[many].astype(np.int64)})
+
+
 def _write(base: str, name: str, **arrays: np.ndarray) -> None:
     store, path = fs.FileSystem.from_uri(base)
     for part, values in arrays.items():
+        if not len(values):  # an empty file can't be mapped; an absent one is an empty array
+            continue
         at = f"{path}/{name}.{part}"
         with store.open_output_stream(tmp := f"{at}.{uuid.uuid4().hex}") as f:
             f.write(np.ascontiguousarray(values).tobytes())
@@ -181,9 +211,10 @@ def _unpacked(cells: pa.ChunkedArray, dtype) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), dtype) for c in cells.chunks for x in c])
 
 
-def _write_bigrams(base: str):
+def _write_bigrams(base: str, wide: np.ndarray):
     """Sums and writes one shard at a time. Gives (kind, w, c, n): kind 0 is a word's count
-    and distinct predecessors in a shard, kinds 1 to 4 the number of bigrams seen so often."""
+    and distinct predecessors in a shard, kinds 1 to 4 the number of bigrams seen so often,
+    kinds 5 to 8 a wide context's total and numbers of followers in the shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, rows in _by_shard(batches):
@@ -202,8 +233,12 @@ def _write_bigrams(base: str):
             order = np.argsort(mu, kind="stable")
             first = _runs(mu[order])
             oc = mc[order]
-            seen = [np.add.reduceat(x.astype(np.int64), first) for x in (oc, oc == 1, oc == 2, oc >= 3)]
-            _write(base, f"context-{s}", keys=mu[order][first], counts=_least_type(np.stack(seen, axis=1)))
+            seen = np.stack([np.add.reduceat(x.astype(np.int64), first) for x in (oc, oc == 1, oc == 2, oc >= 3)], axis=1)
+            of = mu[order][first]
+            part = np.isin(of, wide)
+            _write(base, f"context-{s}", keys=of[~part], counts=_least_type(seen[~part]))
+            for k in range(4):
+                yield pa.record_batch({"kind": np.full(int(part.sum()), 5 + k, np.int32), "w": of[part].view(np.int64), "c": np.zeros(int(part.sum()), np.int64), "n": seen[part, k]})
             order = np.argsort(mw, kind="stable")
             first = _runs(mw[order])
             n = np.diff(np.concatenate([first, [len(mw)]])).astype(np.int64)
@@ -223,11 +258,15 @@ def _write_words(base: str, bits: int):
             kind, w, c, n = (rows.column(k).to_numpy() for k in ("kind", "w", "c", "n"))
             totals: dict[str, int] = {f"bigrams_{k}": int(n[kind == k].sum()) for k in (1, 2, 3, 4)}
             word = kind == 0
+            all_w, all_n = w, n
             w, c, n = w[word].view(np.uint64), c[word], n[word]
             if len(w):
                 order = np.argsort(w)
                 _write(base, f"word-{s}", keys=w[order], counts=_least_type(np.stack([c[order], n[order]], axis=1)))
             totals |= {"tokens": int(c.sum()), "types": len(w), "bigrams": int(n.sum())} | {f"words_{k}": int((n == k).sum()) for k in (1, 2, 3, 4)}
+            for k in range(4):
+                of_kind = kind == 5 + k
+                totals |= {f"wide {k} {u}": v for u, v in zip(all_w[of_kind].tolist(), all_n[of_kind].tolist())}
             yield pa.record_batch({"name": list(totals), "n": pa.array(totals.values(), pa.int64())})
 
     return run
@@ -248,6 +287,9 @@ class KneserNey:
 
     def __init__(self, base: str, bits: int, totals: dict[str, int]):
         self.base, self.bits = base, bits
+        of_wide = {int(u) for _, _, u in (k.split() for k in totals if k.startswith("wide "))}
+        self.wide = np.sort(np.array(sorted(of_wide), dtype=np.int64).view(np.uint64))
+        self.wide_counts = np.array([[totals.get(f"wide {k} {u}", 0) for k in range(4)] for u in self.wide.view(np.int64).tolist()], dtype=np.int64).reshape(-1, 4)
         self.totals = {k: totals.get(k, 0) for k in ("tokens", "types", "bigrams", *(f"{x}_{k}" for x in ("words", "bigrams") for k in (1, 2, 3, 4)))}
 
     def _map(self, name: str, dtype) -> np.ndarray:
@@ -289,15 +331,24 @@ class KneserNey:
                 out[mine] = np.where((have[at] == keys[mine])[:, None], counts[at], 0)
         return out
 
+    def contexts(self, u: np.ndarray) -> np.ndarray:
+        """Totals and numbers of followers of distinct contexts."""
+        out = self.look_up("context", u, u)
+        if len(self.wide):
+            at = np.minimum(np.searchsorted(self.wide, u), len(self.wide) - 1)
+            mine = self.wide[at] == u
+            out[mine] = self.wide_counts[at[mine]]
+        return out
+
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """Per text: n_tokens, n_known, base_score and score, the log10 probability."""
         t, k = _Tokens(texts), self.totals
         words = self.look_up("word", t.words[:-1], t.words[:-1])
-        contexts = self.look_up("context", t.words, t.words)
+        contexts = self.contexts(t.words)
         pair = t.prev * len(t.words) + t.ids
         distinct, back = np.unique(pair, return_inverse=True)
         u, w = t.words[distinct // len(t.words)], t.words[distinct % len(t.words)]
-        pairs = self.look_up("bigram", u, _mix(u, w))[:, 0]
+        pairs = self.look_up("bigram", _by(u, w, self.wide), _mix(u, w))[:, 0]
         base = np.log10((words[:, 0] + 0.1) / (k["tokens"] + 0.1 * (k["types"] + 1)))
         one = _discounts(*(k[f"words_{i}"] for i in (1, 2, 3, 4)))
         two = _discounts(*(k[f"bigrams_{i}"] for i in (1, 2, 3, 4)))
@@ -329,10 +380,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     # shards grow with the input's file splits, so a shard stays a few million bigrams
     bits = (max(MIN_SHARDS, 2 * docs.rdd.getNumPartitions()) - 1).bit_length()
     texts = bounded_batches(docs).filter(folds(F.col(id_col)) != 0).select(F.col(text_col).alias("text"))
-    counts = texts.mapInArrow(_bigrams(bits), "shard int, u long, ws binary, cs binary").repartition("shard").sortWithinPartitions("shard")
-    words = counts.mapInArrow(_write_bigrams(base), "kind int, w long, c long, n long")
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).mapInArrow(_wide, "u long, n long")
+    found = some.groupBy("u").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "u").limit(WIDE).collect()
+    wide = np.sort(np.array([r["u"] for r in found], dtype=np.int64).view(np.uint64))
+    counts = texts.mapInArrow(_bigrams(bits, wide), "shard int, u long, ws binary, cs binary").repartitionById(1 << bits, "shard").sortWithinPartitions("shard")
+    words = counts.mapInArrow(_write_bigrams(base, wide), "kind int, w long, c long, n long")
     whole = words.groupBy("kind", "w").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
-    slices = whole.select(F.shiftrightunsigned("w", 64 - bits).alias("shard"), "kind", "w", "c", "n").repartition("shard").sortWithinPartitions("shard")
+    slices = whole.select(F.shiftrightunsigned("w", 64 - bits).cast("int").alias("shard"), "kind", "w", "c", "n").repartitionById(1 << bits, "shard").sortWithinPartitions("shard")
     receipts = slices.mapInArrow(_write_words(base, bits), "name string, n long")
     totals = {r["name"]: r["n"] for r in receipts.groupBy("name").agg(F.sum("n").alias("n")).collect()}
     return KneserNey(base, bits, totals)

@@ -5,7 +5,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from pairmill.llm import language_id, mixing, ngram_lm
@@ -143,17 +145,38 @@ def test_scores_against_brute_force(spark, sf_dir):
 
 
 def test_a_word_s_probabilities_sum_to_one(spark, tmp_path):
-    texts = ["a b c a b", "b c c a", "a a d"]
+    """Over all known words, the end and the share of an unknown one, after each context."""
+    texts = ["a b c a b", "b c c a", "a a d", "a b d c"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "doc_id long, text string")
     model = ngram_lm.train(df, path=str(tmp_path / "lm"))
-    import pyarrow as pa
-
-    base = model.score(pa.array(["", "a", "a b", "a c", "a d", "a a", "a zz"]))["score"]
-    # log p(x | a) is the score of "a x" less that of "a" and of the ends; sum over x and the end
-    first = model.score(pa.array(["a"]))["score"][0]
-    assert base[1] == first
-    u = np.array([model.look_up("context", np.array([h]), np.array([h]))[0, 0] for h in [np.uint64(__import__("xxhash").xxh64_intdigest(b"a", 7))]])
-    assert u[0] > 0
+    k = model.totals
+    hashes = np.array([xxhash.xxh64_intdigest(w.encode(), 7) for w in "abcd"] + [int(ngram_lm.END)], dtype=np.uint64)
+    one, two = (ngram_lm._discounts(*(k[f"{x}_{i}"] for i in (1, 2, 3, 4))) for x in ("words", "bigrams"))
+    n = model.look_up("word", hashes, hashes)[:, 1]
+    kept = np.maximum(n - one[np.minimum(n, 3)], 0) / k["bigrams"]
+    q = np.append(kept, 0) + (1 - kept.sum()) / (k["types"] + 1)
+    assert k["types"] == 5 and q.sum() == pytest.approx(1)
+    for u in [*hashes[:4], ngram_lm.BEGIN]:
+        u = np.full(5, u, dtype=np.uint64)
+        c, *followers = model.contexts(u[:1])[0]
+        pairs = model.look_up("bigram", ngram_lm._by(u, hashes, model.wide), ngram_lm._mix(u, hashes))[:, 0]
+        assert c > 0 and pairs.sum() == c
+        p = np.append(np.maximum(pairs - two[np.minimum(pairs, 3)], 0) / c, 0) + (two[1:] @ followers) / c * q
+        assert p.sum() == pytest.approx(1) and (p > 0).all()
+
+
+@pytest.mark.parametrize("followers, most", [(1, 1000), (3, 2), (10**9, 1000)])
+def test_spread_contexts_change_no_score(spark, monkeypatch, followers, most):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(list("abcdefghij"), rng.integers(0, 30))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, u int").repartition(5)
+    want = {r["doc_id"]: r["score"] for r in ngram_lm.score_documents(df, ngram_lm.train(df)).collect()}
+    for name, value in (("WIDE_FOLLOWERS", followers), ("WIDE", most), ("SAMPLE", 1), ("MIN_SHARDS", 32)):
+        monkeypatch.setattr(ngram_lm, name, value)
+    model = ngram_lm.train(df)
+    assert 1 <= len(model.wide) <= most
+    got = {r["doc_id"]: r["score"] for r in ngram_lm.score_documents(df, model).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
 
 
 def test_scores_without_training_text(spark):
