@@ -25,12 +25,15 @@ def build_session(master: str = "local[*]", app: str = "pairmill", **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir` where the
-    session has it. Only without that setting (one machine, tests) a local one is set."""
+    """The folder that driver and executors share: `spark.checkpoint.dir` where the session
+    has it, or the one set on its context. Without either, a local one is set on one machine
+    (tests), and a cluster is an error."""
     sc = spark.sparkContext
     if set_dir := sc.getConf().get("spark.checkpoint.dir"):
         return set_dir.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not (sc.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: name a folder that driver and executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
     return sc.getCheckpointDir().rstrip("/")
 
