@@ -6,7 +6,8 @@ that fail the word-level base rules, are rejected. All of it is row-local: one s
 shuffle, no Python, so a skewed source or a group of copies costs nothing extra.
 
 Defined cases. Null text counts as the empty text: all counts 0, rejected. Empty and
-blank lines never fail and are never duplicates. Repeated rows are judged row by row.
+blank lines never fail and are never duplicates. Repeated rows are judged row by row. No
+rows: no rows. Very long texts are judged whole.
 Other columns of the input, whatever their names, pass through `clean` untouched.
 """
 

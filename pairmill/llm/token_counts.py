@@ -11,7 +11,8 @@ Words are runs of characters other than ASCII white space; each is prefixed by t
 mark and segmented by itself, so counts of distinct words are kept in a bounded table per
 worker and a document's count is a sum over its words. One scan, no shuffle.
 
-Defined cases. Null, empty and blank texts count 0. Repeated rows count each by itself.
+Defined cases. Null, empty and blank texts count 0. Repeated rows and null ids count each by
+itself. No rows: no rows. Other columns, whatever their names, aren't looked at.
 Words of any length are segmented whole. The vocabulary is a parameter: pieces in order of
 frequency rank with scores -ln(rank + 1) where a file has no usable scores (Zipf's law; no
 tokenizer is trained).

@@ -52,3 +52,23 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
     digest = lambda ids: hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
     want = sorted((r["doc_id"], digest(encoding.encode_ordinary(r["text"])), hashlib.sha256(r["text"].encode()).hexdigest()) for r in before)
     assert sorted((r["doc_id"], r["ids_sha256"], r["decoded_sha256"]) for r in after) == want
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    # no window of eight words comes twice
+    prose = " ".join(f"The quiet river {i} runs past mill {i} and boat {i} lies there {i}." for i in range(12))
+    other = " ".join(f"Des bateaux dorment pres du moulin {i} le long de la rive {i}." for i in range(12))
+    rows = [(1, prose, "en", "a", 1, "x"), (1, prose, "en", "a", 2, "y"), (None, other, None, None, None, None), (2, None, "en", "b", 3, "z"), (3, "", None, "b", 4, None), (4, "12 !", "fr", None, 5, "w"), (5, other, "fr", "c", 6, "v")]
+    schema = "doc_id long, text string, lang string, source string, h int, slot string"
+    for name, data in (("odd", rows), ("empty", [])):
+        docs = spark.createDataFrame(data, schema)
+        for stage, apply in corpus_pipeline.STAGES:
+            apply(spark, docs, "").write.parquet(f"{tmp_path}/{name}-{stage}")
+            before, docs = docs, spark.read.parquet(f"{tmp_path}/{name}-{stage}")
+            if stage != "bpe_codec":
+                assert docs.columns == before.columns
+            if stage == "language_id" and data:  # null and letterless texts go, a missing label is filled in
+                assert sorted(r["h"] or 0 for r in docs.collect()) == [0, 1, 2, 6] and docs.filter("lang is null").count() == 0
+            if stage == "simhash_dedup" and data:  # one of each text, a null id last
+                assert sorted((r["doc_id"], r["text"][:3]) for r in docs.collect()) == [(1, "The"), (5, "Des")]
+        assert (docs.count() > 0) == bool(data)
