@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairmill.llm import bpe_codec, embedding_dedup, language_id, license_scan, mixing, ngram_lm, quality_rules, simhash, token_counts, token_files
+from pairmill.llm import bpe_codec, embedding_dedup, fill_middle, language_id, license_scan, mixing, ngram_lm, quality_rules, simhash, token_counts, token_files
 from pairmill.session import scratch
 
 
@@ -129,3 +129,23 @@ QUERIES |= {
     "op6_embedding_dedup": op6_embedding_dedup,
     "op8_ngram_scores": op8_ngram_scores,
 }
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_middle(_table(spark, sf_dir, "documents"), texts=False)
+
+
+def _sql_op12() -> str:
+    h = lambda i: f"('0x' || substr(h, {8 * i - 7}, 8))::UBIGINT"
+    cut = lambda i, j: f"array_to_string(list_slice(u, {i}, {j}), '')"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h, regexp_extract_all(coalesce(text, ''), '(?s).') AS u FROM documents),
+c AS (SELECT *, len(u)::BIGINT AS n, t = '' OR regexp_matches(t, '<[PSM]>') OR {h(3)} % 100 >= 90 AS plain, {h(4)} % 100 < 20 AS spm,
+  least({h(1)} % (len(u) + 1), {h(2)} % (len(u) + 1))::BIGINT AS a, greatest({h(1)} % (len(u) + 1), {h(2)} % (len(u) + 1))::BIGINT AS b FROM t),
+p AS (SELECT *, {cut(1, "a")} AS pre, {cut("a + 1", "b")} AS mid, {cut("b + 1", "n")} AS suf FROM c)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN a END AS prefix_chars, CASE WHEN NOT plain THEN b - a END AS middle_chars,
+  sha256(CASE WHEN plain THEN t WHEN spm THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+QUERIES |= {"op12_fill_middle": op12_fill_middle}
+SQL |= {"op12_fill_middle": _sql_op12()}
