@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairmill.llm import bpe_codec, embedding_dedup, fill_middle, language_id, license_scan, mixing, ngram_lm, quality_rules, simhash, token_counts, token_files
+from pairmill.llm import bpe_codec, embedding_dedup, fill_middle, language_id, license_scan, mixing, ngram_lm, quality_rules, simhash, token_counts, token_files, turn_repair
 from pairmill.session import scratch
 
 
@@ -149,3 +149,11 @@ SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' EN
 
 QUERIES |= {"op12_fill_middle": op12_fill_middle}
 SQL |= {"op12_fill_middle": _sql_op12()}
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return turn_repair.repair_report(turn_repair.damage(turns), turns)
+
+
+QUERIES |= {"op13_turn_repair": op13_turn_repair}
