@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairmill.llm import bpe_codec, embedding_dedup, fill_middle, language_id, license_scan, mixing, ngram_lm, quality_rules, simhash, token_counts, token_files, turn_repair
+from pairmill.llm import bpe_codec, embedding_dedup, fill_middle, html_extract, language_id, license_scan, mixing, ngram_lm, quality_rules, simhash, token_counts, token_files, turn_repair
 from pairmill.session import scratch
 
 
@@ -157,3 +157,10 @@ def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op13_turn_repair": op13_turn_repair}
+
+
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+QUERIES |= {"op11_html_extract": op11_html_extract}
