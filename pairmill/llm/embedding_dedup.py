@@ -2,16 +2,17 @@
 
 A vector is described by its NEAREST nearest reference points (pivots) in order. Inverted
 lists, one per label and set of SHARED pivots, hold the vectors that have those among their
-nearest; two vectors in a common list share at least SHARED pivots, and the number of
-lists they share gives the shared-pivot count. Pairs so retrieved are verified by their
-cosine in double precision, so no false link passes.
+nearest, with the places they have there; two vectors of a common list have a shared-pivot
+count of at least SHARED. Those whose places of the list's pivots differ by more than RANKS in
+sum see the pivots in another order and aren't retrieved by this list. Pairs so retrieved are
+verified by their cosine in double precision, so no false link passes.
 
 Equal vectors of a label form one class first (a partial aggregation), so a vector with
 any number of copies is one row of the index, and links of copies are arithmetic: a row's
 links are the other rows of its class and all rows of the linked classes. The pivots are a
-bounded sample of each length: classes that come first in a hash order, PIVOTS_LOW to
-PIVOTS_HIGH of them, growing with the cube root of their number so that lists of three
-pivots stay short. No list is capped.
+bounded sample of each length: classes that come first in a hash order, half of them, PIVOTS_LOW
+at least and PIVOTS_HIGH or PIVOT_BYTES at most. So many pivots stand inside each topic of
+unlinked vectors too, and lists of three stay short there. No list is capped.
 
 A group with a large share of the vectors would take most of the pivots, whose order around
 its members is noise. So a sampled vector that many of the sample are linked with becomes
@@ -44,10 +45,14 @@ from pairmill.operators.joins import join_hot
 from pairmill.session import cut
 
 COSINE = 0.93
-NEAREST, SHARED = 8, 3
-PIVOTS_LOW, PIVOTS_HIGH = 256, 4096
+NEAREST, SHARED, RANKS = 12, 3, 15
+PIVOTS_LOW, PIVOTS_HIGH, PIVOT_BYTES = 256, 8192, 32 << 20
+#: Rows of a product with all pivots at once.
+ROWS_AT_ONCE = 512
 #: A sampled vector linked with DENSE others is a dense region's centre; rows of a block.
 DENSE, BLOCK = 4, 2048
+#: Sampled vectors, of each length, among which centres are looked for.
+SAMPLED = 4096
 
 
 def usable(label: Column, vec_id: Column, vector: Column) -> Column:
@@ -55,8 +60,10 @@ def usable(label: Column, vec_id: Column, vector: Column) -> Column:
     return F.coalesce(label.isNotNull() & vec_id.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(vectors: pa.Array) -> np.ndarray:
-    return np.array(vectors.to_pylist(), dtype=np.float64)
+def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -65,28 +72,36 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _index(pivots: dict[int, np.ndarray]):
-    """(label, dim, list, cid) for each set of SHARED pivots among a vector's nearest."""
+    """(label, dim, list, cid, places) for each set of SHARED pivots among a vector's nearest;
+    `places` has their ranks, four bits each, in the order of the pivots' numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims = b.column(2).value_lengths().to_numpy()
             for dim in np.unique(dims):
-                part = b.filter(pa.array(dims == dim))
-                near = _unit(_matrix(part.column(2))) @ pivots[dim].T
-                k = min(NEAREST, near.shape[1])
-                t = min(SHARED, k)
-                order = np.argsort(-near, axis=1, kind="stable")[:, :k]
-                sets = np.sort(order, axis=1)[:, list(combinations(range(k), t))]
-                keys = sets @ (PIVOTS_HIGH ** np.arange(t)).astype(np.int64)
-                n = keys.shape[1]
-                yield pa.record_batch(
-                    {
-                        "label": part.column(1).take(pa.array(np.repeat(np.arange(len(keys)), n))),
-                        "dim": np.full(keys.size, dim, dtype=np.int32),
-                        "list": keys.ravel(),
-                        "cid": np.repeat(part.column(0).to_numpy(), n),
-                    }
-                )
+                every = b.filter(pa.array(dims == dim))
+                for at in range(0, every.num_rows, ROWS_AT_ONCE):
+                    part = every.slice(at, ROWS_AT_ONCE)
+                    far = -(_unit(_matrix(part.column(2))) @ pivots[dim].T)
+                    k = min(NEAREST, far.shape[1])
+                    t = min(SHARED, k)
+                    order = np.argpartition(far, k - 1, axis=1)[:, :k]
+                    order = np.take_along_axis(order, np.lexsort((order, np.take_along_axis(far, order, 1))), 1)
+                    rank = np.argsort(order, axis=1)  # by number of the pivot
+                    number = np.take_along_axis(order, rank, 1)
+                    sets = list(combinations(range(k), t))
+                    keys = number[:, sets] @ (PIVOTS_HIGH ** np.arange(t)).astype(np.int64)
+                    places = rank[:, sets] @ (16 ** np.arange(t)).astype(np.int64)
+                    n = keys.shape[1]
+                    yield pa.record_batch(
+                        {
+                            "label": part.column(1).take(pa.array(np.repeat(np.arange(len(keys)), n))),
+                            "dim": np.full(keys.size, dim, dtype=np.int32),
+                            "list": keys.ravel(),
+                            "cid": np.repeat(part.column(0).to_numpy(), n),
+                            "places": places.ravel().astype(np.int32),
+                        }
+                    )
 
     return run
 
@@ -125,20 +140,20 @@ def _sample(own: DataFrame) -> dict[int, np.ndarray]:
     counts = {r["dim"]: r["count"] for r in sized.groupBy("dim").count().collect()}
     if not counts:
         return {}
-    sizes = {d: min(PIVOTS_HIGH, max(PIVOTS_LOW, ceil(8 * n ** (1 / 3)))) for d, n in counts.items()}
+    sizes = {d: min(PIVOTS_HIGH, max(PIVOTS_LOW, PIVOT_BYTES // (8 * d)), max(PIVOTS_LOW, ceil(n / 2))) for d, n in counts.items()}
     place = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("h"), "least"))
     limit = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("dim")]
     first = sized.withColumn("place", place).filter(F.col("place") <= max(sizes.values())).filter(F.col("place") <= limit)
-    found: dict[int, list] = {}
-    for r in first.orderBy("dim", "place").select("dim", "vector").collect():
-        found.setdefault(r["dim"], []).append(r["vector"])
-    return {d: _unit(np.array(v, dtype=np.float64)) for d, v in found.items()}
+    found = first.select("dim", "place", "vector").toArrow().sort_by([("dim", "ascending"), ("place", "ascending")])
+    dims = found.column("dim").to_numpy()
+    return {d: _unit(_matrix(found.filter(pa.array(dims == d)).column("vector"))) for d in sizes}
 
 
 def _centres(sample: dict[int, np.ndarray], least: float) -> dict[int, np.ndarray]:
     """Centres by length, so that no sampled vector has DENSE linked ones outside all cores."""
     found = {}
     for dim, x in sample.items():
+        x = x[:SAMPLED]
         near = x @ x.T >= least
         np.fill_diagonal(near, False)
         chosen = []
@@ -275,12 +290,14 @@ def class_links(own: DataFrame, least: float = COSINE) -> DataFrame:
     pivots = _sample(own)
     indexed = own.filter(F.size("vector").isin(*pivots)) if pivots else own.limit(0)
     label = dict(own.dtypes)["label"]
-    lists = indexed.select("cid", "label", "vector").mapInArrow(_index(pivots), f"label {label}, dim int, list long, cid long").repartition("label", "dim", "list")
-    other = lists.withColumnRenamed("cid", "other")
-    pairs = lists.join(other, ["label", "dim", "list"]).filter("cid < other").groupBy("cid", "other").agg(F.count("*").alias("lists"))
+    lists = indexed.select("cid", "label", "vector").mapInArrow(_index(pivots), f"label {label}, dim int, list long, cid long, places int")
+    other = lists.withColumnRenamed("cid", "other").withColumnRenamed("places", "theirs")
+    place = lambda c, i: F.shiftright(c, 4 * i).bitwiseAND(F.lit(15))
+    apart = sum((F.abs(place("places", i) - place("theirs", i)) for i in range(1, SHARED)), F.abs(place("places", 0) - place("theirs", 0)))
+    pairs = lists.join(other, ["label", "dim", "list"]).filter("cid < other").filter(apart <= RANKS).select("cid", "other").distinct()
     vectors = own.select("cid", "vector")
     a, b = vectors.toDF("cid", "va"), vectors.toDF("other", "vb")
-    both = pairs.select("cid", "other").join(a, "cid").join(b, "other").select(F.col("cid").alias("a"), F.col("other").alias("b"), "va", "vb")
+    both = pairs.join(a, "cid").join(b, "other").select(F.col("cid").alias("a"), F.col("other").alias("b"), "va", "vb")
     return both.mapInArrow(_verify(least), "a long, b long, cosine double")
 
 

@@ -174,21 +174,25 @@ def test_equal_hashes_don_t_make_vectors_equal(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("dim", [32, 64, 128])
-def test_recall_close_to_the_threshold(spark, dim):
-    """Links of cosine 0.93 to 0.95 alone, among background vectors of one label."""
+@pytest.mark.parametrize("dim, topics", [(12, 0), (32, 0), (64, 12), (128, 0)])
+def test_recall_close_to_the_threshold(spark, dim, topics):
+    """Links of cosine 0.93 to 0.95 alone, among unlinked vectors of one label, also in topics
+    whose vectors have a cosine of about 0.8 with each other."""
     rng = np.random.default_rng(dim)
-    base = rng.normal(size=(600, dim))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = unit(rng.normal(size=(max(topics, 1), dim)))
+    drawn = lambda n: centres[rng.integers(0, topics, n)] + 0.5 * unit(rng.normal(size=(n, dim))) if topics else rng.normal(size=(n, dim))
+    base = drawn(600)
     base /= np.linalg.norm(base, axis=1, keepdims=True)
     side = rng.normal(size=base.shape)
     side -= (side * base).sum(1, keepdims=True) * base
     side /= np.linalg.norm(side, axis=1, keepdims=True)
     cosine = rng.uniform(0.931, 0.95, size=(600, 1))
-    vectors = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * side, rng.normal(size=(3000, dim))])
+    vectors = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * side, drawn(3000)])
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int").repartition(4)
     got = embedding_dedup.near_duplicates(df).collect()
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    real = ((unit @ unit.T >= 0.93).sum() - len(unit)) // 2
+    v = unit(vectors)
+    real = ((v @ v.T >= 0.93).sum() - len(v)) // 2
     found = sum(r["n_links"] for r in got) / 2
     print(dim, found, real)
     assert real >= 600 and found <= real and found >= 0.9 * real
