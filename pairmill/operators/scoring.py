@@ -45,13 +45,10 @@ def assemble(template: DataFrame, tasks: list[DataFrame], key: str) -> DataFrame
     return full.select(key, *[c.alias(n) for c, n in zip(hot, LABELS)])
 
 
-# The marker that a checkpoint of a task carries, and those of other tasks.
-TASK_MARKERS = {"ixi": "astroclimb_ixi_two_image_v1", "cxc": "astroclimb_cxc_text_pair_v1"}
-
-
-def check_binding(task: str, checkpoint: str, expected: dict[str, str], labels: list[str], marker: str | None) -> None:
+def check_binding(task: str, checkpoint: str, expected: dict[str, str], labels: list[str], marker: str | None, markers: dict[str, str]) -> None:
     """ValueError unless `checkpoint` is the one expected for the task, with this package's
-    order of labels and the task's own marker (none of another task where it has none)."""
+    order of labels and the task's own marker (none of another task where it has none). `markers`
+    has the markers that checkpoints of the tasks carry."""
     from pairmill.functions.text import LABELS
 
     if task not in expected:
@@ -60,5 +57,5 @@ def check_binding(task: str, checkpoint: str, expected: dict[str, str], labels:
         raise ValueError(f"checkpoint {checkpoint!r} is not that of task {task!r}")
     if tuple(labels) != LABELS:
         raise ValueError("checkpoint with another order of labels")
-    if (marker != TASK_MARKERS[task]) if task in TASK_MARKERS else (marker in TASK_MARKERS.values()):
+    if (marker != markers[task]) if task in markers else (marker in markers.values()):
         raise ValueError(f"checkpoint with the marker of another task than {task!r}")

@@ -8,6 +8,8 @@ from pairmill.functions import text
 from pairmill.operators import joins, metrics, runs, scoring
 from pairmill.plans.fixtures import Views
 from pairmill.plans.registry import query
+from pairmill.session import scratch
+from pairmill.streaming import incremental
 
 _LABELS = ", ".join(f"(p = {i})::INT AS {n}" for i, n in enumerate(text.LABELS))
 _F1 = "f1 AS (SELECT l AS label, count(*) FILTER (y = l) AS support, count(*) FILTER (p = l) AS predicted, count(*) FILTER (y = l AND p = l) AS hits FROM pred_a, range(4) t(l) GROUP BY l)"
@@ -143,6 +145,19 @@ def running_best(v: Views):
     return runs.running_best(v.runlog(), "user_id").select("user_id", "ordinal", "step", "macro")
 
 
+@query("SELECT user_id, ordinal, step, macro FROM (SELECT *, max(macro) OVER (PARTITION BY user_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM runlog WHERE event = 'validation') WHERE before IS NULL OR macro > before", "runlog")
+def running_best_stream(v: Views):
+    """The same from a stream of the log in several files, its events in another order."""
+    log = v.runlog().select("user_id", "ordinal", "event", "step", "macro")
+    base = scratch(v.spark, "live-log")
+    log.repartition(3, F.xxhash64("user_id", "ordinal")).sortWithinPartitions(F.desc("ordinal")).write.parquet(f"{base}/in")
+    events = v.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    best = incremental.live_running_best(events, "user_id")
+    sink = best.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.parquet(f"{base}/out")
+
+
 @query("SELECT user_id, event, max(ordinal) AS ordinal, arg_max(step, ordinal) AS step FROM runlog GROUP BY user_id, event", "runlog")
 def last_event(v: Views):
     return runs.last_events(v.runlog(), "user_id")

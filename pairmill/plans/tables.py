@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from pairmill.functions import hashing, imaging, probability, text
-from pairmill.operators import expect, joins, ranking, splits
+from pairmill.operators import expect, export, joins, ranking, splits
 from pairmill.plans.fixtures import Views
 from pairmill.plans.registry import query
-from pairmill.session import scratch
+from pairmill.session import cut, scratch
 from pairmill.sources import blobs, readers
 from pairmill.streaming import incremental
 
@@ -57,16 +57,74 @@ def shard_completeness(v: Views):
     return readers.shard_completeness(v.spark, readers.list_names(v.spark, v.dir), 3)
 
 
-@query("SELECT doc_id, md5(text) AS bytes_md5 FROM documents")
-def incremental_index(v: Views):
-    """Two calls over a growing folder: each file is indexed once."""
+def _indexed(v: Views) -> str:
+    """Two calls over a growing folder of four shards; the last batch is run a second time."""
     base = scratch(v.spark, "index")
-    d = v.table("documents").select("doc_id", "text")
-    index = lambda s: s.select("doc_id", hashing.object_key(F.col("text")).alias("bytes_md5"))
-    for half in (F.col("doc_id") % 2 == 0, F.col("doc_id") % 2 == 1):
-        d.filter(half).write.mode("append").parquet(f"{base}/in")
-        incremental.index_new(v.spark, f"{base}/in", d.schema, f"{base}/out", f"{base}/state", index)
-    return v.spark.read.parquet(f"{base}/out")
+    d = v.table("documents").select("doc_id", "text", (F.col("doc_id") % 4).alias("shard"))
+    index = lambda s: s.select("__file", "doc_id", hashing.object_key(F.when(F.col("doc_id") % 7 > 0, F.col("text"))).alias("bytes_md5"))
+    failed = F.col("bytes_md5").isNull()
+    for half in ((0, 2), (1, 3)):
+        new = d.filter(F.col("shard").isin(*half))
+        new.repartition("shard").write.mode("append").partitionBy("shard").parquet(f"{base}/in")
+        incremental.index_new(v.spark, f"{base}/in", d.drop("shard").schema, f"{base}/out", f"{base}/state", index, failed)
+    again = v.spark.read.schema(d.drop("shard").schema).option("recursiveFileLookup", "true").parquet(*[f"{base}/in/shard={i}" for i in half])
+    incremental.index_batch(again.withColumn("__file", F.col("_metadata.file_path")), 1, f"{base}/out", index, failed)
+    return f"{base}/out"
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN md5(text) END AS bytes_md5 FROM documents")
+def incremental_index(v: Views):
+    """Each file is indexed once, though its batch is given twice."""
+    return incremental.indexed(v.spark, _indexed(v))
+
+
+@query("SELECT doc_id % 4 AS shard, count(*) AS rows, count(*) FILTER (doc_id % 7 = 0) AS errors, 0::BIGINT AS wrong FROM documents GROUP BY 1")
+def index_receipts(v: Views):
+    """A receipt for each file, added up per shard, and the files that don't agree with theirs."""
+    at = _indexed(v)
+    shard = F.regexp_extract("file", "shard=([0-9]+)", 1).cast("long").alias("shard")
+    wrong = incremental.verify_receipts(v.spark, at).groupBy(shard).agg(F.count("*").alias("wrong"))
+    sums = incremental.receipts(v.spark, at).groupBy(shard).agg(F.sum("rows").alias("rows"), F.sum("errors").alias("errors"))
+    return sums.join(wrong, "shard", "left").withColumn("wrong", F.coalesce("wrong", F.lit(0)).cast("long"))
+
+
+#: Rows of a part of the export.
+PART_ROWS = 250
+_EXPORT = f"r AS (SELECT doc_id, md5(text) AS key, row_number() OVER (ORDER BY sha256('export' || chr(0) || doc_id), doc_id) - 1 AS rank FROM documents), p AS (SELECT *, rank // {PART_ROWS} AS k FROM r), s AS (SELECT k, count(*) AS rows, arg_min(doc_id, rank)::VARCHAR AS first_id, arg_max(doc_id, rank)::VARCHAR AS last_id, sha256(string_agg(sha256(doc_id || ':' || key), chr(10) ORDER BY rank)) AS sha256 FROM p GROUP BY k)"
+
+
+def _exported(v: Views):
+    """An export; then one part is damaged, one cut off and one loses its receipt; and a rerun."""
+    d = v.table("documents").select("doc_id", "text", hashing.seeded("export", F.col("doc_id")).alias("h"))
+    rows = ranking.global_rank(d, "h", "doc_id").select("doc_id", "text", (F.col("rank") - 1).alias("rank"))
+    path = scratch(v.spark, "export")
+    make = lambda r: r.select("part", "rank", "doc_id", hashing.object_key(F.col("text")).alias("key"))
+    run = lambda: export.export(rows, "doc_id", make, F.concat_ws(":", "doc_id", "key"), path, PART_ROWS, {"table": "documents"})
+    run()
+    first, second, third = (f"part={i * PART_ROWS:012d}-{(i + 1) * PART_ROWS:012d}" for i in range(3))
+    stored = v.spark.read.parquet(f"{path}/parts/{first}")
+    cut(stored.withColumn("key", F.lit("damaged"))).write.mode("overwrite").parquet(f"{path}/parts/{first}")
+    v.spark.createDataFrame([("no parquet file",)], "value string").write.mode("overwrite").text(f"{path}/parts/{second}")
+    cut(v.spark.read.parquet(f"{path}/receipts/{third}").limit(0)).write.mode("overwrite").parquet(f"{path}/receipts/{third}")
+    return run(), path, make(rows.withColumn("part", F.lit("")))
+
+
+@query(f"{_EXPORT} SELECT printf('%012d-%012d', k * {PART_ROWS}, (k + 1) * {PART_ROWS}) AS part, rows, first_id, last_id, sha256, CASE WHEN k < 3 THEN 'written' ELSE 'reused' END AS state FROM s")
+def resumable_export(v: Views):
+    """The receipts of a rerun after damage: damaged parts are made again, the others are kept."""
+    return _exported(v)[0].drop("ids_sha256")
+
+
+@query(f"{_EXPORT} SELECT doc_id, rank, key FROM r")
+def export_merged(v: Views):
+    _, path, like = _exported(v)
+    return export.merge(v.spark, path, like).select("doc_id", "rank", "key")
+
+
+@query(f"{_EXPORT} SELECT '{{\"size\": {PART_ROWS}, \"table\": \"documents\"}}' AS provenance, sum(rows)::BIGINT AS rows, sha256(string_agg(sha256, chr(10) ORDER BY k)) AS sha256 FROM s")
+def export_provenance(v: Views):
+    _, path, _ = _exported(v)
+    return export.provenance_row(v.spark, path)
 
 
 @query("SELECT (rank - 1) // 100 AS chunk, min(rank) AS first, max(rank) AS last, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY sha256('chunks' || chr(0) || doc_id), doc_id) AS rank FROM documents) GROUP BY 1")
@@ -117,16 +175,19 @@ def manifest_digest(v: Views):
 
 @query(None)
 def file_digest(v: Views):
-    return blobs.file_digests(v.spark, f"{v.dir}/region.parquet").unionByName(blobs.file_digests(v.spark, f"{v.dir}/nation.parquet"))
+    """The files of a large table and of two small ones, streamed in blocks."""
+    return blobs.file_digests(v.spark, *(f"{v.dir}/{t}.parquet" for t in ("documents", "region", "nation")))
 
 
 @query(None)
 def manifest_verify(v: Views):
-    """Digests of two files against a manifest with one wrong digest and one unknown file."""
+    """All files against a manifest with a wrong digest, an unknown file and one outside the
+    folder, which lacks a required name and any name of a wanted kind."""
     found = file_digest(v)
     wrong = found.withColumn("sha256", F.when(F.col("name") == "nation.parquet", F.lit("0" * 64)).otherwise(F.col("sha256")))
-    absent = found.limit(1).select(F.lit("absent.parquet").alias("name"), "bytes", "sha256")
-    return blobs.verify_manifest(wrong.unionByName(absent), found)
+    region = found.filter("name = 'region.parquet'")
+    absent = region.withColumn("name", F.explode(F.array(F.lit("absent.parquet"), F.lit("../outside.parquet"))))
+    return blobs.verify_manifest(wrong.unionByName(absent), found, ("config.json",), "processor_")
 
 
 #: Pixels of a page's image, row by row: hex digits of its md5, as grey levels.

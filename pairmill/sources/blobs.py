@@ -7,9 +7,13 @@ so equal content is stored once; gets verify the bytes against their name.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,18 +44,76 @@ def audit(used: DataFrame, stored: DataFrame) -> DataFrame:
     return full.select("md5", state.alias("state")).filter("state is not null")
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256) of files of up to 2 GB."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+#: Bytes of a file that a task holds at once.
+READ_BLOCK = 1 << 20
 
 
-def verify_manifest(manifest: DataFrame, found: DataFrame) -> DataFrame:
-    """(name, state) of files that differ from a manifest (name, bytes, sha256): size first."""
+def _opened(path: str):
+    """A stream of a file in a store that pyarrow's filesystems open; Spark gives paths with and
+    without escapes."""
+    if path.startswith(("file:", "/")):
+        at = re.sub("^file:/+", "/", path)
+        return LocalFileSystem().open_input_stream(at if os.path.exists(at) else unquote(at))
+    fs, at = FileSystem.from_uri(quote(path, safe=":/%@?=&"))
+    return fs.open_input_stream(at)
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        digests, sizes = [], []
+        for path in b.column(0).to_pylist():
+            state, size = hashlib.sha256(), 0
+            with _opened(path) as f:
+                while block := f.read(READ_BLOCK):
+                    state.update(block)
+                    size += len(block)
+            digests.append(state.hexdigest())
+            sizes.append(size)
+        yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], names=["path", "bytes", "sha256"])
+
+
+def digest_paths(paths: DataFrame, column: str) -> DataFrame:
+    """(column, bytes, sha256) of files: tasks stream them in blocks and hold the digest's state
+    only, so a file may be larger than a task's memory. One task reads a file, in order; the files
+    are dealt over tasks. In a store that pyarrow doesn't open, Spark reads whole files (up to 2 GB)."""
+    spark = paths.sparkSession
+    named = paths.select(F.col(column).alias("path"))
+    first = named.first()
+    if first is not None:
+        try:
+            FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", first["path"]), safe=":/%@?=&"))
+        except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+            files = spark.read.format("binaryFile").load([r["path"] for r in named.collect()])
+            return files.select(F.col("path").alias(column), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return named.repartition(F.xxhash64("path")).mapInArrow(_streamed, "path string, bytes long, sha256 string").withColumnRenamed("path", column)
+
+
+def file_digests(spark: SparkSession, *paths: str) -> DataFrame:
+    """(name, bytes, sha256) of files of any size; a folder stands for the files in it."""
+    conf, names = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for path in paths:  # names only, as Spark lists them too, but with empty files
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        found = at.getFileSystem(conf).listFiles(at, True)
+        while found.hasNext():
+            names.append((found.next().getPath().toString(),))
+    hidden = F.element_at(F.split("path", "/"), -1).rlike("^[._]")
+    return digest_paths(spark.createDataFrame(names, "path string").filter(~hidden), "path").select(F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", "sha256")
+
+
+def verify_manifest(manifest: DataFrame, found: DataFrame, required: tuple[str, ...] = (), needs_prefix: str = "") -> DataFrame:
+    """(name, state) of files that differ from a manifest (name, bytes, sha256): size first.
+    `required` names that the manifest lacks are `unlisted`, a manifest without any name that
+    begins with `needs_prefix` too (named by the prefix and `*`), and names that leave the
+    folder are `unsafe`."""
+    spark = manifest.sparkSession
+    wanted = spark.createDataFrame([(n,) for n in required], "name string").join(manifest.select("name"), "name", "left_anti")
+    if needs_prefix and manifest.filter(F.col("name").startswith(needs_prefix)).isEmpty():
+        wanted = wanted.unionByName(spark.createDataFrame([(f"{needs_prefix}*",)], "name string"))
+    unsafe = F.col("name").startswith("/") | F.array_contains(F.split("name", "/"), "..")
     have = found.select("name", F.col("bytes").alias("b"), F.col("sha256").alias("s"))
     full = manifest.join(have, "name", "left")
-    state = F.when(F.col("b").isNull(), "missing").when(F.col("b") != F.col("bytes"), "size").when(F.col("s") != F.col("sha256"), "digest")
-    return full.select("name", state.alias("state")).filter("state is not null")
+    state = F.when(unsafe, "unsafe").when(F.col("b").isNull(), "missing").when(F.col("b") != F.col("bytes"), "size").when(F.col("s") != F.col("sha256"), "digest")
+    return full.select("name", state.alias("state")).filter("state is not null").unionByName(wanted.select("name", F.lit("unlisted").alias("state")))
 
 
 #: Characters of lines that one row holds on their way to the digest.

@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairmill.sources import csv_split
+
 # Columns of a labelled pair file, and of a run log.
 PAIR_SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("obj_1", T.StringType()), T.StructField("obj_2", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("same_figure", "same_paper", "related_papers", "unrelated_papers")]])
 EVENT_SCHEMA = "event string, step long, macro double, best double, train_rows long, val_rows long, total_steps long, reload_verified boolean, config struct<seed:long,val_every:long,init_checkpoint:string>, _bad string"
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with cells of any size; the header must name the columns in order."""
-    return spark.read.csv(path, schema=PAIR_SCHEMA, header=True, enforceSchema=False, multiLine=True, maxCharsPerColumn=-1, quote='"', escape='"', mode="FAILFAST")
+    """CSV with cells of any size, one file read by many tasks; the header must name the columns
+    in order."""
+    return csv_split.read_csv(spark, path, PAIR_SCHEMA)
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -51,9 +54,11 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at))
 
 
-def shard_completeness(spark: SparkSession, names: list[str], count: int, pattern: str = "part-%05d.parquet") -> DataFrame:
-    """(name, state) for names that are missing or not expected in a set of `count` shards."""
-    want = spark.range(count).select(F.format_string(pattern, "id").alias("name"))
+def shard_completeness(spark: SparkSession, names: list[str], count: int, pattern: str = "train-%05d-of-%05d.parquet") -> DataFrame:
+    """(name, state) for names that are missing or not expected in a set of `count` shards; the
+    pattern takes a shard's number and, where it asks for it, the count."""
+    given = ["id"] + [F.lit(count)] * (pattern.count("%") - 1)
+    want = spark.range(count).select(F.format_string(pattern, *given).alias("name"))
     have = spark.createDataFrame([(n,) for n in names], "name string")
     missing = want.join(have, "name", "left_anti").withColumn("state", F.lit("missing"))
     return missing.unionByName(have.join(want, "name", "left_anti").withColumn("state", F.lit("unexpected")))

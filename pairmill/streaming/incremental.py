@@ -1,22 +1,109 @@
-"""Incremental work as streams: index what is new, and follow a run's best score."""
+"""Incremental work as streams: index what is new with a receipt for each file, and follow runs."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pairmill.sources import blobs
 
-def index_new(spark: SparkSession, source: str, schema, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame]) -> None:
-    """Append `transform` of the Parquet files that are new since the last call; the
-    checkpoint remembers which, and the file sink commits each batch once."""
-    stream = spark.readStream.schema(schema).parquet(source)
-    query = transform(stream).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def set_digest(*columns: str) -> Column:
+    """A digest of a set of rows that adds up over partitions: their number, the sum and the
+    exclusive or of their 64-bit hashes."""
+    h = F.xxhash64(*columns)
+    return F.concat_ws("-", F.count("*").cast("string"), F.sum(h.cast("decimal(28,0)")).cast("string"), F.hex(F.bit_xor(h)))
+
+
+def index_new(spark: SparkSession, source: str, schema, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], failed: Column | None = None) -> None:
+    """Adds `transform` of the Parquet files that are new since the last call to
+    `target`/rows, and a receipt for each file to `target`/receipts: (file, rows, errors,
+    source_sha256, index_digest); `failed` says which transformed rows are errors.
+
+    The checkpoint remembers which files a batch has. A batch writes the folder named by its
+    number and nothing else, so a batch that is run again, after a failure between the write and
+    the commit, replaces what it wrote: no row twice. Receipts are written last."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        index_batch(batch, number, target, transform, failed)
+
+    named = spark.readStream.schema(schema).parquet(source).withColumn("__file", F.col("_metadata.file_path"))
+    query = named.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def index_batch(batch: DataFrame, number: int, target: str, transform: Callable[[DataFrame], DataFrame], failed: Column | None = None) -> None:
+    """One batch of `index_new`; a second run of the same number changes nothing."""
+    spark = batch.sparkSession
+    made = transform(batch)  # keeps __file
+    made.write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
+    back = spark.read.parquet(f"{target}/rows/batch={number}")
+    own = [c for c in back.columns if c != "__file"]
+    bad = F.lit(False) if failed is None else failed
+    counts = back.groupBy("__file").agg(F.count("*").alias("rows"), F.count_if(bad).alias("errors"), set_digest(*sorted(own)).alias("index_digest"))
+    digests = blobs.digest_paths(batch.select("__file").distinct(), "__file").select("__file", F.col("sha256").alias("source_sha256"))
+    counts.join(digests, "__file").withColumnRenamed("__file", "file").write.mode("overwrite").parquet(f"{target}/receipts/batch={number}")
+
+
+def indexed(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.parquet(f"{target}/rows").drop("batch", "__file")
+
+
+def receipts(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.parquet(f"{target}/receipts").drop("batch")
+
+
+def verify_receipts(spark: SparkSession, target: str) -> DataFrame:
+    """(file, state): receipts whose rows aren't there as they say (`rows`, `digest`), and indexed
+    files without a receipt (`receipt`)."""
+    back = spark.read.parquet(f"{target}/rows").drop("batch")
+    own = [c for c in back.columns if c != "__file"]
+    have = back.groupBy(F.col("__file").alias("file")).agg(F.count("*").alias("n"), set_digest(*sorted(own)).alias("d"))
+    both = receipts(spark, target).join(have, "file", "full_outer")
+    state = F.when(F.col("rows").isNull(), "receipt").when(~F.col("n").eqNullSafe(F.col("rows")), "rows").when(F.col("d") != F.col("index_digest"), "digest")
+    return both.select("file", state.alias("state")).filter("state is not null")
+
+
 def live_best(events: DataFrame) -> DataFrame:
     """Best validation per run of a stream (or table) of events, for complete or update mode."""
     v = events.filter("event = 'validation'")
     return v.groupBy("arm", "seed").agg(F.max(F.struct("macro", (-F.col("step")).alias("s"))).alias("m")).select("arm", "seed", F.col("m.macro").alias("best_macro"), (-F.col("m.s")).alias("best_step"))
+
+
+_OUT = "{key} long, ordinal long, step long, macro double"
+_STATE = "next long, best double, ordinals array<long>, validations array<boolean>, steps array<long>, macros array<double>"
+
+
+def live_running_best(events: DataFrame, key: str) -> DataFrame:
+    """Each validation of a run that beats all before it, strictly, from a stream of (key,
+    ordinal, event, step, macro) whose rows come in any order: an event is looked at when all
+    before it were. A run's state is the next ordinal, the best so far and the events that came too
+    early; an ordinal seen before (a file given twice) is dropped. Nulls are no scores."""
+
+    def follow(ids: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, best, early = 1, None, {}
+        if state.exists:
+            at, best, *held = state.get
+            early = {o: x for o, *x in zip(*held)}
+        for f in frames:
+            for o, event, step, macro in zip(f["ordinal"], f["event"], f["step"], f["macro"]):
+                if int(o) >= at:
+                    early[int(o)] = [event == "validation", None if pd.isna(step) else int(step), None if pd.isna(macro) else float(macro)]
+        out = []
+        while at in early:
+            is_score, step, macro = early.pop(at)
+            if is_score and macro is not None and (best is None or macro > best):
+                out.append((ids[0], at, step, macro))
+                best = macro
+            at += 1
+        held = sorted(early)
+        state.update((at, best, held, *[[early[o][i] for o in held] for i in range(3)]))
+        if out:
+            yield pd.DataFrame(out, columns=[key, "ordinal", "step", "macro"]).astype({"step": "Int64"})
+
+    rows = events.select(key, "ordinal", "event", "step", "macro")
+    return rows.groupBy(key).applyInPandasWithState(follow, _OUT.format(key=key), _STATE, "append", GroupStateTimeout.NoTimeout)

@@ -232,11 +232,12 @@ def test_manifest_reader_and_sinks(spark, tmp_path):
 
 def test_task_binding():
     want = {"cxi": "c1", "ixi": "i1"}
-    scoring.check_binding("ixi", "i1", want, list(text.LABELS), scoring.TASK_MARKERS["ixi"])
-    scoring.check_binding("cxi", "c1", want, list(text.LABELS), None)
-    for args in (("cxc", "c1", want, list(text.LABELS), None), ("cxi", "i1", want, list(text.LABELS), None), ("cxi", "c1", want, list(text.LABELS[::-1]), None), ("cxi", "c1", want, list(text.LABELS), scoring.TASK_MARKERS["ixi"]), ("ixi", "i1", want, list(text.LABELS), None)):
+    marks = {"ixi": "two images", "cxc": "two captions"}
+    scoring.check_binding("ixi", "i1", want, list(text.LABELS), marks["ixi"], marks)
+    scoring.check_binding("cxi", "c1", want, list(text.LABELS), None, marks)
+    for args in (("cxc", "c1", want, list(text.LABELS), None), ("cxi", "i1", want, list(text.LABELS), None), ("cxi", "c1", want, list(text.LABELS[::-1]), None), ("cxi", "c1", want, list(text.LABELS), marks["ixi"]), ("ixi", "i1", want, list(text.LABELS), None)):
         with pytest.raises(ValueError):
-            scoring.check_binding(*args)
+            scoring.check_binding(*args, marks)
 
 
 def test_reconcile_names_each_rule(spark, sf_dir):
@@ -452,8 +453,8 @@ def test_manifest_and_shards(spark, tmp_path):
     assert {(r["name"], r["state"]) for r in blobs.verify_manifest(manifest, found).collect()} == {("b", "size"), ("z", "missing")}
     names = readers.list_names(spark, str(tmp_path))
     assert names == ["a", "b"]
-    states = readers.shard_completeness(spark, ["part-00000.parquet", "odd"], 2).collect()
-    assert {(r["name"], r["state"]) for r in states} == {("part-00001.parquet", "missing"), ("odd", "unexpected")}
+    states = readers.shard_completeness(spark, ["train-00000-of-00002.parquet", "odd"], 2).collect()
+    assert {(r["name"], r["state"]) for r in states} == {("train-00001-of-00002.parquet", "missing"), ("odd", "unexpected")}
 
 
 def test_ordered_digest_depends_on_order_only(spark):
@@ -470,7 +471,7 @@ def test_incremental_index_takes_each_file_once(spark, tmp_path):
         df.filter(F.col("id") % 3 == k).write.mode("append").parquet(f"{base}/in")
         incremental.index_new(spark, f"{base}/in", df.schema, f"{base}/out", f"{base}/state", lambda s: s)
     incremental.index_new(spark, f"{base}/in", df.schema, f"{base}/out", f"{base}/state", lambda s: s)
-    assert sorted(r["id"] for r in spark.read.parquet(f"{base}/out").collect()) == list(range(10))
+    assert sorted(r["id"] for r in incremental.indexed(spark, f"{base}/out").collect()) == list(range(10))
 
 
 def test_live_best_on_a_stream(spark, tmp_path):
