@@ -1,7 +1,7 @@
 """The engine's logical inputs as views over the driver tables, in Spark and in SQL.
 
-Held objects are the documents whose id is a multiple of 17; they stand for a separate
-table of exposed content. All other views use all rows of their tables.
+Held objects are the texts of the labelled documents (`labels`); all views use all rows of
+their tables.
 """
 
 from __future__ import annotations
@@ -42,10 +42,13 @@ class Views:
         return d.withColumns({"bytes_md5": md5(F.col("cap_text")), "px_md5": md5(F.col("cap_norm")), "dhash": dhash})
 
     def figures(self) -> DataFrame:
-        return self.all_figures().filter("uuid % 17 <> 0")
+        return self.all_figures()
+
+    def held_figures(self) -> DataFrame:
+        return self.all_figures().join(self.table("labels").select(F.col("doc_id").alias("uuid")), "uuid", "left_semi")
 
     def held(self) -> DataFrame:
-        return self.all_figures().filter("uuid % 17 = 0").select(F.col("bytes_md5").alias("obj_key"), "cap_norm", "bytes_md5", "px_md5", "dhash").distinct()
+        return self.held_figures().select(F.col("bytes_md5").alias("obj_key"), "cap_norm", "bytes_md5", "px_md5", "dhash").distinct()
 
     def papers(self) -> DataFrame:
         return self.table("documents").selectExpr("doc_id div 4 as g").distinct().select("g", self.doi(F.col("g")).alias("doi"))
@@ -132,8 +135,8 @@ def _softmax(first: int, masked: bool = True) -> str:
 #: The same views in SQL; a view may use those before it.
 SQL_VIEWS = {
     "all_figures": f"SELECT *, md5(left(cap_norm, 40)) || left(md5('x' || left(cap_norm, 40)), 31) || (length(cap_norm) % 8) AS dhash FROM (SELECT doc_id AS uuid, {_DOI.format(g='doc_id // 4')} AS doi, text AS cap_text, {_NORM} AS cap_norm, md5(text) AS bytes_md5, md5({_NORM}) AS px_md5 FROM documents)",
-    "figures": "SELECT * FROM all_figures WHERE uuid % 17 <> 0",
-    "held": "SELECT DISTINCT bytes_md5 AS obj_key, cap_norm, bytes_md5, px_md5, dhash FROM all_figures WHERE uuid % 17 = 0",
+    "figures": "SELECT * FROM all_figures",
+    "held": "SELECT DISTINCT bytes_md5 AS obj_key, cap_norm, bytes_md5, px_md5, dhash FROM all_figures WHERE uuid IN (SELECT doc_id FROM labels)",
     "papers": f"SELECT g, {_DOI.format(g='g')} AS doi FROM (SELECT DISTINCT doc_id // 4 AS g FROM documents)",
     "edges": "SELECT DISTINCT least(a.doi, b.doi) AS src, greatest(a.doi, b.doi) AS dst FROM papers a, (SELECT max(g) + 1 AS n FROM papers) m, papers b WHERE (b.g = (7 * a.g + 3) % n OR b.g = (13 * a.g + 5) % n) AND a.g <> b.g",
     "objects": "SELECT md5(raw) AS obj_key, min(modality) AS modality, min(raw) AS raw FROM (SELECT text AS raw, 'caption' AS modality FROM documents UNION ALL SELECT html, 'image' FROM pages) GROUP BY 1",

@@ -155,7 +155,7 @@ def blob_verify(v: Views):
 def blob_audit(v: Views):
     """All documents' blobs against a store that has the held ones, some with other bytes."""
     used = v.table("documents").select(hashing.object_key(F.col("text")).alias("md5"))
-    stored = v.all_figures().filter("uuid % 17 = 0").select(F.col("bytes_md5").alias("md5"), F.when(F.col("bytes_md5") < "8", F.lit("other")).otherwise(F.col("cap_text")).cast("binary").alias("bytes")).dropDuplicates(["md5"])
+    stored = v.held_figures().select(F.col("bytes_md5").alias("md5"), F.when(F.col("bytes_md5") < "8", F.lit("other")).otherwise(F.col("cap_text")).cast("binary").alias("bytes")).dropDuplicates(["md5"])
     return blobs.audit(used, stored)
 
 
@@ -195,7 +195,8 @@ _PIXELS = "px AS (SELECT page_id, left(repeat(md5(html), 9), 272) AS s FROM page
 
 
 def page_images(v: Views):
-    """A grey PNG of 17 x 16 pixels for each page; every fifth is cut off in the middle."""
+    """Fingerprints by page of image files: a grey PNG of 17 x 16 pixels for each page, of which
+    every fifth is cut off in the middle, written to the shared folder and read from there."""
 
     @F.pandas_udf("binary")
     def drawn(pixels: pd.Series) -> pd.Series:
@@ -203,13 +204,16 @@ def page_images(v: Views):
 
     p = v.table("pages").select("page_id", F.substring(F.repeat(hashing.object_key(F.col("html")), 9), 1, 272).alias("s"))
     png = p.select("page_id", drawn("s").alias("png"))
-    return png.select("page_id", F.when(F.col("page_id") % 5 == 4, F.expr("substring(png, 1, 50)")).otherwise(F.col("png")).alias("bytes"))
+    files = png.select(F.format_string("%d.img", "page_id").alias("name"), F.when(F.col("page_id") % 5 == 4, F.expr("substring(png, 1, 50)")).otherwise(F.col("png")).alias("bytes"))
+    folder = scratch(v.spark, "images")
+    blobs.put_files(files, folder)
+    return imaging.fingerprints(imaging.read_images(v.spark, folder)).withColumn("page_id", F.regexp_extract("name", "^[0-9]+", 0).cast("long"))
 
 
 @query(f"{_PIXELS} SELECT page_id, CASE WHEN page_id % 5 < 4 THEN md5('(16, 17, 3)' || array_to_string([c || c || c FOR c IN string_split(s, '')], '')) END AS px_md5 FROM px")
 def px_md5(v: Views):
-    """Digests of decoded pixels; undecodable bytes have null keys."""
-    return imaging.fingerprints(page_images(v)).select("page_id", "px_md5")
+    """Digests of decoded pixels; undecodable files have null keys."""
+    return page_images(v).select("page_id", "px_md5")
 
 
 @query(
@@ -217,7 +221,7 @@ def px_md5(v: Views):
 )
 def dhash(v: Views):
     """Gradient hashes of images of just the hash's size."""
-    return imaging.fingerprints(page_images(v)).select("page_id", "dhash")
+    return page_images(v).select("page_id", "dhash")
 
 
 @query("SELECT pair_id AS id, (p = 0)::INT AS same_figure, (p = 1)::INT AS same_paper, (p = 2)::INT AS related_papers, (p = 3)::INT AS unrelated_papers FROM pred_a", "pred_a")
@@ -230,11 +234,11 @@ def submission_csv(v: Views):
     return v.spark.read.csv(path, schema="id long, " + ", ".join(f"{n} int" for n in text.LABELS), header=True)
 
 
-@query("SELECT DISTINCT doi FROM figures WHERE uuid % 3 = 0", "figures")
+@query("SELECT DISTINCT doi FROM figures", "figures")
 def text_list(v: Views):
     """A column's distinct values as sorted lines of text, read back."""
     path = scratch(v.spark, "lines")
-    readers.write_lines(v.figures().filter("uuid % 3 = 0"), "doi", path)
+    readers.write_lines(v.figures(), "doi", path)
     return v.spark.read.text(path).withColumnRenamed("value", "doi")
 
 

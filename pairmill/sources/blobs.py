@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import uuid
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
@@ -37,6 +38,25 @@ def get(spark: SparkSession, path: str, names: DataFrame) -> DataFrame:
     return spark.read.parquet(path).join(names.select("md5").distinct(), "md5", "left_semi").filter(F.md5("bytes") == F.col("md5"))
 
 
+def put_files(files: DataFrame, folder: str) -> int:
+    """Writes (name, bytes) as files into a folder of the shared store and gives their number.
+    Each is written under another name and then moved, so a file is whole or absent, and a task
+    that runs again writes the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = _store(folder)
+        fs.create_dir(at, recursive=True)
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                part = f"{at}/.{name}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as f:
+                    f.write(data or b"")
+                fs.move(part, f"{at}/{name}")
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return files.select("name", "bytes").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def audit(used: DataFrame, stored: DataFrame) -> DataFrame:
     """(md5, state) for used blobs that are missing or don't fit their name."""
     full = used.select("md5").distinct().join(stored.select("md5", "bytes"), "md5", "left")
@@ -48,13 +68,16 @@ def audit(used: DataFrame, stored: DataFrame) -> DataFrame:
 READ_BLOCK = 1 << 20
 
 
-def _opened(path: str):
-    """A stream of a file in a store that pyarrow's filesystems open; Spark gives paths with and
-    without escapes."""
+def _store(path: str) -> tuple[FileSystem, str]:
+    """The store of a path and the path in it; Spark gives paths with and without escapes."""
     if path.startswith(("file:", "/")):
         at = re.sub("^file:/+", "/", path)
-        return LocalFileSystem().open_input_stream(at if os.path.exists(at) else unquote(at))
-    fs, at = FileSystem.from_uri(quote(path, safe=":/%@?=&"))
+        return LocalFileSystem(), at if os.path.exists(at) else unquote(at)
+    return FileSystem.from_uri(quote(path, safe=":/%@?=&"))
+
+
+def _opened(path: str):
+    fs, at = _store(path)
     return fs.open_input_stream(at)
 
 
@@ -81,7 +104,7 @@ def digest_paths(paths: DataFrame, column: str) -> DataFrame:
     first = named.first()
     if first is not None:
         try:
-            FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", first["path"]), safe=":/%@?=&"))
+            _store(first["path"])
         except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
             files = spark.read.format("binaryFile").load([r["path"] for r in named.collect()])
             return files.select(F.col("path").alias(column), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
