@@ -238,24 +238,36 @@ def generate(pool: Pool, figures: DataFrame, edges: DataFrame, quota: int, seed:
     modes = [Pool.RANDOM, Pool.JOURNAL if last == 3 and pool.count("journals") else Pool.TWO_HOP, Pool.TWO_HOP]
     steps = [(0, "same_figure", quota, "0"), (1, "same_paper", quota, "1"), (2, "citation_edge", quota, "2")]
     steps += [(3, mode, (quota - k + 2) // 3, f"3{k}") for k, mode in enumerate(modes)]
+    steps = [s for s in steps if s[0] <= last]
+
+    def fitting(which: list[int], per: int) -> DataFrame:
+        """(step, t, uuid_a, uuid_b, ident) of the fitting attempts of some steps: the attempts meet
+        the figures' contents in one join, so the figures are read once for all of them."""
+        drawn = None
+        for k in which:
+            y, mode, want, salt = steps[k]
+            x = pool.candidates(y, f"{seed} {salt}", per * want, mode).select(F.lit(k).alias("step"), F.lit(y).alias("y"), "t", "uuid_a", "doi_a", "uuid_b", "doi_b")
+            drawn = x if drawn is None else drawn.unionByName(x)
+        drawn = cut(drawn)
+        apart = without_direct(drawn.filter("y = 3"), edges).unionByName(drawn.filter("y < 3"))
+        ids = drawn.select(F.explode(F.array("uuid_a", "uuid_b")).alias("uuid")).distinct()
+        met = cut(figures.join(ids, "uuid", "left_semi"))
+        unlike = reject_near(apart.filter("y > 0"), met).unionByName(apart.filter("y = 0"))
+        named = with_identity(unlike, met)
+        return cut(named.groupBy("step", "ident").agg(F.min(F.struct("t", "uuid_a", "uuid_b")).alias("m")).select("step", "ident", "m.*"))
+
+    found = fitting(list(range(len(steps))), ATTEMPTS)
     taken: DataFrame | None = None
-    for y, mode, want, salt in (s for s in steps if s[0] <= last):
-        attempts = ATTEMPTS * want
+    for k, (y, mode, want, _) in enumerate(steps):
+        own, per = found.filter(F.col("step") == k), ATTEMPTS
         while True:
-            found = pool.candidates(y, f"{seed} {salt}", attempts, mode)
-            if y == 3:
-                found = without_direct(found, edges)
-            if y:
-                found = reject_near(found, figures)
-            first = with_identity(found, figures).groupBy("ident").agg(F.min(F.struct("t", "uuid_a", "uuid_b")).alias("m")).select("ident", "m.*")
-            if taken is not None:
-                first = first.join(taken.select("ident"), "ident", "left_anti")
-            got = cut(first.orderBy("t").limit(want))
+            first = own if taken is None else own.join(taken.select("ident"), "ident", "left_anti")
+            got = cut(first.orderBy("t").limit(want).select(F.lit(y).alias("y"), F.lit(mode).alias("mode"), "t", "uuid_a", "uuid_b", "ident"))
             if (n := got.count()) == want:
                 break
-            if attempts >= MOST_ATTEMPTS * want:
+            if per >= MOST_ATTEMPTS:
                 raise ValueError(f"class {y}, {mode}: {n} of {want} pairs")
-            attempts = min(4 * attempts, MOST_ATTEMPTS * want)
-        got = got.select(F.lit(y).alias("y"), F.lit(mode).alias("mode"), "t", "uuid_a", "uuid_b", "ident")
-        taken = got if taken is None else cut(taken.unionByName(got))
+            per = min(4 * per, MOST_ATTEMPTS)
+            own = fitting([k], per)
+        taken = got if taken is None else taken.unionByName(got)
     return taken

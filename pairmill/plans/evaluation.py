@@ -124,11 +124,15 @@ def label_conflicts(v: Views):
     return per.groupBy("ident").agg(F.sum("c").alias("n"), F.count("*").alias("labels"), (F.sum("c") - F.max("c")).alias("minority")).filter("n > 1")
 
 
-@query(f"SELECT effective, count(*) AS identities, sum(n)::BIGINT AS rows FROM (SELECT md5(left(text, {text.CAPTION_LIMIT})) AS effective, md5(text) AS full, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY effective HAVING count(*) > 1")
+#: Characters that a caption is cut to, so short that captions of the tables merge.
+SHORT = 60
+
+
+@query(f"SELECT effective, count(*) AS identities, sum(n)::BIGINT AS rows FROM (SELECT md5(left(text, {SHORT})) AS effective, md5(text) AS full, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY effective HAVING count(*) > 1")
 def truncation_merger(v: Views):
     """Different full inputs that are equal after truncation."""
     md5 = lambda c: F.md5(c.cast("binary"))
-    full = v.table("documents").groupBy(md5(text.truncate_caption(F.col("text"))).alias("effective"), md5(F.col("text")).alias("full")).agg(F.count("*").alias("n"))
+    full = v.table("documents").groupBy(md5(text.truncate_caption(F.col("text"), SHORT)).alias("effective"), md5(F.col("text")).alias("full")).agg(F.count("*").alias("n"))
     return full.groupBy("effective").agg(F.count("*").alias("identities"), F.sum("n").alias("rows")).filter("identities > 1")
 
 

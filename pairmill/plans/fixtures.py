@@ -1,7 +1,8 @@
 """The engine's logical inputs as views over the driver tables, in Spark and in SQL.
 
-Held objects are the texts of the labelled documents (`labels`); all views use all rows of
-their tables.
+Held objects are the texts of the documents that `labels` calls toxic; all views use all rows of
+their tables. Partners of pairs stand within their twelve ids, so components of pairs, groups and
+papers stay small.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ class Views:
         return self.all_figures()
 
     def held_figures(self) -> DataFrame:
-        return self.all_figures().join(self.table("labels").select(F.col("doc_id").alias("uuid")), "uuid", "left_semi")
+        return self.all_figures().join(self.table("labels").filter("toxic = 1").select(F.col("doc_id").alias("uuid")), "uuid", "left_semi")
 
     def held(self) -> DataFrame:
         return self.held_figures().select(F.col("bytes_md5").alias("obj_key"), "cap_norm", "bytes_md5", "px_md5", "dhash").distinct()
@@ -74,7 +75,7 @@ class Views:
     def pairs(self) -> DataFrame:
         d = self.table("documents").select("doc_id", object_key(F.col("text")).alias("k"))
         n = d.count()
-        a = d.select(F.col("doc_id").alias("pair_id"), F.col("k").alias("key_1"), ((31 * F.col("doc_id") + 7) % n).alias("j"))
+        a = d.select(F.col("doc_id").alias("pair_id"), F.col("k").alias("key_1"), F.expr(f"if((doc_id div 12 + 1) * 12 <= {n}, doc_id div 12 * 12 + (5 * doc_id + 7) % 12, doc_id)").alias("j"))
         b = d.select(F.col("doc_id").alias("j"), F.col("k").alias("key_2"))
         return a.join(b, "j").select("pair_id", "key_1", "key_2", (F.col("pair_id") % 5).alias("fold"), F.expr("concat('g', pair_id div 3)").alias("group_id"))
 
@@ -136,11 +137,11 @@ def _softmax(first: int, masked: bool = True) -> str:
 SQL_VIEWS = {
     "all_figures": f"SELECT *, md5(left(cap_norm, 40)) || left(md5('x' || left(cap_norm, 40)), 31) || (length(cap_norm) % 8) AS dhash FROM (SELECT doc_id AS uuid, {_DOI.format(g='doc_id // 4')} AS doi, text AS cap_text, {_NORM} AS cap_norm, md5(text) AS bytes_md5, md5({_NORM}) AS px_md5 FROM documents)",
     "figures": "SELECT * FROM all_figures",
-    "held": "SELECT DISTINCT bytes_md5 AS obj_key, cap_norm, bytes_md5, px_md5, dhash FROM all_figures WHERE uuid IN (SELECT doc_id FROM labels)",
+    "held": "SELECT DISTINCT bytes_md5 AS obj_key, cap_norm, bytes_md5, px_md5, dhash FROM all_figures WHERE uuid IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "papers": f"SELECT g, {_DOI.format(g='g')} AS doi FROM (SELECT DISTINCT doc_id // 4 AS g FROM documents)",
     "edges": "SELECT DISTINCT least(a.doi, b.doi) AS src, greatest(a.doi, b.doi) AS dst FROM papers a, (SELECT max(g) + 1 AS n FROM papers) m, papers b WHERE (b.g = (7 * a.g + 3) % n OR b.g = (13 * a.g + 5) % n) AND a.g <> b.g",
     "objects": "SELECT md5(raw) AS obj_key, min(modality) AS modality, min(raw) AS raw FROM (SELECT text AS raw, 'caption' AS modality FROM documents UNION ALL SELECT html, 'image' FROM pages) GROUP BY 1",
-    "pairs": "SELECT a.doc_id AS pair_id, md5(a.text) AS key_1, md5(b.text) AS key_2, a.doc_id % 5 AS fold, 'g' || (a.doc_id // 3) AS group_id FROM documents a JOIN documents b ON b.doc_id = (31 * a.doc_id + 7) % (SELECT count(*) FROM documents)",
+    "pairs": "SELECT a.doc_id AS pair_id, md5(a.text) AS key_1, md5(b.text) AS key_2, a.doc_id % 5 AS fold, 'g' || (a.doc_id // 3) AS group_id FROM documents a JOIN documents b ON b.doc_id = CASE WHEN (a.doc_id // 12 + 1) * 12 <= (SELECT count(*) FROM documents) THEN a.doc_id // 12 * 12 + (5 * a.doc_id + 7) % 12 ELSE a.doc_id END",
     "mixed_pairs": "SELECT d.doc_id AS pair_id, md5(CASE WHEN d.doc_id % 3 = 1 THEN p.html ELSE d.text END) AS key_1, md5(CASE d.doc_id % 3 WHEN 0 THEN d.text WHEN 1 THEN o.html ELSE p.html END) AS key_2 FROM documents d JOIN pages p ON p.page_id = d.doc_id % (SELECT count(*) FROM pages) JOIN pages o ON o.page_id = (d.doc_id + 1) % (SELECT count(*) FROM pages)",
     "gold": "SELECT vec_id AS pair_id, label % 4 AS y, 'g' || (vec_id // 5) AS group_id, ['cxi', 'ixi', 'cxc'][vec_id % 3 + 1] AS task FROM embeddings",
     "probs_a": _softmax(1),

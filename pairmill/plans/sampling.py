@@ -9,8 +9,9 @@ from pairmill.operators import pairs
 from pairmill.plans.fixtures import Views, near_sql
 from pairmill.plans.registry import query
 
-#: Pairs wanted of each class; the operators take any number.
-QUOTA = 100
+#: Pairs wanted of each class: this share of the figures, one at least.
+SHARE = 10
+_QUOTA = f"quo AS (SELECT least(greatest(1, (SELECT count(*) FROM figures) // {SHARE}), count(*))::BIGINT AS quota FROM (SELECT DISTINCT bytes_md5, cap_norm FROM figures))"
 SHIFTS = [1, 7]
 
 
@@ -32,10 +33,12 @@ _SHIFTED = f"SELECT a.doi AS doi_a, a.uuid AS uuid_a, b.doi AS doi_b, b.uuid AS
 _UNRELATED = f"SELECT * FROM ({_SHIFTED}) WHERE doi_a <> doi_b AND (least(doi_a, doi_b), greatest(doi_a, doi_b)) NOT IN (SELECT (src, dst) FROM edges)"
 
 
-@query(f"SELECT least({QUOTA}, count(*))::BIGINT AS quota FROM (SELECT DISTINCT bytes_md5, cap_norm FROM figures)", "figures")
+@query(f"{_QUOTA} SELECT quota FROM quo", "figures")
 def class_quota(v: Views):
-    n = v.figures().select("bytes_md5", "cap_norm").distinct().agg(F.count("*").alias("n"))
-    return n.select(F.least(F.lit(QUOTA), "n").cast("long").alias("quota"))
+    """The wanted share of the figures, or the number of distinct contents where that is less."""
+    per = v.figures().groupBy("bytes_md5", F.md5(F.col("cap_norm").cast("binary")).alias("cap")).agg(F.count("*").alias("c"))
+    n = per.agg(F.count("*").alias("n"), F.sum("c").alias("all"))
+    return n.select(F.least(F.greatest(F.lit(1), F.expr(f"all div {SHARE}")), "n").cast("long").alias("quota"))
 
 
 #: The pool of a drawing, ranked, in SQL.
@@ -71,7 +74,7 @@ def _of_papers(seed: str, rows: str) -> str:
 
 
 def _drawn(y: int, seed: str, mode: str = "") -> str:
-    t = f"range({pairs.MOST_ATTEMPTS * QUOTA}) t(t)"
+    t = f"(SELECT unnest(range({pairs.MOST_ATTEMPTS} * quota)) AS t FROM quo) t"
     if y == 0:
         return f"SELECT t, uuid AS uuid_a, doi AS doi_a, uuid AS uuid_b, doi AS doi_b FROM (SELECT t, {_pick(seed, 'fig')} AS r FROM {t}) JOIN fig USING (r)"
     if y == 1:
@@ -99,7 +102,7 @@ def _generated() -> str:
     """The classes and modes in order, each without the identities taken before."""
     hop, journal = pairs.Pool.TWO_HOP, pairs.Pool.JOURNAL
     modes = [(3, pairs.Pool.RANDOM, 0), (3, journal, 1), (3, hop, 2)]
-    steps = [(0, "same_figure", "0", QUOTA), (1, "same_paper", "1", QUOTA), (2, "citation_edge", "2", QUOTA)] + [(y, m, f"3{k}", (QUOTA - k + 2) // 3) for y, m, k in modes]
+    steps = [(0, "same_figure", "0", "quota"), (1, "same_paper", "1", "quota"), (2, "citation_edge", "2", "quota")] + [(y, m, f"3{k}", f"(quota - {k} + 2) // 3") for y, m, k in modes]
     parts = []
     for k, (y, mode, salt, want) in enumerate(steps):
         seed = f"pairs {salt}"
@@ -112,9 +115,9 @@ def _generated() -> str:
         ident = f"SELECT t, uuid_a, uuid_b, md5(a.bytes_md5 || chr(0) || b.cap_norm) AS ident FROM ({rows}) JOIN figures a ON a.uuid = uuid_a JOIN figures b ON b.uuid = uuid_b WHERE {keep}"
         before = "".join(f" AND ident NOT IN (SELECT ident FROM g{i})" for i in range(k))
         first = f"SELECT * FROM ({ident}) WHERE true{before} QUALIFY row_number() OVER (PARTITION BY ident ORDER BY t) = 1"
-        parts.append(f"g{k} AS MATERIALIZED (SELECT {y} AS y, {name} AS mode, t, uuid_a, uuid_b, ident FROM ({first}) ORDER BY t LIMIT {want})")
+        parts.append(f"g{k} AS MATERIALIZED (SELECT {y} AS y, {name} AS mode, t, uuid_a, uuid_b, ident FROM ({first}) QUALIFY row_number() OVER (ORDER BY t) <= (SELECT {want} FROM quo))")
     union = " UNION ALL ".join(f"SELECT * FROM g{i}" for i in range(len(parts)))
-    return f"{_POOL}, {', '.join(parts)}, out AS ({union})"
+    return f"{_QUOTA}, {_POOL}, {', '.join(parts)}, out AS ({union})"
 
 
 def _pairs(v: Views, last: int = 3):
