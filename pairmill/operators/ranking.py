@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairmill.functions.hashing import seeded
 from pairmill.session import cut
 
 BUCKET_DIGITS = 3
@@ -36,3 +37,14 @@ def top_per_class(df: DataFrame, class_col: str, n: int, *order: str) -> DataFra
     """The n first rows of each class; Spark limits each task's rows before the shuffle."""
     w = Window.partitionBy(class_col).orderBy(*order)
     return df.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= n).drop("__k")
+
+
+def nested_subsets(df: DataFrame, class_col: str, sizes: tuple[int, ...], digest: str, key: str) -> DataFrame:
+    """(size, rank, ...) for subsets of the `size` first rows of each class by (digest, key), each
+    in a seeded order of its own rows. One ranking serves all sizes, so a smaller subset lies
+    in each larger one, and only the largest subset's rows are carried on."""
+    w = Window.partitionBy(class_col).orderBy(digest, key)
+    first = df.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= max(sizes))
+    each = first.withColumn("size", F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda s: F.col("__k") <= s)))
+    shuffled = Window.partitionBy("size").orderBy(seeded("shuffle", F.col(key)), key)
+    return each.withColumn("rank", F.row_number().over(shuffled)).drop("__k")

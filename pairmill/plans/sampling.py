@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairmill.functions import text
-from pairmill.operators import pairs
+from pairmill.operators import pairs, unrank
 from pairmill.plans.fixtures import Views, near_sql
 from pairmill.plans.registry import query
 
@@ -191,3 +191,54 @@ def relation_label(v: Views):
     for x in frames[1:]:
         everything = everything.unionByName(x.select(*cols))
     return pairs.relation(everything, e).groupBy("y").agg(F.count("*").alias("n"))
+
+
+#: Pairs drawn from whole spaces, per group in it.
+PER_GROUP = 2
+
+
+def _unranked(seed: str, groups: str) -> str:
+    """(t, first, i, j) of the drawn pairs of groups (first, n), in SQL."""
+    numbers = unrank.permuted_sql("SELECT unnest(range(least(1::BIGINT << (a + b), ((wanted::HUGEINT * (1::BIGINT << (a + b)) + space - 1) // space)::BIGINT))) AS t FROM par", seed)
+    sizes = "WITH RECURSIVE jj AS (SELECT 1::BIGINT AS j UNION ALL SELECT j + 1 FROM jj WHERE j < (SELECT max(n) FROM gr))"
+    return (
+        f"gr AS ({groups}), spa AS (SELECT first, n, n * (n - 1) // 2 AS pairs, (sum(n * (n - 1) // 2) OVER (ORDER BY first) - n * (n - 1) // 2)::BIGINT AS start FROM gr WHERE n > 1), "
+        f"tot AS (SELECT sum(pairs)::BIGINT AS space, {PER_GROUP} * count(*) AS wanted FROM spa), bit AS (SELECT *, greatest(2, CASE WHEN space > 1 THEN length(ltrim(bin(space - 1), '0')) ELSE 0 END)::INT AS bits FROM tot), par AS (SELECT space, wanted, bits - bits // 2 AS a, bits // 2 AS b FROM bit), "
+        f"num AS ({numbers}), drawn AS ({sizes} SELECT t, first, m - start - j * (j - 1) // 2 AS i, j FROM num JOIN spa ON m >= start AND m < start + pairs JOIN jj ON m - start >= j * (j - 1) // 2 AND m - start < j * (j + 1) // 2)"
+    )
+
+
+def _draw(groups, seed: str):
+    return unrank.draw(groups, PER_GROUP * groups.filter("n > 1").count(), seed)
+
+
+@query(f"{_POOL}, {_unranked('paper pairs', 'SELECT f AS first, n FROM pap')} SELECT t, a.uuid AS uuid_a, b.uuid AS uuid_b FROM drawn JOIN fig a ON a.r = first + i JOIN fig b ON b.r = first + j", "figures", "edges")
+def same_paper_drawn(v: Views):
+    """Distinct pairs of figures of one paper, drawn from all such pairs of all papers."""
+    pool = pairs.Pool(v.figures(), v.edges(), text.journal(F.col("doi")))
+    at = lambda c, u: pool.figures.select(F.col("r").alias(c), F.col("uuid").alias(u))
+    drawn = _draw(pool.papers, "paper pairs").select("t", (F.col("first") + F.col("i")).alias("x"), (F.col("first") + F.col("j")).alias("y"))
+    return drawn.join(at("x", "uuid_a"), "x").join(at("y", "uuid_b"), "y").select("t", "uuid_a", "uuid_b")
+
+
+@query(f"{_POOL}, {_unranked('journal pairs', 'SELECT f AS first, n FROM jo')} SELECT t, a.doi AS doi_a, b.doi AS doi_b FROM drawn JOIN jp a ON a.i = first + drawn.i JOIN jp b ON b.i = first + drawn.j", "figures", "edges")
+def same_journal_drawn(v: Views):
+    """Distinct pairs of papers of one journal, drawn from all such pairs of all journals."""
+    pool = pairs.Pool(v.figures(), v.edges(), text.journal(F.col("doi")))
+    at = lambda c, d: pool.journal_papers.select(F.col("i").alias(c), F.col("doi").alias(d))
+    drawn = _draw(pool.journals, "journal pairs").select("t", (F.col("first") + F.col("i")).alias("x"), (F.col("first") + F.col("j")).alias("y"))
+    return drawn.join(at("x", "doi_a"), "x").join(at("y", "doi_b"), "y").select("t", "doi_a", "doi_b")
+
+
+_ALL_PAPERS = "SELECT 0::BIGINT AS first, count(*) AS n FROM pap"
+
+
+@query(f"{_POOL}, {_unranked('paper space', _ALL_PAPERS).replace(f'{PER_GROUP} * count(*)', f'{PER_GROUP} * max(n)')} SELECT t, a.doi AS doi_a, b.doi AS doi_b FROM drawn JOIN pap a ON a.p = i JOIN pap b ON b.p = j WHERE (a.doi, b.doi) NOT IN (SELECT (src, dst) FROM edges)", "figures", "edges")
+def non_edges_drawn(v: Views):
+    """Distinct pairs of papers without an edge, drawn from all pairs of papers."""
+    pool = pairs.Pool(v.figures(), v.edges(), text.journal(F.col("doi")))
+    n = pool.count("papers")
+    everything = v.spark.range(1).select(F.lit(0).cast("long").alias("first"), F.lit(n).cast("long").alias("n"))
+    at = lambda c, d: pool.papers.select(F.col("p").alias(c), F.col("doi").alias(d))
+    drawn = unrank.draw(everything, PER_GROUP * n, "paper space").select("t", F.col("i").alias("x"), F.col("j").alias("y"))
+    return pairs.without_direct(drawn.join(at("x", "doi_a"), "x").join(at("y", "doi_b"), "y"), v.edges()).select("t", "doi_a", "doi_b")

@@ -7,11 +7,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from pairmill.functions import hashing, imaging, probability, text
-from pairmill.operators import expect, export, joins, ranking, splits
+from pairmill.operators import expect, export, joins, quantiles, ranking, splits
 from pairmill.plans.fixtures import Views
 from pairmill.plans.registry import query
 from pairmill.session import cut, scratch
-from pairmill.sources import blobs, readers
+from pairmill.sources import blobs, readers, recover
 from pairmill.streaming import incremental
 
 
@@ -360,10 +360,10 @@ def expected_present(v: Views):
 
 @query("SELECT page_id AS id, md5(html) AS md5, strlen(html)::INT AS size FROM pages WHERE page_id IN (SELECT doc_id FROM documents)")
 def selected_recovery(v: Views):
-    """Selected ids only, joined before decoding; content that doesn't fit its key is dropped."""
+    """Selected ids only, joined before decoding; what isn't there or doesn't fit is an error."""
     raw = v.table("pages").select(F.col("page_id").alias("id"), F.base64(F.col("html").cast("binary")).alias("cell"), hashing.object_key(F.col("html")).alias("md5"))
-    selected = v.table("documents").select(F.col("doc_id").alias("id"))
-    return raw.join(selected, "id", "left_semi").withColumn("bytes", imaging.decoded(F.col("cell"))).filter(F.md5("bytes") == F.col("md5")).select("id", "md5", F.length("bytes").alias("size"))
+    selected = v.table("documents").select(F.col("doc_id").alias("id")).join(v.table("pages").select(F.col("page_id").alias("id")), "id", "left_semi")
+    return recover.recover(selected, raw, "id").select("id", "md5", F.length("bytes").alias("size"))
 
 
 @query("SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang")
@@ -373,8 +373,18 @@ def class_counts(v: Views):
 
 @query("SELECT quantile_cont(n, 0.0) AS q0, quantile_cont(n, 0.25) AS q25, quantile_cont(n, 0.5) AS q50, quantile_cont(n, 0.75) AS q75, quantile_cont(n, 1.0) AS q100, count(*) FILTER (n > 2400) AS truncated FROM (SELECT length(text)::DOUBLE AS n FROM documents)")
 def length_quantiles(v: Views):
-    n = v.table("documents").select(F.length("text").cast("double").alias("n"))
-    return n.agg(*[F.percentile("n", q).alias(f"q{round(100 * q)}") for q in (0.0, 0.25, 0.5, 0.75, 1.0)], F.count_if(F.col("n") > text.CAPTION_LIMIT).alias("truncated"))
+    d = v.table("documents").select(F.length("text").cast("double").alias("n"))
+    cuts = (0.0, 0.25, 0.5, 0.75, 1.0)
+    found = quantiles.quantiles(d, "n", list(cuts))
+    return d.agg(*[F.lit(x).cast("double").alias(f"q{round(100 * q)}") for q, x in zip(cuts, found)], F.count_if(F.col("n") > text.CAPTION_LIMIT).alias("truncated"))
+
+
+@query("SELECT q, round(x, 6) AS x FROM (SELECT unnest([0.001, 0.05, 0.5, 0.95, 0.999]::DOUBLE[]) AS q, unnest(quantile_cont(l_extendedprice::DOUBLE, [0.001, 0.05, 0.5, 0.95, 0.999])) AS x FROM lineitem)")
+def price_quantiles(v: Views):
+    """Exact quantiles of a column of very many different values."""
+    cuts = [0.001, 0.05, 0.5, 0.95, 0.999]
+    found = quantiles.quantiles(v.table("lineitem"), "l_extendedprice", cuts)
+    return v.spark.createDataFrame([(q, round(x, 6)) for q, x in zip(cuts, found)], "q double, x double")
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY sha256('order' || chr(0) || doc_id), doc_id) AS rank FROM documents")
@@ -393,3 +403,16 @@ def topn_per_class(v: Views):
 def limit_ordered(v: Views):
     """A top-k report: each task keeps its own 100."""
     return v.table("orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
+
+
+#: Rows of each class in the smaller and the larger subset.
+SUBSETS = (10, 20)
+
+
+@query(
+    f"k AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('top' || chr(0) || doc_id), doc_id) AS k FROM documents) SELECT size, doc_id, source, row_number() OVER (PARTITION BY size ORDER BY sha256('shuffle' || chr(0) || doc_id), doc_id) AS rank FROM k, (VALUES ({SUBSETS[0]}), ({SUBSETS[1]})) s(size) WHERE k <= size"
+)
+def nested_subsets(v: Views):
+    """Two subsets of the first rows of each class, each shuffled; the smaller lies in the larger."""
+    h = v.table("documents").select("doc_id", "source", hashing.seeded("top", F.col("doc_id")).alias("h"))
+    return ranking.nested_subsets(h, "source", SUBSETS, "h", "doc_id").select("size", "doc_id", "source", "rank")

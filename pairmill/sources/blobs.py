@@ -76,7 +76,8 @@ def _store(path: str) -> tuple[FileSystem, str]:
     return FileSystem.from_uri(quote(path, safe=":/%@?=&"))
 
 
-def _opened(path: str):
+def opened(path: str):
+    """A stream of a file of the shared store."""
     fs, at = _store(path)
     return fs.open_input_stream(at)
 
@@ -86,7 +87,7 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests, sizes = [], []
         for path in b.column(0).to_pylist():
             state, size = hashlib.sha256(), 0
-            with _opened(path) as f:
+            with opened(path) as f:
                 while block := f.read(READ_BLOCK):
                     state.update(block)
                     size += len(block)
