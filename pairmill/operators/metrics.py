@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +69,79 @@ def cluster_bootstrap(grouped: DataFrame, draws: int, seed: str = "bootstrap") -
     return macro_f1(cells, "model", "draw").select("model", "draw", "macro_f1")
 
 
+#: Groups of a block, and draws whose weights a task holds at once.
+BLOCK, DRAWS_AT_ONCE = 1024, 1000
+
+
+def _rng(*key: object) -> np.random.Generator:
+    return np.random.default_rng(list(hashlib.sha256(repr(key).encode()).digest()))
+
+
+def block_weights(seed: str, draws: int, groups: int, block: int, size: int = BLOCK) -> Iterator[np.ndarray]:
+    """Of a block of groups, how often each draw takes each: arrays (some draws, groups of the
+    block), in order of the draws. A draw's `groups` choices are split in two, binomially, between
+    the halves of the blocks, and so on down to the block, then over its groups; each split is
+    seeded by the blocks it is about, so all tasks agree without a message between them."""
+    low, high, n = 0, -(-groups // size), np.full(draws, groups, dtype=np.int64)
+    held = lambda a, b: min(groups, b * size) - a * size  # noqa: E731  groups in blocks a to b
+    while high - low > 1:
+        middle = (low + high) // 2
+        left = _rng(seed, low, high).binomial(n, held(low, middle) / held(low, high))
+        low, high, n = (low, middle, left) if block < middle else (middle, high, n - left)
+    own, rng = held(block, block + 1), _rng(seed, "block", block)
+    for i in range(0, draws, DRAWS_AT_ONCE):
+        yield rng.multinomial(n[i : i + DRAWS_AT_ONCE], np.full(own, 1 / own))
+
+
+def split_bootstrap(grouped: DataFrame, draws: int, seed: str = "bootstrap") -> DataFrame:
+    """(model, draw, macro_f1) from per-group cells (model, group_id, y, p, n), by the law of
+    `cluster_bootstrap` and for any number of groups: a draw takes as many groups as there are,
+    with replacement, and all models share it. The work is a product of weights and cells per
+    block of groups; a task adds its blocks up and gives one row per draw and cell, whatever the
+    number of groups."""
+    groups = global_rank(grouped.select("group_id").distinct().withColumn("h", F.md5(F.col("group_id").cast("binary"))), "h", "group_id", "g")
+    count = groups.count()
+    models = sorted(r["model"] for r in grouped.select("model").distinct().collect())
+    width = CLASSES**2
+    place = F.array_position(F.array(*map(F.lit, models)), F.col("model")) - 1
+    cell = place * width + F.col("y") * CLASSES + F.col("p")
+    keyed = grouped.join(groups.select("group_id", (F.col("g") - 1).alias("g")), "group_id").select(F.expr(f"g div {BLOCK}").alias("block"), "g", cell.cast("long").alias("cell"), F.col("n").cast("double").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((draws, len(models) * width))
+        some, rows, at = False, [], None
+
+        def add() -> None:
+            block, g, c, n = (np.concatenate(x) for x in zip(*rows))
+            cells = np.zeros((min(BLOCK, count - int(block[0]) * BLOCK), total.shape[1]))
+            np.add.at(cells, (g - block[0] * BLOCK, c), n)
+            done = 0
+            for w in block_weights(seed, draws, count, int(block[0])):
+                total[done : done + len(w)] += w @ cells
+                done += len(w)
+
+        for b in batches:
+            columns = [b.column(i).to_numpy() for i in range(4)]
+            edges = [0, *(np.flatnonzero(np.diff(columns[0])) + 1).tolist(), b.num_rows]
+            for i, j in zip(edges, edges[1:]):
+                if j > i:
+                    if at is not None and columns[0][i] != at:
+                        add()
+                        rows = []
+                    at, some = columns[0][i], True
+                    rows.append([x[i:j] for x in columns])
+        if some:
+            add()
+            d, c = np.nonzero(total)
+            yield pa.record_batch([pa.array(d), pa.array(c), pa.array(total[d, c])], names=["draw", "cell", "n"])
+
+    parts = keyed.repartition("block").sortWithinPartitions("block").mapInArrow(run, "draw long, cell long, n double")
+    name = F.element_at(F.array(*map(F.lit, models)), (F.expr(f"cell div {width}") + 1).cast("int"))
+    cells = parts.groupBy("draw", "cell").agg(F.sum("n").cast("long").alias("n"))
+    named = cells.select("draw", name.alias("model"), F.expr(f"cell % {width} div {CLASSES}").alias("y"), F.expr(f"cell % {CLASSES}").alias("p"), "n")
+    return macro_f1(named, "model", "draw").select("model", "draw", "macro_f1")
+
+
 def interval(draws: DataFrame, a: str, b: str) -> DataFrame:
     """2.5 and 97.5 percentiles of b - a over shared draws."""
     both = draws.groupBy("draw").agg(F.max(F.when(F.col("model") == b, F.col("macro_f1"))).alias("vb"), F.max(F.when(F.col("model") == a, F.col("macro_f1"))).alias("va"))

@@ -101,6 +101,14 @@ def bootstrap_interval(v: Views):
     return i.select(*[F.round(c, 9).alias(c) for c in ("low", "high", "mean")])
 
 
+@query(None)
+def bootstrap_split(v: Views):
+    """The interval from draws made by binomial splitting, which no SQL repeats."""
+    cells = [metrics.confusion(v.predictions(i), "group_id").withColumn("model", F.lit(m)) for m, i in (("a", 1), ("b", 5))]
+    i = metrics.interval(metrics.split_bootstrap(cells[0].unionByName(cells[1]), DRAWS), "a", "b")
+    return i.select(*[F.round(c, 9).alias(c) for c in ("low", "high", "mean")])
+
+
 @query("SELECT pair_id, round((a.p[1] + b.p[1]) / 2, 9) AS p0, round((a.p[2] + b.p[2]) / 2, 9) AS p1, round((a.p[3] + b.p[3]) / 2, 9) AS p2, round((a.p[4] + b.p[4]) / 2, 9) AS p3 FROM probs_a a JOIN probs_rev b USING (pair_id)", "probs_a", "probs_rev")
 def orientation_mean(v: Views):
     m = scoring.orientation_mean(v.probs(1), v.probs(9), "pair_id")

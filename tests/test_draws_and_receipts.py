@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairmill.functions.hashing import object_key
-from pairmill.operators import quantiles, ranking, receipts, scoring, similarity, unrank
+from pairmill.operators import metrics, quantiles, ranking, receipts, scoring, similarity, unrank
 from pairmill.sources import recover
 
 # ---- quantiles
@@ -184,3 +184,27 @@ def test_linear_scorer_against_plain_python(spark, tmp_path):
             p += e / e.sum() / 2
         assert got[k] == pytest.approx(p.tolist(), abs=1e-12) and math.isclose(sum(got[k]), 1)
     assert scoring.word_means(pa.array([], pa.string()), first).shape == (0, 4)
+
+
+# ---- bootstrap by splitting
+
+
+def test_split_weights_have_the_law_of_draws_with_replacement():
+    groups, draws, size = 37, 4000, 8
+    w = np.concatenate([np.concatenate(list(metrics.block_weights("s", draws, groups, b, size))) for b in range(5)], axis=1)
+    assert w.shape == (draws, groups) and (w.sum(1) == groups).all()
+    assert np.abs(w.mean(0) - 1).max() < 0.08 and np.abs(w.var(0) - (1 - 1 / groups)).max() < 0.15
+    c = np.cov(w.T)
+    assert abs(c[~np.eye(groups, dtype=bool)].mean() + 1 / groups) < 0.002
+    many = next(metrics.block_weights("s", 3, 1_000_000, 500))
+    assert many.shape == (3, metrics.BLOCK) and abs(many.mean() - 1) < 0.1
+
+
+def test_split_bootstrap_agrees_with_the_slots(spark):
+    rng = np.random.default_rng(8)
+    rows = [(m, f"g{g}", int(y), int(y if rng.random() < right else rng.integers(0, 4)), 1) for g in range(60) for y in rng.integers(0, 4, 3) for m, right in (("a", 0.5), ("b", 0.8))]
+    cells = spark.createDataFrame(rows, "model string, group_id string, y long, p long, n long").groupBy("model", "group_id", "y", "p").agg(F.sum("n").alias("n"))
+    one, two = (sorted(map(tuple, metrics.split_bootstrap(cells.repartition(k), 300).collect())) for k in (1, 6))
+    assert one == two and len(one) == 600
+    a, b = (metrics.interval(f(cells, 2000), "a", "b").first() for f in (metrics.split_bootstrap, metrics.cluster_bootstrap))
+    assert all(abs(x - y) < 0.015 for x, y in zip(a, b))
