@@ -4,8 +4,10 @@ A text is cut into sentences at three grains: at full stops and blank lines, wit
 line ends folded; then at ';' and ':' too; then at every line end too. Each sentence is
 normalised (case, digits, punctuation) and mapped to the identifiers of a known licence
 sentence or clause; the coarsest grain that is known counts, and only what it leaves
-unknown is looked up at the next. The sequence of identifiers found in a document is matched against ordered licence rules, of which an earlier, more
-specific one wins over a later one of the same licence. Row-local: one scan, no shuffle.
+unknown is looked up at the next. A sentence that names a holder is known by what stands before and
+behind the name, and an SPDX tag is a sentence of its own. The sequence of identifiers found in a
+document is matched against ordered licence rules, of which an earlier, more specific one wins
+over a later one of the same licence. Row-local: one scan, no shuffle.
 
 Defined cases. Null or empty text, and text without a known sentence: empty sequence, no
 rule, no licence. A licence stated twice is reported once. Sentences are recognised in
@@ -56,6 +58,25 @@ SENTENCES = {
     "apache_basis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "bsd_source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd_binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "gpl_applies": "this general public license applies to most of the free software foundation s software and to any other program whose authors commit to using it",
+    "gpl_copyleft": "the gnu general public license is a free copyleft license for software and other kinds of works",
+    "gpl_only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version # as published by the free software foundation",
+    "lgpl_only": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license version # as published by the free software foundation",
+    "lgpl_adds": "this version of the gnu lesser general public license incorporates the terms and conditions of version # of the gnu general public license supplemented by the additional permissions listed below",
+    "lgpl_first": "this is the first released version of the lesser gpl",
+    "agpl_copyleft": "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software",
+    "gfdl_purpose": "the purpose of this license is to make a manual textbook or other functional and useful document free in the sense of freedom to assure everyone the effective freedom to copy and redistribute it with or without modifying it either commercially or noncommercially",
+    "gfdl_notice": "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version # or any later version published by the free software foundation",
+    "artistic_intent": "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control over the development of the package while giving the users of the package the right to use and distribute the package in a more or less customary fashion plus the right to make reasonable modifications",
+    "artistic_title": "the artistic license",
+    "mpl_code": "covered code means the original code or modifications or the combination of the original code and modifications in each case including portions thereof",
+    "mpl_software": "covered software means source code form to which the initial contributor has attached the notice in exhibit a the executable form of such source code form and modifications of such source code form in each case including portions thereof",
+    "mpl_title": "mozilla public license version #",
+    "apache_terms": "terms and conditions for use reproduction and distribution",
+    "apache_meaning": "license shall mean the terms and conditions for use reproduction and distribution as defined by sections # through # of this document",
+    "cc_zero_work": "a work made available under cc# may be protected by copyright and related or neighboring rights copyright and related rights",
+    "psf_parties": "this license agreement is between the python software foundation psf and the individual or organization licensee accessing and otherwise using this software python in source or binary form and its associated documentation",
+    "asf_contributors": "licensed to the apache software foundation asf under one or more contributor license agreements",
     "bsd_names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
 }
 _APACHE = "licensed under the apache license version # the license"
@@ -75,6 +96,30 @@ CLAUSES = {
     **{f"this software is provided by {h} as is {_NAMED}": ["bsd_warranty"] for h in _HOLDERS},
     **{f"this software is provided by {h} as is and any express or implied warranties are disclaimed": ["bsd_warranty"] for h in _HOLDERS[1:]},
 }
+# Words before and behind a variable part -> identifier.
+GAPS = [
+    ("neither the name of ", " may be used to endorse or promote products derived from this software without specific prior written permission", "bsd_names"),
+    ("neither the names of ", " may be used to endorse or promote products derived from this software without specific prior written permission", "bsd_names"),
+    ("this software is provided by ", f" as is {_NAMED}", "bsd_warranty"),
+    ("this software is provided by ", " as is and any express or implied warranties are disclaimed", "bsd_warranty"),
+]
+# SPDX names -> licence.
+SPDX = {"mit": "MIT", "apache #": "Apache", "bsd # clause": "BSD", "isc": "ISC", "unlicense": "Unlicense", "mpl #": "MPL", "cc# #": "CC0", "psf #": "PSF", "python #": "PSF", "artistic #": "Artistic"}
+SPDX |= {f"{x} #{end}": x.upper() for x in ("gpl", "lgpl", "agpl", "gfdl") for end in ("", " only", " or later")}
+SPDX |= {f"cc by{x} #": f"CC-BY{x.replace(' ', '-').upper()}" for x in ("", " sa", " nc", " nd", " nc sa", " nc nd")}
+CLAUSES |= {
+    **{f"spdx license {x}": [f"spdx_{x.replace(' ', '_').replace('#', 'n')}"] for x in SPDX},
+    **{f"gnu general public license version # {x}": ["gpl_title"] for x in ("june #", "february #", "# june #")},
+    **{f"gnu lesser general public license version # {x}": ["lgpl_title"] for x in ("february #", "# june #")},
+    "gnu library general public license version # june #": ["lgpl_title"],
+    "this is the first released version of the library gpl": ["lgpl_first"],
+    "the general public license applies to the free software foundation s software and to any other program whose authors commit to using it": ["gpl_applies"],
+    **{f"gnu free documentation license version # {x}": ["gfdl_title"] for x in ("march #", "november #", "# november #")},
+    "the asf licenses this file to you under the apache license version # the license": ["apache_notice"],
+    "the asf licenses this file to you under the apache license version # the license you may not use this file except in compliance with the license": ["apache_notice", "apache_use"],
+    "this program is free software you can redistribute it and or modify it under the terms of version # of the gnu general public license as published by the free software foundation": ["gpl_only"],
+    "this library is free software you can redistribute it and or modify it under the terms of version # of the gnu lesser general public license as published by the free software foundation": ["lgpl_only"],
+}
 # Ordered rules (rule, licence, identifier sequence in order of appearance).
 RULES = [
     ("gpl_full", "GPL", ["gpl_free", "gpl_warranty", "gpl_copy"]),
@@ -87,6 +132,24 @@ RULES = [
     ("mpl_full", "MPL", ["mpl_notice", "mpl_copy"]),
     ("isc_full", "ISC", ["isc_grant", "isc_warranty"]),
     ("unlicense_full", "Unlicense", ["unlicense_grant", "unlicense_use"]),
+    ("asf_header", "Apache", ["asf_contributors", "apache_notice"]),
+    ("gpl_only_full", "GPL", ["gpl_only", "gpl_warranty"]),
+    ("lgpl_only_full", "LGPL", ["lgpl_only", "lgpl_warranty"]),
+    ("gpl_text", "GPL", ["gpl_title", "gpl_applies"]),
+    ("gpl_three", "GPL", ["gpl_title", "gpl_copyleft"]),
+    ("lgpl_text", "LGPL", ["lgpl_title", "lgpl_first"]),
+    ("lgpl_three", "LGPL", ["lgpl_title", "lgpl_adds"]),
+    ("agpl_text", "AGPL", ["agpl_copyleft"]),
+    ("gfdl_text", "GFDL", ["gfdl_title", "gfdl_purpose"]),
+    ("artistic_text", "Artistic", ["artistic_title", "artistic_intent"]),
+    ("mpl_one", "MPL", ["mpl_title", "mpl_code"]),
+    ("mpl_two", "MPL", ["mpl_title", "mpl_software"]),
+    ("apache_text", "Apache", ["apache_terms", "apache_meaning"]),
+    ("psf_text", "PSF", ["psf_parties"]),
+    ("cc_zero_text", "CC0", ["cc_zero_work"]),
+    ("gfdl_grant", "GFDL", ["gfdl_notice"]),
+    ("gpl_only_grant", "GPL", ["gpl_only"]),
+    ("lgpl_only_grant", "LGPL", ["lgpl_only"]),
     ("gpl_grant", "GPL", ["gpl_free"]),
     ("gpl_short", "GPL", ["gpl_notice"]),
     ("lgpl_grant", "LGPL", ["lgpl_free"]),
@@ -106,12 +169,15 @@ RULES = [
     ("cc_by", "CC-BY", ["cc_by"]),
     ("cc_attribution", "CC-BY", ["cc_attribution"]),
     ("cc_zero", "CC0", ["cc_zero"]),
+    *[(CLAUSES[f"spdx license {x}"][0], name, CLAUSES[f"spdx license {x}"]) for x, name in SPDX.items()],
 ]
 #: Every known sentence holds one of these, so a text without them holds no known sentence.
-TRIGGER = "(?i)licen[sc]e|permi(t|ssion)|warrant|copyright|unencumbered|free to copy|mpl was"
+TRIGGER = "(?i)licen[sc]e|permi(t|ssion)|warrant|copyright|unencumbered|free to copy|mpl was|first released version|terms and conditions|covered (code|software) means"
 NUMBER = "[0-9]+([.][0-9]+)*"
 SENTENCE_END = "[.!?;:\\n\\r]+"
 NOT_PLAIN = "[^a-z0-9#]+"
+#: A tag in a file's head, and the sentence made of it.
+SPDX_TAG, SPDX_SAYS = "spdx-license-identifier:[ \\t]*([a-z0-9.+-]+)", (". spdx license ", " . ")
 #: Signs of a comment before each line, before numbers become '#'.
 COMMENT = "^[ \\t]*(//+|/?[*]+|#+|;+|%+|--|>+)[ \\t]+|^[ \\t]*(//+|/?[*]+/?|#+|;+|%+|--|>+)[ \\t\\r]*$"
 #: Lines end at line feeds only: the flags that say so in Java and elsewhere.
@@ -136,14 +202,20 @@ def sentence_ids(text: Column) -> Column:
     known = F.create_map(*[x for v, ids in whole.items() for x in (F.lit(v), F.array(*map(F.lit, ids)))])
     none = F.array().cast("array<string>")
 
+    def named(part: Column) -> Column:
+        gaps = [F.when(F.startswith(part, F.lit(a)) & F.endswith(part, F.lit(b)) & (F.length(part) > len(a) + len(b)), F.array(F.lit(k))) for a, b, k in GAPS]
+        return F.coalesce(F.try_element_at(known, part), *gaps)
+
     def cascade(part: Column, ends: list[str]) -> Column:
         """Identifiers of the part if it is known, or else of its pieces."""
+        own = F.transform(F.array(_plain(part)), named)[0]
         if not ends:
-            return F.coalesce(F.try_element_at(known, _plain(part)), none)
+            return F.coalesce(own, none)
         pieces = F.flatten(F.transform(F.split(part, ends[0]), lambda s: cascade(s, ends[1:])))
-        return F.coalesce(F.try_element_at(known, _plain(part)), pieces)
+        return F.coalesce(own, pieces)
 
-    numbered = F.regexp_replace(F.regexp_replace(F.lower(text), LINES_JAVA + COMMENT, ""), NUMBER, "#")
+    tagged = F.regexp_replace(F.regexp_replace(F.lower(text), LINES_JAVA + COMMENT, ""), SPDX_TAG, SPDX_SAYS[0] + "$1" + SPDX_SAYS[1])
+    numbered = F.regexp_replace(tagged, NUMBER, "#")
     found = F.flatten(F.transform(F.split(numbered, COARSE_END), lambda s: cascade(s, [CLAUSE_END, SENTENCE_END])))
     return F.when(text.rlike(TRIGGER), found).otherwise(none)
 

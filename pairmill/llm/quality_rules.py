@@ -16,18 +16,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Patterns valid in both Java's and RE2's syntax.
+# Patterns valid in both Java's and RE2's syntax; phrases in English, German, French
+# and Spanish, letters outside ASCII in both cases.
 SPACE = "[ \\t-\\r]+"
 SYMBOL = "[#*$%&|<>]"
 TERMINAL = "[.!?…:;][\"')\\]»”’]*[ \\t-\\r]*$"
 FIVE_WORDS = "([^ \\t-\\r]+[ \\t-\\r]+){4}[^ \\t-\\r]"
 NAVIGATION = (
     "(?i)^[ \\t-\\r]*(home|main menu|menu|log ?in|sign ?(in|up)|register|search|next( page)?|previous( page)?"
-    "|skip to (main )?content|back to top|share( this)?|read more|site ?map|contact us|about us)[ \\t-\\r]*[>»|:]*[ \\t-\\r]*$"
+    "|skip to (main )?content|back to top|share( this)?|read more|site ?map|contact us|about us"
+    "|startseite|(haupt)?men[üÜ]|anmelden|registrieren|suchen?|weiter(lesen)?|zur[üÜ]ck|nach oben|teilen|mehr lesen|impressum|kontakt|[üÜ]ber uns"
+    "|accueil|menu principal|connexion|s'inscrire|rechercher|suivante?|pr[éÉ]c[éÉ]dente?|haut de page|partager|lire la suite|plan du site|contact|[àÀ] propos"
+    "|inicio|men[úÚ]( principal)?|iniciar sesi[óÓ]n|registrarse|buscar|siguiente|anterior|volver arriba|compartir|leer m[áÁ]s|mapa del sitio|contacto|sobre nosotros)"
+    "[ \\t-\\r]*[>»|:]*[ \\t-\\r]*$"
 )
 BOILERPLATE = (
     "(?i)(privacy policy|cookie policy|we use cookies|accept (all )?cookies|terms of (use|service)"
-    "|all rights reserved|enable javascript|click here|subscribe to our newsletter|lorem ipsum|powered by wordpress)"
+    "|all rights reserved|enable javascript|click here|subscribe to our newsletter|lorem ipsum|powered by wordpress"
+    "|datenschutzerkl[äÄ]rung|wir verwenden cookies|cookies akzeptieren|nutzungsbedingungen|alle rechte vorbehalten|javascript aktivieren|hier klicken|newsletter abonnieren"
+    "|politique de confidentialit[éÉ]|nous utilisons des cookies|accepter (tous )?les cookies|conditions d'utilisation|tous droits r[éÉ]serv[éÉ]s|activez javascript|cliquez ici|abonnez-vous"
+    "|pol[íÍ]tica de (privacidad|cookies)|utilizamos cookies|aceptar (todas )?las cookies|(t[éÉ]rminos|condiciones) de uso|todos los derechos reservados|habilite javascript|haga clic aqu[íÍ]|suscr[íÍ]bete)"
 )
 NOT_EMPTY = "[^ \\t-\\r]"
 

@@ -58,14 +58,17 @@ def _sql_op2() -> str:
         """Parts of `x` of a table, numbered, with their normalised form."""
         return f"SELECT doc_id, {at}, x, {plain} AS s FROM (SELECT * EXCLUDE (x), unnest(parts) AS x, generate_subscripts(parts, 1) AS {at.split(', ')[-1]} FROM (SELECT *, string_split_regex(x, {_q(end)}) AS parts FROM ({source})))"
 
+    gap = lambda a, b: f"(starts_with(s, {_q(a)}) AND ends_with(s, {_q(b)}) AND length(s) > {len(a) + len(b)})"
+    gaps = "CASE " + " ".join(f"WHEN {gap(a, b)} THEN {_q(k)}" for a, b, k in r.GAPS) + " END"
     # each grain is cut out of what the grain before it left unknown
-    unknown = lambda t, at: f"SELECT doc_id, {at}, x FROM {t} WHERE s NOT IN (SELECT s FROM known)"
+    unknown = lambda t, at: f"SELECT doc_id, {at}, x FROM {t} WHERE s NOT IN (SELECT s FROM known) AND {gaps} IS NULL"
     return f"""
 WITH known(s, k, id) AS (VALUES {known}), rules(o, rule, license, pattern) AS (VALUES {rules}),
-t AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), {_q(r.LINES + r.COMMENT)}, '', 'g'), {_q(r.NUMBER)}, '#', 'g') AS x FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(text), {_q(r.LINES + r.COMMENT)}, '', 'g'), {_q(r.SPDX_TAG)}, {_q(r.SPDX_SAYS[0] + chr(92) + "1" + r.SPDX_SAYS[1])}, 'g'), {_q(r.NUMBER)}, '#', 'g') AS x FROM documents WHERE text IS NOT NULL),
 a AS ({cut("SELECT doc_id, x FROM t", "a", r.COARSE_END)}), b AS ({cut(unknown("a", "a"), "a, b", r.CLAUSE_END)}), c AS ({cut(unknown("b", "a, b"), "a, b, c", r.SENTENCE_END)}),
 f AS (SELECT doc_id, a, 0 AS b, 0 AS c, s FROM a UNION ALL SELECT doc_id, a, b, 0, s FROM b UNION ALL SELECT doc_id, a, b, c, s FROM c),
-s AS (SELECT doc_id, string_agg(id, ' ' ORDER BY a, b, c, k) AS seq, count(*) AS n FROM f JOIN known USING (s) GROUP BY doc_id),
+i AS (SELECT doc_id, a, b, c, k, id FROM f JOIN known USING (s) UNION ALL SELECT doc_id, a, b, c, 0, {gaps} FROM f WHERE {gaps} IS NOT NULL AND s NOT IN (SELECT s FROM known)),
+s AS (SELECT doc_id, string_agg(id, ' ' ORDER BY a, b, c, k) AS seq, count(*) AS n FROM i GROUP BY doc_id),
 m AS (SELECT doc_id, license, min(o) AS o FROM s JOIN rules ON regexp_matches(seq, pattern) GROUP BY doc_id, license),
 l AS (SELECT doc_id, string_agg(rule, ' ' ORDER BY m.o) AS rules, string_agg(m.license, ' ' ORDER BY m.o) AS licenses FROM m JOIN rules ON m.o = rules.o GROUP BY doc_id)
 SELECT doc_id, coalesce(seq, '') AS sentence_ids, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(rules, '') AS rules, coalesce(licenses, '') AS licenses

@@ -98,7 +98,9 @@ def _encode(tokenizer: TokenizerFile):
 def write_tokens(docs: DataFrame, tokenizer: TokenizerFile, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text and write (block, doc_id, block_start, n_tokens, tokens) in ascending id order."""
     rows = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").select(F.spark_partition_id().alias("block"), "doc_id", "text")
+    # by the beginning of the text too: rows of one id, or without an id, are split over tasks
+    keyed = rows.withColumn("head", F.substring("text", 1, 64))
+    ordered = keyed.repartitionByRange("doc_id", "head").sortWithinPartitions("doc_id", "head", "text").select(F.spark_partition_id().alias("block"), "doc_id", "text")
     coded = ordered.mapInArrow(_encode(tokenizer), f"block int, doc_id {dict(rows.dtypes)['doc_id']}, block_start long, n_tokens long, tokens array<int>")
     (
         coded.write.mode("errorifexists")

@@ -89,6 +89,15 @@ def test_language_cases(spark):
     assert language_id.identify(df.limit(0), model).count() == 0
 
 
+def test_languages_that_tie_go_by_code_point(spark):
+    """Two languages learned from the same texts need the same phrases of any text."""
+    rows = [(i, "one text for both of them", lang) for i, lang in enumerate(["zz", "aa"] * 30)]
+    df = spark.createDataFrame([*rows, (99, "one text", None)], "doc_id long, text string, lang string")
+    model = language_id.learn(df)
+    assert model.langs == ["aa", "zz"]
+    assert {r["lang_pred"] for r in language_id.identify(df, model).collect()} == {"aa"}
+
+
 def _kneser_ney(texts, held):
     tokens = {i: [w.decode() for w in (t or "").encode().lower().split()] + ["\n"] for i, t in texts.items()}
     one, two = Counter(), Counter()
@@ -144,6 +153,22 @@ def test_scores_against_brute_force(spark, sf_dir):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_scores_in_small_parts_and_of_long_texts(spark, sf_dir, monkeypatch):
+    """Texts beyond AT_ONCE and tasks beyond PRE_SUM give the scores of one large part."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(10**6, "one two three " * 9000)], "doc_id long, text string"))
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    fixed = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    monkeypatch.setattr(ngram_lm, "AT_ONCE", 3000)
+    monkeypatch.setattr(ngram_lm, "PRE_SUM", 500)
+    got = {r["doc_id"]: r for r in ngram_lm.score_documents(fixed, ngram_lm.train(fixed)).collect()}
+    for i, (n, known, total, base, score) in _kneser_ney(rows, held).items():
+        r = got[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-6)
+
+
 def test_a_word_s_probabilities_sum_to_one(spark, tmp_path):
     """Over all known words, the end and the share of an unknown one, after each context."""
     texts = ["a b c a b", "b c c a", "a a d", "a b d c"]

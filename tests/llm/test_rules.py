@@ -229,3 +229,41 @@ def test_native(spark, sf_dir):
     for name in ("op1_quality_rules", "op2_license_scan"):
         plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize(
+    "text, rules, licenses",
+    [
+        ("// SPDX-License-Identifier: MIT\nint x;", "spdx_mit", "MIT"),
+        ("# spdx-license-identifier: GPL-2.0-or-later", "spdx_gpl_n_or_later", "GPL"),
+        ("/* SPDX-License-Identifier: BSD-3-Clause */", "spdx_bsd_n_clause", "BSD"),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+         "Neither the name of Some Firm GmbH & Co nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+         "THIS SOFTWARE IS PROVIDED BY SOME FIRM ''AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.", "bsd_three", "BSD"),
+        ("# Licensed to the Apache Software Foundation (ASF) under one or more\n# contributor license agreements.  See the NOTICE file.\n# The ASF licenses this file to You under the Apache License, Version 2.0\n# (the \"License\"); you may not use this file except in compliance with\n# the License.", "asf_header apache_short", "Apache"),
+        ("This program is free software; you can redistribute it and/or modify it under the terms of version 2 of the GNU General Public License as published by the Free Software Foundation.", "gpl_only_grant", "GPL"),
+    ],
+)
+def test_notices_tags_and_holders(spark, text, rules, licenses):
+    got = license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got["licenses"] == licenses and got["rules"].split(" ")[0] == rules.split(" ")[0]
+
+
+def test_full_texts_of_a_machine(spark):
+    import os
+
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache", "Artistic": "Artistic", "BSD": "BSD", "CC0-1.0": "CC0", "GFDL-1.2": "GFDL", "GFDL-1.3": "GFDL", "GPL-1": "GPL", "GPL-2": "GPL", "GPL-3": "GPL", "LGPL-2": "LGPL", "LGPL-2.1": "LGPL", "LGPL-3": "LGPL", "MPL-1.1": "MPL", "MPL-2.0": "MPL"}
+    there = [n for n in names if os.path.isfile(f"{folder}/{n}")]
+    if not there:
+        pytest.skip("no licence texts here")
+    rows = [(n, open(f"{folder}/{n}", errors="replace").read()) for n in there]
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {n: names[n] for n in there}
+
+
+def test_phrases_of_four_languages(spark):
+    lines = ["Startseite", "MENÜ", "à propos", "Précédent »", "Leer más", "ÜBER UNS", "Alle Rechte vorbehalten, Firma 2020.", "Politique de confidentialité et plus encore ici.", "Aceptar todas las cookies de este sitio ahora."]
+    page = "\n".join([*lines[:5], PROSE, *lines[5:], PROSE.upper()])
+    out = quality_rules.clean(spark.createDataFrame([(1, page)], "doc_id long, text string")).first()
+    assert out["text"] == "\n".join([PROSE, PROSE.upper()])

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pairmill.llm import bpe_codec, token_counts, token_files
+from pairmill.llm import bpe_codec, token_counts, token_files, units
 
 ODD = [None, "", " ", "\n\n", "a", "  two  spaces\n\n\nand lines \t\r\n end  ", "it's don't 'S we'll", "é€ñ ß x \n\ny", "x \n\ny", "😀 👩‍👩‍👧 \x1c\x85 z", "12345 678,90", "<|endoftext|> text"]
 
@@ -81,6 +81,29 @@ def test_token_files_round_trip(spark, tmp_path):
     assert "tokens" not in token_files.read_starts(spark, path)._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1][:60].replace("n_tokens", "")
 
 
+def test_rows_without_an_id_are_split_over_tasks(spark, tmp_path, monkeypatch):
+    """A text beyond AT_ONCE is encoded whole, and rows of one id aren't one task."""
+    from tokenizers import Tokenizer
+    import public_tokenizers as P
+
+    monkeypatch.setattr(units, "AT_ONCE", 20_000)
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = [f"{i % 83} row {i} of many" for i in range(800)] + ["long words, " * 12_000]
+    path, whole = str(tmp_path / "t"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(whole, "false")
+    try:
+        token_files.write_tokens(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(3), token_files.TokenizerFile.public(), path)
+    finally:
+        spark.conf.unset(whole)
+    got = sorted((r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_documents(spark, path).collect())
+    at = 0
+    for (start, n, crc), t in zip(got, sorted(texts), strict=True):
+        ids = own.encode(t, add_special_tokens=False).ids + [0]
+        assert (start, n, crc) == (at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+        at += n
+    assert spark.read.parquet(path).select("block").distinct().count() > 1
+
+
 def test_token_file_layout(spark, tmp_path):
     import glob
 
