@@ -37,9 +37,10 @@ class Views:
         cap = normalize_caption(F.col("text"))
         d = self.table("documents").select(F.col("doc_id").alias("uuid"), self.doi(g).alias("doi"), F.col("text").alias("cap_text"), cap.alias("cap_norm"))
         md5 = lambda c: F.md5(c.cast("binary"))
-        # an image hash of 256 bits that differs by 3 bits at most where texts begin alike
-        head = F.substring("cap_norm", 1, 40)
-        dhash = F.concat(md5(head), F.substring(md5(F.concat(F.lit("x"), head)), 1, 31), (F.length("cap_norm") % 8).cast("string"))
+        # an image hash of 256 bits that differs by 9 bits at most where texts begin alike
+        head, n = F.substring("cap_norm", 1, 40), F.length("cap_norm")
+        tail = [(F.shiftright(n, k) % 8).cast("string") for k in (0, 3, 6)]
+        dhash = F.concat(md5(head), F.substring(md5(F.concat(F.lit("x"), head)), 1, 29), *tail)
         return d.withColumns({"bytes_md5": md5(F.col("cap_text")), "px_md5": md5(F.col("cap_norm")), "dhash": dhash})
 
     def figures(self) -> DataFrame:
@@ -135,7 +136,7 @@ def _softmax(first: int, masked: bool = True) -> str:
 
 #: The same views in SQL; a view may use those before it.
 SQL_VIEWS = {
-    "all_figures": f"SELECT *, md5(left(cap_norm, 40)) || left(md5('x' || left(cap_norm, 40)), 31) || (length(cap_norm) % 8) AS dhash FROM (SELECT doc_id AS uuid, {_DOI.format(g='doc_id // 4')} AS doi, text AS cap_text, {_NORM} AS cap_norm, md5(text) AS bytes_md5, md5({_NORM}) AS px_md5 FROM documents)",
+    "all_figures": f"SELECT *, md5(left(cap_norm, 40)) || left(md5('x' || left(cap_norm, 40)), 29) || (length(cap_norm) % 8) || (length(cap_norm) // 8 % 8) || (length(cap_norm) // 64 % 8) AS dhash FROM (SELECT doc_id AS uuid, {_DOI.format(g='doc_id // 4')} AS doi, text AS cap_text, {_NORM} AS cap_norm, md5(text) AS bytes_md5, md5({_NORM}) AS px_md5 FROM documents)",
     "figures": "SELECT * FROM all_figures",
     "held": "SELECT DISTINCT bytes_md5 AS obj_key, cap_norm, bytes_md5, px_md5, dhash FROM all_figures WHERE uuid IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "papers": f"SELECT g, {_DOI.format(g='g')} AS doi FROM (SELECT DISTINCT doc_id // 4 AS g FROM documents)",

@@ -88,6 +88,21 @@ def dup_components(v: Views):
     return paper_components(v)
 
 
+_CONTENT = _COMPONENTS.replace("nr AS", "no AS").replace(" UNION SELECT hx.hub, hy.hub FROM nr JOIN", " UNION SELECT hx.hub, hy.hub FROM (SELECT * FROM no LIMIT 0) nr JOIN")
+
+
+@query(
+    f"{_COMPONENTS} SELECT (SELECT count(DISTINCT component) FROM (WITH RECURSIVE {_CONTENT} SELECT * FROM comp)) - (SELECT count(DISTINCT component) FROM comp) AS near_unions, (SELECT count(DISTINCT component) FROM comp) AS components", "figures", recursive=True
+)
+def near_unions(v: Views):
+    """How many unions of components near image hashes make beyond shared contents."""
+    f = keyed_figures(v)
+    content = splits.components(f, "doi", splits.content_edges(f, "doi", _HASHES))
+    count = lambda c: c.select("component").distinct().count()
+    apart, joined = count(content), count(components_of(f))
+    return v.spark.createDataFrame([(apart - joined, joined)], "near_unions long, components long")
+
+
 @query(
     """d AS (SELECT DISTINCT sig FROM signatures), w AS (SELECT sig, ('0x' || sig)::BIGINT AS w FROM d),
     near AS (SELECT a.sig AS a, b.sig AS b FROM w a JOIN w b ON a.sig < b.sig AND bit_count(xor(a.w, b.w)) <= 6), s AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
@@ -236,7 +251,15 @@ def _seed_edges(v: Views, members: DataFrame) -> DataFrame:
     return splits.greedy_matching(e, min(32, max(1, n // 40)))
 
 
-@query(None)
+_GREEDY = f"""{_COMP_EDGES},
+go AS MATERIALIZED (SELECT p, q, row_number() OVER (ORDER BY sha256('seed' || chr(0) || p || chr(0) || q)) AS r FROM ce),
+gl AS (SELECT least(32, greatest(1, count(DISTINCT component) // 40)) AS most FROM comp),
+gr(r, used, p, q, took, n) AS (SELECT 0::BIGINT, []::VARCHAR[], NULL::VARCHAR, NULL::VARCHAR, false, 0::BIGINT UNION ALL
+  SELECT r, CASE WHEN took THEN list_concat(used, [p, q]) ELSE used END, p, q, took, n + took::BIGINT FROM
+  (SELECT go.r, gr.used, go.p, go.q, NOT list_contains(gr.used, go.p) AND NOT list_contains(gr.used, go.q) AS took, gr.n FROM gr JOIN go ON go.r = gr.r + 1 WHERE gr.n < (SELECT most FROM gl)))"""
+
+
+@query(f"{_GREEDY} SELECT p, q FROM gr WHERE took", "figures", "edges", recursive=True)
 def greedy_edge_seed(v: Views):
     """The first edges of a greedy matching of component edges in hash order."""
     return _seed_edges(v, paper_components(v)).select("p", "q")
