@@ -36,12 +36,13 @@ def mean(p: Column, q: Column) -> Column:
     return F.zip_with(p, q, lambda a, b: (a + b) / 2)
 
 
-def learning_rate(step: Column, total: int, peak: float, floor: float = 0.05) -> Column:
+def learning_rate(step: Column, total: int | Column, peak: float, floor: float = 0.05) -> Column:
     """Linear warm-up over 3 % of the steps (1 to 50 of them) times cosine decay over all
     steps, from 1 to `floor`."""
-    warmup = max(1, min(50, 3 * total // 100))
-    rise = F.least(F.lit(1.0), (step + 1) / F.lit(float(warmup)))
-    share = F.least(F.lit(1.0), step / F.lit(float(max(1, total))))
+    n = F.lit(total)
+    warmup = F.greatest(F.lit(1), F.least(F.lit(50), F.floor(3 * n / 100)))
+    rise = F.least(F.lit(1.0), (step + 1) / warmup.cast("double"))
+    share = F.least(F.lit(1.0), step / F.greatest(F.lit(1), n).cast("double"))
     return F.lit(peak) * rise * (floor + (1 - floor) * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * share)))
 
 

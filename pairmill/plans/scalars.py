@@ -119,11 +119,12 @@ def prob_validate(v: Views):
 
 
 @query(
-    "SELECT step, round(1e-4 * least(1.0, (step + 1) / 25.0::DOUBLE) * (0.05 + 0.95 * 0.5 * (1 + cos(pi() * step / 837.0::DOUBLE))), 12) AS lr FROM range(837) t(step)"
+    "h AS (SELECT task, least(ceil(count(*) / 8.0)::BIGINT * 3, 837) AS n FROM gold GROUP BY task), t AS (SELECT task, n, unnest(range(n)) AS step, greatest(1, least(50, 3 * n // 100))::DOUBLE AS warm FROM h) SELECT task, step, round(1e-4 * least(1.0::DOUBLE, (step + 1) / warm) * (0.05 + 0.95 * 0.5 * (1 + cos(pi() * step / n::DOUBLE))), 12) AS lr FROM t", "gold"
 )
 def lr_schedule(v: Views):
-    steps = v.spark.range(837).withColumnRenamed("id", "step")
-    return steps.select("step", F.round(probability.learning_rate(F.col("step"), 837, 1e-4), 12).alias("lr"))
+    """The learning rate at each step of each task's horizon, which follows from its rows."""
+    steps = train_horizon(v).select("task", "steps", F.explode(F.sequence(F.lit(0).cast("long"), F.col("steps") - 1)).alias("step"))
+    return steps.select("task", "step", F.round(probability.learning_rate(F.col("step"), F.col("steps"), 1e-4), 12).alias("lr"))
 
 
 @query("SELECT task, count(*) AS rows, least(ceil(count(*) / 8.0)::BIGINT * 3, 837) AS steps FROM gold GROUP BY task", "gold")

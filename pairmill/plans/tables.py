@@ -51,10 +51,23 @@ def log_events(v: Views):
     return parsed.select("user_id", "ordinal", "e.event", "e.step", "e.macro")
 
 
-@query(None)
+_SHARDS = 5
+
+
+@query(
+    f"SELECT printf('train-%05d-of-%05d.parquet', i, {_SHARDS}) AS name, CASE WHEN i = 3 THEN 'missing' ELSE 'there' END AS state, CASE WHEN i = 3 THEN 0 ELSE (SELECT count(*) FROM documents WHERE doc_id % {_SHARDS} = i) END AS rows FROM range({_SHARDS}) t(i) UNION ALL SELECT 'odd.parquet', 'unexpected', count(*) FROM documents WHERE doc_id % {_SHARDS} = 3"
+)
 def shard_completeness(v: Views):
-    """The driver folder against three expected shards."""
-    return readers.shard_completeness(v.spark, readers.list_names(v.spark, v.dir), 3)
+    """Shards of the documents, one under another name: which are there, missing or not expected,
+    and the rows of those that are there."""
+    d, base = v.table("documents").select("doc_id"), scratch(v.spark, "shards")
+    name = lambda i: "odd.parquet" if i == 3 else f"train-{i:05d}-of-{_SHARDS:05d}.parquet"
+    for i in range(_SHARDS):
+        d.filter(F.col("doc_id") % _SHARDS == i).write.parquet(f"{base}/{name(i)}")
+    wrong = readers.shard_completeness(v.spark, readers.list_names(v.spark, base), _SHARDS)
+    at = F.regexp_extract(F.col("_metadata.file_path"), "/([^/]+[.]parquet)/[^/]+$", 1)
+    rows = v.spark.read.parquet(f"{base}/*.parquet").groupBy(at.alias("name")).agg(F.count("*").alias("rows"))
+    return rows.join(wrong, "name", "full_outer").select("name", F.coalesce("state", F.lit("there")).alias("state"), F.coalesce("rows", F.lit(0)).cast("long").alias("rows"))
 
 
 def _indexed(v: Views) -> str:
