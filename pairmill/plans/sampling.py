@@ -41,6 +41,9 @@ def class_quota(v: Views):
     return n.select(F.least(F.greatest(F.lit(1), F.expr(f"all div {SHARE}")), "n").cast("long").alias("quota"))
 
 
+#: Attempts per wanted pair in SQL: more than the tables' classes need, so that they are filled there
+#: by the same first attempts as in Spark.
+SQL_ATTEMPTS = 48
 #: The pool of a drawing, ranked, in SQL.
 _POOL = """
 fig AS (SELECT doi, uuid, row_number() OVER (ORDER BY doi, uuid) - 1 AS r FROM figures),
@@ -74,7 +77,7 @@ def _of_papers(seed: str, rows: str) -> str:
 
 
 def _drawn(y: int, seed: str, mode: str = "") -> str:
-    t = f"(SELECT unnest(range({pairs.MOST_ATTEMPTS} * quota)) AS t FROM quo) t"
+    t = f"(SELECT unnest(range({SQL_ATTEMPTS} * quota)) AS t FROM quo) t"
     if y == 0:
         return f"SELECT t, uuid AS uuid_a, doi AS doi_a, uuid AS uuid_b, doi AS doi_b FROM (SELECT t, {_pick(seed, 'fig')} AS r FROM {t}) JOIN fig USING (r)"
     if y == 1:
