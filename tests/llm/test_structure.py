@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -51,6 +52,10 @@ def test_given_pages_by_their_article(spark, sf_dir):
         ("<head><title>t</title><p>text", "text"),
         ("<article></article><p>only this", "only this"),
         ("<!-- never closed <p>x", ""),
+        ("<p>a</p><script>never closed <p>x", "a"),
+        ("a <b", "a <b"),
+        ("<p>x</p><!doctype odd> tail", "x\n\ntail"),
+        ("<p title=\"5' wide>a</p><p>b</p>", "a\n\nb"),
         ("<aside><p>a</aside><div>" + "w " * 50_000 + "</div>", ("w " * 50_000).strip()),
     ],
 )
@@ -60,6 +65,13 @@ def test_parts_of_a_page(page, want):
     assert "\n\n".join(t for k, t in found if k == best and k > html_extract.SIDE) == want
 
 
+@pytest.mark.parametrize("page", ['<a "' * 200_000, "<div><b>" * 100_000 + "x", "<!--" * 200_000, "<script>" * 50_000, "<a '\">" * 100_000, "</div>" * 200_000 + "<i>" * 50_000])
+def test_broken_pages_are_read_in_time(page):
+    began = time.time()
+    html_extract.blocks(page)
+    assert time.time() - began < 20
+
+
 def _sites(n=30):
     rows = []
     for i in range(n):
