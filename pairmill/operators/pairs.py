@@ -251,8 +251,9 @@ def generate(pool: Pool, figures: DataFrame, edges: DataFrame, quota: int, seed:
         drawn = cut(drawn)
         apart = without_direct(drawn.filter("y = 3"), edges).unionByName(drawn.filter("y < 3"))
         ids = drawn.select(F.explode(F.array("uuid_a", "uuid_b")).alias("uuid")).distinct()
-        met = cut(figures.join(ids, "uuid", "left_semi"))
-        unlike = reject_near(apart.filter("y > 0"), met).unionByName(apart.filter("y = 0"))
+        met = cut(figures.join(ids, "uuid", "left_semi").select("uuid", "cap_norm", "bytes_md5", "px_md5", "dhash"))
+        keys = met.withColumn("cap_norm", F.md5(F.col("cap_norm").cast("binary")))  # equal captions, short rows
+        unlike = reject_near(apart.filter("y > 0"), keys).unionByName(apart.filter("y = 0"))
         named = with_identity(unlike, met)
         return cut(named.groupBy("step", "ident").agg(F.min(F.struct("t", "uuid_a", "uuid_b")).alias("m")).select("step", "ident", "m.*"))
 

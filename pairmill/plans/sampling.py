@@ -8,6 +8,7 @@ from pairmill.functions import text
 from pairmill.operators import pairs, unrank
 from pairmill.plans.fixtures import Views, near_sql
 from pairmill.plans.registry import query
+from pairmill.session import cut
 
 #: Pairs wanted of each class: this share of the figures, one at least.
 SHARE = 10
@@ -124,7 +125,7 @@ def _generated() -> str:
 
 
 def _pairs(v: Views, last: int = 3):
-    f, e = v.figures(), v.edges()
+    f, e = v.figures(), cut(v.edges())
     return pairs.generate(pairs.Pool(f, e, text.journal(F.col("doi"))), f, e, class_quota(v).first()["quota"], "pairs", last)
 
 
