@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import struct
 import zlib
 
@@ -52,6 +53,17 @@ def test_components_of_random_graphs_and_nulls(spark):
         assert {r["node"]: r["component"] for r in connected_components(df.repartition(parts)).collect()} == want
 
 
+def test_components_keep_size_estimates_small(spark, capsys):
+    """A dozen rounds: the planner's estimates must not be the product of all rounds' estimates."""
+    n = 3000
+    df = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = connected_components(df)
+    got.explain("cost")
+    powers = [int(x) for x in re.findall(r"sizeInBytes=[\d.]+E\+(\d+)", capsys.readouterr().out)]
+    assert max(powers, default=0) < 100
+    assert got.filter("component = 0").count() == n
+
+
 @pytest.mark.parametrize("share", [1000, 4])
 def test_join_hot_meets_hot_cold_and_null_keys(spark, monkeypatch, share):
     monkeypatch.setattr(joins, "HOT_SHARE", share)
