@@ -158,13 +158,18 @@ def running_best(v: Views):
     return runs.running_best(v.runlog(), "user_id").select("user_id", "ordinal", "step", "macro")
 
 
+#: Events of a file of the log; each of three triggers takes a third of the files.
+EVENTS_A_FILE = 1_000_000
+
+
 @query("SELECT user_id, ordinal, step, macro FROM (SELECT *, max(macro) OVER (PARTITION BY user_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM runlog WHERE event = 'validation') WHERE before IS NULL OR macro > before", "runlog")
 def running_best_stream(v: Views):
     """The same from a stream of the log in several files, its events in another order."""
     log = v.runlog().select("user_id", "ordinal", "event", "step", "macro")
     base = scratch(v.spark, "live-log")
-    log.repartition(3, F.xxhash64("user_id", "ordinal")).sortWithinPartitions(F.desc("ordinal")).write.parquet(f"{base}/in")
-    events = v.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    at_once = 1 + v.table("events").count() // EVENTS_A_FILE
+    log.repartition(3 * at_once, F.xxhash64("user_id", "ordinal")).sortWithinPartitions(F.desc("ordinal")).write.parquet(f"{base}/in")
+    events = v.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", at_once).parquet(f"{base}/in")
     best = incremental.live_running_best(events, "user_id")
     sink = best.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
     sink.trigger(availableNow=True).start().awaitTermination()

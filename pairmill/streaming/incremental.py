@@ -75,35 +75,43 @@ def live_best(events: DataFrame) -> DataFrame:
 
 
 _OUT = "{key} long, ordinal long, step long, macro double"
-_STATE = "next long, best double, ordinals array<long>, validations array<boolean>, steps array<long>, macros array<double>"
+_STATE = "keys array<long>, next array<long>, best array<double>, owners array<long>, ordinals array<long>, validations array<boolean>, steps array<long>, macros array<double>"
+#: Keys of a state: a call, a state and its frames for each key alone take more than its events.
+KEYS_AT_ONCE = 64
 
 
 def live_running_best(events: DataFrame, key: str) -> DataFrame:
     """Each validation of a run that beats all before it, strictly, from a stream of (key,
     ordinal, event, step, macro) whose rows come in any order: an event is looked at when all
     before it were. A run's state is the next ordinal, the best so far and the events that came too
-    early; an ordinal seen before (a file given twice) is dropped. Nulls are no scores."""
+    early, kept with those of the runs beside it, KEYS_AT_ONCE at most; an ordinal seen before (a file given twice) is dropped. Nulls are no scores."""
 
     def follow(ids: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, best, early = 1, None, {}
+        held = {}
         if state.exists:
-            at, best, *held = state.get
-            early = {o: x for o, *x in zip(*held)}
+            keys, following, bests, owners, *early = state.get
+            held = {k: [at, best, {}] for k, at, best in zip(keys, following, bests)}
+            for i, o, *x in zip(owners, *early):
+                held[keys[i]][2][o] = x
         for f in frames:
-            for o, event, step, macro in zip(f["ordinal"], f["event"], f["step"], f["macro"]):
-                if int(o) >= at:
-                    early[int(o)] = [event == "validation", None if pd.isna(step) else int(step), None if pd.isna(macro) else float(macro)]
+            for k, o, event, step, macro in zip(f[key], f["ordinal"], f["event"], f["step"], f["macro"]):
+                run = held.setdefault(None if pd.isna(k) else int(k), [1, None, {}])
+                if int(o) >= run[0]:
+                    run[2][int(o)] = [event == "validation", None if pd.isna(step) else int(step), None if pd.isna(macro) else float(macro)]
         out = []
-        while at in early:
-            is_score, step, macro = early.pop(at)
-            if is_score and macro is not None and (best is None or macro > best):
-                out.append((ids[0], at, step, macro))
-                best = macro
-            at += 1
-        held = sorted(early)
-        state.update((at, best, held, *[[early[o][i] for o in held] for i in range(3)]))
+        for k, run in held.items():
+            at, best, early = run
+            while at in early:
+                is_score, step, macro = early.pop(at)
+                if is_score and macro is not None and (best is None or macro > best):
+                    out.append((k, at, step, macro))
+                    best = macro
+                at += 1
+            run[:2] = at, best
+        flat = [(i, o, *x) for i, run in enumerate(held.values()) for o, x in sorted(run[2].items())]
+        state.update((list(held), *[[run[i] for run in held.values()] for i in range(2)], *[[x[i] for x in flat] for i in range(5)]))
         if out:
-            yield pd.DataFrame(out, columns=[key, "ordinal", "step", "macro"]).astype({"step": "Int64"})
+            yield pd.DataFrame(out, columns=[key, "ordinal", "step", "macro"]).astype({key: "Int64", "step": "Int64"})
 
-    rows = events.select(key, "ordinal", "event", "step", "macro")
-    return rows.groupBy(key).applyInPandasWithState(follow, _OUT.format(key=key), _STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = events.select(key, "ordinal", "event", "step", "macro", F.expr(f"{key} div {KEYS_AT_ONCE}").alias("__keys"))
+    return rows.groupBy("__keys").applyInPandasWithState(follow, _OUT.format(key=key), _STATE, "append", GroupStateTimeout.NoTimeout)

@@ -166,3 +166,18 @@ def test_live_running_best_takes_events_in_any_order(spark, tmp_path):
     q = incremental.live_running_best(stream, "run").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(f"{path}/out").collect())) == want
+
+
+def test_live_running_best_keeps_runs_together(spark, tmp_path):
+    """A call of Python and a state are for many runs, not for one; a run without a key too."""
+    path, keys = str(tmp_path), [None, -65, -1, 0, *range(1, 300)]
+    schema = "run long, ordinal long, event string, step long, macro double"
+    for odd in (1, 0):  # the second event of each comes first
+        rows = [(k, 1 + odd, "validation", odd, 1.0 + odd) for k in keys]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    q = incremental.live_running_best(stream, "run").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.read.parquet(f"{path}/out").collect()
+    assert {tuple(r) for r in got} == {(k, 1 + odd, odd, 1.0 + odd) for k in keys for odd in (0, 1)} and len(got) == 2 * len(keys)
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] < 10
