@@ -89,8 +89,9 @@ def relation(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 def reject_near(pairs: DataFrame, figures: DataFrame, radius: int = 8, nibbles: int = 64) -> DataFrame:
     """Pairs whose figures share neither caption nor pixels, nor have image hashes within
-    `radius` bits; what is null is like nothing."""
-    part = lambda i: figures.select(F.col("uuid").alias(f"uuid_{i}"), *[F.col(c).alias(f"{c}_{i}") for c in ("cap_norm", "px_md5", "dhash")])
+    `radius` bits; what is null is like nothing. Captions are compared by md5, so no text is shuffled."""
+    short = figures.select("uuid", F.unhex(F.md5(F.col("cap_norm").cast("binary"))).alias("cap_norm"), "px_md5", "dhash")
+    part = lambda i: short.select(F.col("uuid").alias(f"uuid_{i}"), *[F.col(c).alias(f"{c}_{i}") for c in ("cap_norm", "px_md5", "dhash")])
     full = pairs.join(part("a"), "uuid_a").join(part("b"), "uuid_b")
     alike = [F.col("cap_norm_a") == F.col("cap_norm_b"), F.col("px_md5_a") == F.col("px_md5_b"), within(F.col("dhash_a"), F.col("dhash_b"), nibbles, radius)]
     none = [~F.coalesce(x, F.lit(False)) for x in alike]

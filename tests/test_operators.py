@@ -136,6 +136,16 @@ def test_bootstrap_shares_draws_and_repeats(spark):
     assert [x[:2] for x in one] == [x[:2] for x in two] and np.allclose([x[2] for x in one], [x[2] for x in two])
 
 
+def test_near_reject_shuffles_no_captions(spark, capsys):
+    rows = [(0, "a" * 50, "p0", "0" * 64), (1, "a" * 50, "p1", "f" * 64), (2, "b", "p2", "0f" * 32), (3, None, "p2", None), (4, "c", None, "0" * 63 + "3")]
+    figures = spark.createDataFrame(rows, "uuid long, cap_norm string, px_md5 string, dhash string")
+    ids = spark.createDataFrame([(a, b) for a in range(5) for b in range(a + 1, 5)], "uuid_a long, uuid_b long")
+    got = pairs.reject_near(ids, figures)
+    got.explain()
+    assert "md5(cast(cap_norm" in capsys.readouterr().out
+    assert sorted(map(tuple, got.collect())) == [(0, 2), (0, 3), (1, 2), (1, 3), (1, 4), (2, 4), (3, 4)]
+
+
 def test_argmax_ties_and_masks(spark):
     df = spark.createDataFrame([([0.25, 0.25, 0.25, 0.25],), ([0.0, 0.5, 0.5, 0.0],)], "p array<double>")
     assert [r[0] for r in df.select(probability.argmax_class(F.col("p"))).collect()] == [0, 1]
