@@ -55,17 +55,24 @@ def cluster_bootstrap(grouped: DataFrame, draws: int, seed: str = "bootstrap") -
 
     A draw takes as many groups as there are, with replacement: slot s of draw d takes the
     group numbered hash(seed, d, s) modulo their number, so all models share a draw, reruns
-    agree, and the multinomial weights are one aggregation of draws x groups slots. Cells
-    are summed before they meet the weights, so rows enter once, not once a draw.
+    agree. A group's cells are one row before they meet the slots, with a column for each cell
+    that occurs (classes squared per model at most), so a slot is shuffled once and adds one row.
     """
     spark = grouped.sparkSession
     groups = global_rank(grouped.select("group_id").distinct().withColumn("h", F.md5(F.col("group_id").cast("binary"))), "h", "group_id", "g")
     count = groups.count()
     place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "draw", "slot").cast("binary")), 1, 12), 16, 10).cast("long") % max(1, count) + 1
     slots = spark.range(draws * count).selectExpr(f"id div {max(1, count)} as draw", f"id % {max(1, count)} as slot")
-    weights = slots.groupBy("draw", place.alias("g")).agg(F.count("*").alias("w"))
-    drawn = weights.join(groups.select("g", "group_id"), "g").join(grouped, "group_id")
-    cells = drawn.groupBy("model", "draw", "y", "p").agg(F.sum(F.col("w") * F.col("n")).alias("n"))
+    found = grouped.select("model", "y", "p").distinct().collect()
+    if not found:
+        return macro_f1(grouped.withColumn("draw", F.lit(0).cast("long")), "model", "draw").select("model", "draw", "macro_f1")
+    of = lambda c: F.when(F.col("model").eqNullSafe(c["model"]) & F.col("y").eqNullSafe(c["y"]) & F.col("p").eqNullSafe(c["p"]), F.col("n"))
+    wide = grouped.groupBy("group_id").agg(*[F.coalesce(F.sum(of(c)), F.lit(0)).alias(f"n{i}") for i, c in enumerate(found)])
+    drawn = slots.select("draw", place.alias("g")).join(groups.select("g", "group_id").join(wide, "group_id").drop("group_id"), "g")
+    sums = drawn.groupBy("draw").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(found))])
+    kinds = {c: grouped.schema[c].dataType for c in ("model", "y", "p")}
+    row = lambda i, c: F.struct(*[F.lit(c[k]).cast(t).alias(k) for k, t in kinds.items()], F.col(f"n{i}").alias("n"))
+    cells = sums.select("draw", F.explode(F.array(*[row(i, c) for i, c in enumerate(found)])).alias("c")).select("draw", "c.*").filter("n > 0")
     return macro_f1(cells, "model", "draw").select("model", "draw", "macro_f1")
 
 

@@ -136,6 +136,28 @@ def test_bootstrap_shares_draws_and_repeats(spark):
     assert [x[:2] for x in one] == [x[:2] for x in two] and np.allclose([x[2] for x in one], [x[2] for x in two])
 
 
+def test_bootstrap_shuffles_slots_once(spark, capsys):
+    """Slots aren't counted per draw and group before they meet the groups' cells."""
+    rows = [(m, f"g{g}", (g + len(m)) % 4, g % 3, 1 + g % 2) for m in ("a", "bb") for g in range(9)] + [("a", "g1", 3, 3, 5)]
+    cells = spark.createDataFrame(rows, "model string, group_id string, y int, p int, n long")
+    draws = metrics.cluster_bootstrap(cells, 7)
+    draws.explain()
+    assert not re.search(r"keys=\[draw#\d+L?, g#", capsys.readouterr().out)
+    order = sorted({r[1] for r in rows}, key=lambda g: hashlib.md5(g.encode()).hexdigest())
+    want = {}
+    for d in range(7):
+        slots = [order[int(hashlib.md5(f"bootstrap:{d}:{s}".encode()).hexdigest()[:12], 16) % 9] for s in range(9)]
+        for m in ("a", "bb"):
+            own = [(y, p, n * slots.count(g)) for model, g, y, p, n in rows if model == m]
+            f1 = 0.0
+            for k in range(4):
+                size = sum(n for y, _, n in own if y == k) + sum(n for _, p, n in own if p == k)
+                f1 += 2 * sum(n for y, p, n in own if y == p == k) / size / 4 if size else 0.0
+            want[m, d] = f1
+    got = {(r["model"], r["draw"]): r["macro_f1"] for r in draws.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_near_reject_shuffles_no_captions(spark, capsys):
     rows = [(0, "a" * 50, "p0", "0" * 64), (1, "a" * 50, "p1", "f" * 64), (2, "b", "p2", "0f" * 32), (3, None, "p2", None), (4, "c", None, "0" * 63 + "3")]
     figures = spark.createDataFrame(rows, "uuid long, cap_norm string, px_md5 string, dhash string")
