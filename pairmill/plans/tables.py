@@ -71,14 +71,15 @@ def shard_completeness(v: Views):
 
 
 def _indexed(v: Views) -> str:
-    """Two calls over a growing folder of four shards; the last batch is run a second time."""
+    """Two calls over a growing folder of four shards, each of as many files as the table has
+    splits; the last batch is run a second time."""
     base = scratch(v.spark, "index")
     d = v.table("documents").select("doc_id", "text", (F.col("doc_id") % 4).alias("shard"))
     index = lambda s: s.select("__file", "doc_id", hashing.object_key(F.when(F.col("doc_id") % 7 > 0, F.col("text"))).alias("bytes_md5"))
     failed = F.col("bytes_md5").isNull()
     for half in ((0, 2), (1, 3)):
         new = d.filter(F.col("shard").isin(*half))
-        new.repartition("shard").write.mode("append").partitionBy("shard").parquet(f"{base}/in")
+        new.write.mode("append").partitionBy("shard").parquet(f"{base}/in")
         incremental.index_new(v.spark, f"{base}/in", d.drop("shard").schema, f"{base}/out", f"{base}/state", index, failed)
     again = v.spark.read.schema(d.drop("shard").schema).option("recursiveFileLookup", "true").parquet(*[f"{base}/in/shard={i}" for i in half])
     incremental.index_batch(again.withColumn("__file", F.col("_metadata.file_path")), 1, f"{base}/out", index, failed)

@@ -181,3 +181,16 @@ def test_live_running_best_keeps_runs_together(spark, tmp_path):
     got = spark.read.parquet(f"{path}/out").collect()
     assert {tuple(r) for r in got} == {(k, 1 + odd, odd, 1.0 + odd) for k in keys for odd in (0, 1)} and len(got) == 2 * len(keys)
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] < 10
+
+
+def test_shards_of_the_index_are_files_of_bounded_size(spark, tmp_path):
+    """A shard is written where its rows lie, not gathered in one task."""
+    from pairmill.plans import fixtures, tables
+
+    docs = spark.range(64).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    v = fixtures.Views(spark, str(tmp_path))
+    at = tables._indexed(v)
+    got = incremental.receipts(spark, at)
+    assert got.count() > 4 and got.agg(F.sum("rows")).first()[0] == 64
+    assert incremental.verify_receipts(spark, at).isEmpty()
