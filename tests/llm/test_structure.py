@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pairmill.llm import fill_middle, html_extract, queries, turn_repair
 
@@ -129,6 +130,71 @@ def test_suffix_array_against_brute_force():
     assert len(set(got["head"].to_pylist())) == len(want)
 
 
+def _repeated(pages):
+    """Blocks and blocks found repeated of (id, host, html), by sets of runs instead of the array."""
+    run, streams = html_extract.RUN, {}
+    for i, host, page in pages:
+        found = html_extract.blocks(page)
+        tokens = [w for k, t in found if k < html_extract.MAIN for w in (*t.split(), "")]
+        streams[i] = host, tuple(found), tuple(tokens)
+    seen = defaultdict(set)
+    for host, found, tokens in streams.values():
+        for j in range(len(tokens) - run + 1):
+            seen[host, tokens[j : j + run]].add(found)
+    want = {}
+    for i, (host, found, tokens) in streams.items():
+        covered = set()
+        for j in range(len(tokens) - run + 1):
+            if len(seen[host, tokens[j : j + run]]) >= html_extract.MIN_PAGES:
+                covered |= set(range(j, j + run))
+        gone = begin = 0
+        for end in (j for j, w in enumerate(tokens) if not w):
+            gone += 2 * len(covered & set(range(begin, end))) >= end - begin
+            begin = end + 1
+        want[i] = len(found), gone
+    return want
+
+
+def test_a_menu_of_different_articles_is_known_where_it_is_not_declared(spark):
+    menu = "Home About us Contact Our shop Blog of the site"
+    rows = [(i, "http://a.b/", f"<nav>{menu}</nav><article>own {i}</article>") for i in range(3)]
+    rows += [(3, "http://a.b/", f"<div>{menu}</div><p>text of an undeclared page")]
+    # copies of one page aren't different pages
+    rows += [(10 + i, "http://c.d/", f"<nav>{menu}</nav><article>same</article>") for i in range(3)]
+    rows += [(13, "http://c.d/", f"<div>{menu}</div><p>text of an undeclared page")]
+    got = _texts(spark, rows)
+    assert got[3] == "text of an undeclared page"
+    assert got[13] == f"{menu}\n\ntext of an undeclared page"
+    assert [got[i] for i in (0, 1, 2, 10, 11, 12)] == ["own 0", "own 1", "own 2", "same", "same", "same"]
+
+
+def test_declared_pages_meet_the_array(spark):
+    menu, end = "Home About us Contact Our shop Blog of the site", "All rights reserved by the owner of this site since then"
+    html_of = lambda i: f"<nav>{menu}</nav><div class=ad>{i} only {i}</div><article><h1>T{i}</h1><p>own {i}</article><footer>{end}</footer>"
+    rows = [(i, "http://a.b/", html_of(i)) for i in range(4)] + [(9, "http://c.d/", html_of(9)), (10, "http://c.d/", "<article>all of it</article>")]
+    got = {r["page_id"]: r for r in html_extract.extract(spark.createDataFrame([(i, u, h, "", 1) for i, u, h in rows], PAGES)).collect()}
+    assert {i: (r["text"], r["n_blocks"], r["n_repeated"]) for i, r in got.items()} == {
+        **{i: (f"T{i}\n\nown {i}", 5, 2) for i in range(4)},
+        9: ("T9\n\nown 9", 5, 0),
+        10: ("all of it", 1, 0),
+    }
+
+
+def test_verdicts_of_given_pages_against_brute_force(spark, sf_dir):
+    folder = sf_dir.replace("sf0.001", "sf0.1")  # hosts of more pages
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", html_extract.host(F.col("url")), "html").collect()
+    want = _repeated(pages)
+    got = {r["page_id"]: (r["n_blocks"], r["n_repeated"]) for r in queries.op11_html_extract(spark, folder).collect()}
+    assert got == want and sum(n for _, n in want.values()) > 0
+
+
+@pytest.mark.parametrize("n", range(10))
+def test_streams_shorter_than_a_run(n):
+    tokens = np.arange(1, n + 1, dtype=np.uint64)
+    table = pa.table({"chunk": [0], "host": [1], "tokens": pa.array([tokens.tobytes()], pa.binary())})
+    assert len(html_extract._local_heads(table)) == max(n - html_extract.RUN + 1, 0)
+
+
 def test_no_pages(spark):
     assert _texts(spark, []) == {}
 
